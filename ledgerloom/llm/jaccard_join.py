@@ -10,7 +10,8 @@ Linked documents (Jaccard similarity of 5-word shingle sets of at least `percent
    leaves some slack, which each document spends by giving up its most frequent shingles, so that a passage that
    many documents share makes no regions (the proof is in `_prefix_lengths`).
 3. Exact distances to the pivots. Those within the threshold link.
-4. Windows. Two documents of a region can link only if their distances to its pivot differ by at most the
+4. Hopeless members. Too many shingles of their own rule out any partner in the region, exactly (`_hopeful`).
+5. Windows. Two documents of a region can link only if their distances to its pivot differ by at most the
    threshold. Rings of that width are the cells of the region, each document being replicated to the next ring.
    Pairs that already hang together need no test. Large regions get further pivots and so finer cells, recursively,
    and the cells are joined exactly.
@@ -98,7 +99,35 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, shared.alias("shared"), (F.size("sx") + F.size("sp") - shared).alias("joint"))
 
 
-def link_documents(docs: DataFrame, percent: int = 75, region_rows: int = 64, depth: int = 3) -> DataFrame:
+def _open(members: DataFrame, component: DataFrame) -> DataFrame:
+    """The members of regions that do not yet hang together, with their component and the region's figures."""
+    held = members.join(component.withColumnRenamed("id", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+    sizes = held.groupBy("region", "component").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.groupBy("region").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count(F.lit(1)).alias("parts"))
+    return held.join(sizes.where("parts > 1"), "region").withColumn("tests", (F.col("m") * F.col("m") - F.col("mm")) / 2).drop("mm", "parts", "main")
+
+
+def _hopeful(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of open regions that can still have a partner, with `n` shingles of which `common` are not theirs alone.
+
+    A linked pair shares at least t / (1 + t) of the sum of its sizes, and no more than either has in common with any
+    other open member. So a member's partner has at most common * (1 + t) / t - n shingles; a member of a region whose
+    smallest set is larger than that is done. Copies with many changes of their own go here, whatever their number.
+    """
+    open_ = save(open_.select("region", "x", "ds", "os"), "jaccard-open")
+    own = open_.select(F.col("x").alias("doc_id")).distinct().join(sets, "doc_id")
+    own = own.select(F.col("doc_id").alias("x"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s"))
+    shared = own.groupBy("s").agg(F.min("x").alias("least"), F.max("x").alias("most")).where("least < most").select("s")
+    common = own.join(shared, "s").groupBy("x").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("common"))
+    # A pivot shares with itself all that it has in common with others.
+    overlap = F.transform("os", lambda o: F.coalesce(o, F.col("common")).cast("int"))
+    members = save(open_.join(common, "x").withColumn("os", overlap), "jaccard-members")
+    smallest = members.groupBy("region").agg(F.min("n").alias("smallest"))
+    largest = F.col("common") * (100 + percent) - F.col("n") * percent
+    return save(members.join(smallest, "region").where(largest >= F.col("smallest") * percent).drop("smallest"), "jaccard-members")
+
+
+def link_documents(docs: DataFrame, percent: int = 75, region_rows: int = 64, depth: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, the smallest doc_id reachable by links.
 
     Null or wordless texts have no shingle, link with nothing and are their own component; equal texts link if they
@@ -131,30 +160,33 @@ def link_documents(docs: DataFrame, percent: int = 75, region_rows: int = 64, de
     component = connected_components(links, "jaccard")
 
     far = 1 - F.col("shared") / F.col("joint")
-    members = stars.select(F.col("p").alias("region"), "x", F.array(far).alias("ds"))
-    members = members.union(pairs.select("p").distinct().select(F.col("p").alias("region"), F.col("p").alias("x"), F.array(F.lit(0.0)).alias("ds")))
+    members = stars.select(F.col("p").alias("region"), "x", F.array(far).alias("ds"), F.array(F.col("shared")).alias("os"))
+    members = members.union(pairs.select("p").distinct().select(F.col("p").alias("region"), F.col("p").alias("x"), F.array(F.lit(0.0)).alias("ds"), F.array(F.lit(None).cast("int")).alias("os")))
     members = save(members, "jaccard-members")
+    members = _hopeful(_open(members, component), sets, percent)
     for level in range(depth + 1):
-        # Only regions that do not yet hang together have pairs to test.
-        held = members.join(component.withColumnRenamed("id", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-        sizes = held.groupBy("region", "component").agg(F.count(F.lit(1)).alias("m"))
-        sizes = sizes.groupBy("region").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main"))
-        open_ = save(held.join(sizes.where("parts > 1"), "region").select("region", "x", "ds", "component", "m", "main", ((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("tests")), "jaccard-open")
+        open_ = save(_open(members, component), "jaccard-open")
         large = open_.where((F.col("m") > region_rows) & (F.col("tests") > 8 * F.col("m")))
         if level == depth or not large.limit(1).count():
             break
-        # A further pivot outside the main component: all members measure their distance to it.
-        pivots = large.where("component <> main").groupBy("region").agg(F.min_by("x", F.xxhash64("x", F.lit(level))).alias("p"))
-        more = save(_distances(large.join(pivots, "region").select("region", "x", "ds", "p"), sets), "jaccard-stars")
+        # A further pivot, the member with the smallest share of shingles of its own: the original of many copies.
+        central = F.struct(F.col("common") / F.col("n"), F.xxhash64("x"), "x")
+        pivots = large.where(F.array_min("ds") > 0).groupBy("region").agg(F.max_by("x", central).alias("p"))
+        more = save(_distances(large.join(pivots, "region").select("region", "x", "ds", "os", "n", "common", "p"), sets), "jaccard-stars")
         found = more.where(linked & (F.col("x") != F.col("p"))).select(F.col("x").alias("a"), F.col("p").alias("b"))
         links = links.union(found)
         component = connected_components(links, "jaccard")
-        members = save(more.select("region", "x", F.concat("ds", F.array(far)).alias("ds")).union(open_.join(pivots, "region", "left_anti").select("region", "x", "ds")), "jaccard-members")
+        rest = open_.join(pivots, "region", "left_anti").select("region", "x", "ds", "os", "n", "common")
+        members = save(more.select("region", "x", F.concat("ds", F.array(far)).alias("ds"), F.concat("os", F.array("shared")).alias("os"), "n", "common").union(rest), "jaccard-members")
     ring = F.floor(F.col("ds")[0] / theta)
-    homes = open_.select("region", "x", "component", "ds", ring.alias("ring"))
-    near = homes.select("region", F.col("x").alias("y"), F.col("component").alias("other"), F.col("ds").alias("es"), F.col("ring").alias("home"), F.explode(F.array(F.col("ring"), F.col("ring") + 1)).alias("ring"))
+    homes = open_.select("region", "x", "component", "ds", "os", "n", "common", ring.alias("ring"))
+    near = homes.select("region", F.col("x").alias("y"), F.col("component").alias("other"), F.col("ds").alias("es"), F.col("os").alias("qs"), F.col("n").alias("ny"), F.col("common").alias("common_y"), F.col("ring").alias("home"), F.explode(F.array(F.col("ring"), F.col("ring") + 1)).alias("ring"))
     window = F.forall(F.zip_with("ds", "es", lambda a, b: F.abs(a - b) <= theta + 1e-9), lambda ok: ok)
-    tests = homes.join(near, ["region", "ring"]).where((F.col("component") != F.col("other")) & ((F.col("home") < F.col("ring")) | (F.col("x") < F.col("y"))) & window)
+    # What two members share lies in a pivot or outside it: at most the smaller part of each on either side.
+    most = F.aggregate(F.zip_with("os", "qs", lambda a, b: F.least(a, b) + F.least(F.col("common") - a, F.col("common_y") - b)), F.least("common", "common_y"), lambda m, x: F.least(m, x))
+    enough = most * (100 + percent) >= (F.col("n") + F.col("ny")) * percent
+    once = (F.col("home") < F.col("ring")) | (F.col("x") < F.col("y"))
+    tests = homes.join(near, ["region", "ring"]).where((F.col("component") != F.col("other")) & once & enough & window)
     tests = tests.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("p")).distinct()
     last = save(_distances(tests, sets).where(linked).select(F.col("x").alias("a"), F.col("p").alias("b")), "jaccard-last")
     if last.limit(1).count():
