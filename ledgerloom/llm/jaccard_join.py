@@ -203,6 +203,6 @@ def keep_one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = groups.where("doc_id > component_id").select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_anti")
     again = groups.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.limit(1).count():  # rows that repeat a doc_id: one of each stays
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    if again.limit(1).count():  # rows that repeat a doc_id and its text: one of each stays
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept.select(*docs.columns)
