@@ -99,12 +99,20 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, shared.alias("shared"), (F.size("sx") + F.size("sp") - shared).alias("joint"))
 
 
-def _open(members: DataFrame, component: DataFrame) -> DataFrame:
-    """The members of regions that do not yet hang together, with their component and the region's figures."""
+def _open(members: DataFrame, component: DataFrame, theta: float) -> DataFrame:
+    """The members that a member of another component is near: in the same ring of their region or a neighbouring one.
+
+    A region's pivot is not among its members, as all of them have been compared with it.
+    """
     held = members.join(component.withColumnRenamed("id", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-    sizes = held.groupBy("region", "component").agg(F.count(F.lit(1)).alias("m"))
-    sizes = sizes.groupBy("region").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count(F.lit(1)).alias("parts"))
-    return held.join(sizes.where("parts > 1"), "region").withColumn("tests", (F.col("m") * F.col("m") - F.col("mm")) / 2).drop("mm", "parts", "main")
+    held = save(held.withColumn("ring", F.floor(F.col("ds")[0] / theta)), "jaccard-held")
+    rings = held.groupBy("region", "ring", "component").agg(F.count(F.lit(1)).alias("m"))
+    around = rings.select("region", "component", F.explode(F.array(*[F.col("ring") + i for i in (-1, 0, 1)])).alias("ring"))
+    mixed = around.groupBy("region", "ring").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    open_ = held.join(mixed.select("region", "ring"), ["region", "ring"])
+    sizes = open_.groupBy("region", "component").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.groupBy("region").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
+    return open_.join(sizes, "region").withColumn("tests", (F.col("m") * F.col("m") - F.col("mm")) / 2).drop("mm")
 
 
 def _hopeful(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -115,13 +123,13 @@ def _hopeful(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     smallest set is larger than that is done. Copies with many changes of their own go here, whatever their number.
     """
     open_ = save(open_.select("region", "x", "ds", "os"), "jaccard-open")
-    own = open_.select(F.col("x").alias("doc_id")).distinct().join(sets, "doc_id")
+    # With the pivots, so that what a member shares with its pivot counts as common.
+    wanted = save(open_.select(F.col("x").alias("doc_id")).union(open_.select("region")).distinct(), "jaccard-wanted")
+    own = sets.join(wanted, "doc_id")
     own = own.select(F.col("doc_id").alias("x"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s"))
     shared = own.groupBy("s").agg(F.min("x").alias("least"), F.max("x").alias("most")).where("least < most").select("s")
     common = own.join(shared, "s").groupBy("x").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("common"))
-    # A pivot shares with itself all that it has in common with others.
-    overlap = F.transform("os", lambda o: F.coalesce(o, F.col("common")).cast("int"))
-    members = save(open_.join(common, "x").withColumn("os", overlap), "jaccard-members")
+    members = save(open_.join(common, "x"), "jaccard-members")
     smallest = members.groupBy("region").agg(F.min("n").alias("smallest"))
     largest = F.col("common") * (100 + percent) - F.col("n") * percent
     return save(members.join(smallest, "region").where(largest >= F.col("smallest") * percent).drop("smallest"), "jaccard-members")
@@ -161,25 +169,23 @@ def link_documents(docs: DataFrame, percent: int = 75, region_rows: int = 64, de
 
     far = 1 - F.col("shared") / F.col("joint")
     members = stars.select(F.col("p").alias("region"), "x", F.array(far).alias("ds"), F.array(F.col("shared")).alias("os"))
-    members = members.union(pairs.select("p").distinct().select(F.col("p").alias("region"), F.col("p").alias("x"), F.array(F.lit(0.0)).alias("ds"), F.array(F.lit(None).cast("int")).alias("os")))
-    members = save(members, "jaccard-members")
-    members = _hopeful(_open(members, component), sets, percent)
+    members = _hopeful(_open(members, component, theta), sets, percent)
     for level in range(depth + 1):
-        open_ = save(_open(members, component), "jaccard-open")
+        open_ = save(_open(members, component, theta), "jaccard-open")
         large = open_.where((F.col("m") > region_rows) & (F.col("tests") > 8 * F.col("m")))
         if level == depth or not large.limit(1).count():
             break
         # A further pivot, the member with the smallest share of shingles of its own: the original of many copies.
         central = F.struct(F.col("common") / F.col("n"), F.xxhash64("x"), "x")
         pivots = large.where(F.array_min("ds") > 0).groupBy("region").agg(F.max_by("x", central).alias("p"))
-        more = save(_distances(large.join(pivots, "region").select("region", "x", "ds", "os", "n", "common", "p"), sets), "jaccard-stars")
+        again = save(large.join(pivots, "region").select("region", "x", "ds", "os", "n", "common", "p"), "jaccard-again")
+        more = save(_distances(again, sets), "jaccard-stars")
         found = more.where(linked & (F.col("x") != F.col("p"))).select(F.col("x").alias("a"), F.col("p").alias("b"))
         links = links.union(found)
         component = connected_components(links, "jaccard")
         rest = open_.join(pivots, "region", "left_anti").select("region", "x", "ds", "os", "n", "common")
         members = save(more.select("region", "x", F.concat("ds", F.array(far)).alias("ds"), F.concat("os", F.array("shared")).alias("os"), "n", "common").union(rest), "jaccard-members")
-    ring = F.floor(F.col("ds")[0] / theta)
-    homes = open_.select("region", "x", "component", "ds", "os", "n", "common", ring.alias("ring"))
+    homes = open_.select("region", "x", "component", "ds", "os", "n", "common", "ring")
     near = homes.select("region", F.col("x").alias("y"), F.col("component").alias("other"), F.col("ds").alias("es"), F.col("os").alias("qs"), F.col("n").alias("ny"), F.col("common").alias("common_y"), F.col("ring").alias("home"), F.explode(F.array(F.col("ring"), F.col("ring") + 1)).alias("ring"))
     window = F.forall(F.zip_with("ds", "es", lambda a, b: F.abs(a - b) <= theta + 1e-9), lambda ok: ok)
     # What two members share lies in a pivot or outside it: at most the smaller part of each on either side.
@@ -187,7 +193,7 @@ def link_documents(docs: DataFrame, percent: int = 75, region_rows: int = 64, de
     enough = most * (100 + percent) >= (F.col("n") + F.col("ny")) * percent
     once = (F.col("home") < F.col("ring")) | (F.col("x") < F.col("y"))
     tests = homes.join(near, ["region", "ring"]).where((F.col("component") != F.col("other")) & once & enough & window)
-    tests = tests.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("p")).distinct()
+    tests = save(tests.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("p")).distinct(), "jaccard-tests")
     last = save(_distances(tests, sets).where(linked).select(F.col("x").alias("a"), F.col("p").alias("b")), "jaccard-last")
     if last.limit(1).count():
         component = connected_components(links.union(last), "jaccard")
