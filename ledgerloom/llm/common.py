@@ -15,6 +15,9 @@ from pyspark.sql.window import Window
 #: Rows that one task sorts at a time in the two-level running sums below.
 ROWS_PER_BUCKET = 8192
 
+#: Spark's setting that drops a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: White space of the word definition `[^\x20\x09-\x0D]+`.
 SPACES = "\t\n\x0b\x0c\r"
 
@@ -34,10 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
-    path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: write to the shared folder and read back, so that a lost executor costs no recomputation.
+
+    What comes after reads the table alone, so the shuffle files behind it go once it is written.
+    """
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def word_count(text: Column) -> Column:
