@@ -91,9 +91,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (x, p) with `shared` and `joint`: sizes of intersection and union."""
+    """Pairs (x, p) with `shared` and `joint`: sizes of intersection and union.
+
+    Where few pairs are left, only the sets that they name are shuffled.
+    """
     a = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx"))
-    b = sets.select(F.col("doc_id").alias("p"), F.col("shingles").alias("sp"))
+    b = sets.select(F.col("doc_id").alias("p"), F.col("shingles").alias("sp")).join(pairs.select("p").distinct(), "p", "left_semi")
     shared = F.size(F.array_intersect("sx", "sp"))
     both = pairs.join(a, "x").join(b, "p")
     return both.select(*pairs.columns, shared.alias("shared"), (F.size("sx") + F.size("sp") - shared).alias("joint"))
@@ -151,6 +154,7 @@ def link_documents(docs: DataFrame, percent: int = 75, region_rows: int = 64, de
 
     entries = docs.mapInArrow(_prefixes(percent), columns(s="long", doc_id="long"))
     shared = entries.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("pivot")).where("df > 1")
+    shared = save(shared, "jaccard-shared")
     n, need = F.col("n"), F.ceil(F.col("n") * percent / 100)
     kept = n - need + 1 + F.floor(n / 8) - F.floor(F.floor(n * percent / 100) / 8)
     emitted = n - need + 1 + F.floor(n / 8)
