@@ -121,3 +121,36 @@ def review_suggestions(candidates: DataFrame) -> DataFrame:
     rows = review_mask(candidates).join(rival_counts(candidates).select("candidate_id", "rivals"), "candidate_id")
     reason = F.when(F.col("rivals") == 0, "INSUFFICIENT_CANDIDATE_SET").when(F.col("score").cast("decimal(10,6)") < F.lit("0.50").cast("decimal(10,6)"), "BELOW_REVIEW_THRESHOLD").when(~F.col("review"), "AMBIGUOUS_RECORD_MATCH").otherwise("PENDING_REVIEW")
     return rows.select("candidate_id", "rivals", reason.alias("outcome"))
+
+
+def rank_candidates(candidates: DataFrame, metadata: dict, policy: str = "separated") -> DataFrame:
+    """Suggestion and first reason of scored candidates; none is ever eligible for an automatic action.
+
+    `candidates` has candidate_id, score, and of both records id, type, currency and party (source_*, target_*).
+    `metadata` is the stored model's: review_threshold, review_gate_passed, review_policy, relationships. Candidates
+    of two currencies or of two known parties compete with nothing. Best first: order by score, then by id.
+    """
+    threshold = metadata.get("review_threshold")
+    one_currency = F.col("source_currency") == F.col("target_currency")
+    party = lambda c: F.nullif(F.lower(F.trim(f"{c}_party")), F.lit(""))
+    one_party = F.coalesce(party("source") == party("target"), F.lit(True))
+    supported = F.concat_ws("->", "source_type", "target_type").isin(metadata.get("relationships", []))
+    passed, same_policy = F.lit(bool(metadata.get("review_gate_passed"))), F.lit(metadata.get("review_policy") == policy)
+    if threshold is None:
+        rows = candidates.withColumn("review", F.lit(False))
+    else:
+        mask = review_mask(candidates.where(one_currency & one_party), threshold).select("candidate_id", "review")
+        rows = candidates.join(mask, "candidate_id", "left").withColumn("review", F.coalesce("review", F.lit(False)))
+    review = F.col("review") & supported & passed & same_policy
+    reason = (
+        F.when(~F.coalesce(one_currency, F.lit(False)), "CURRENCY_MISMATCH").when(~one_party, "PARTY_CONFLICT").when(F.lit(threshold is None), "MODEL_NOT_CALIBRATED").when(~passed, "MODEL_NOT_VALIDATED")
+        .when(~supported, "OUT_OF_DISTRIBUTION_RELATIONSHIP").when(~same_policy, "INCOMPATIBLE_REVIEW_POLICY").when(review, "REVIEW_ONLY_MODEL")
+        .when(F.col("score").cast("string").cast("decimal(10,6)") >= F.lit(threshold).cast("decimal(10,6)"), "AMBIGUOUS_RECORD_MATCH").otherwise("BELOW_REVIEW_THRESHOLD")
+    )
+    return rows.select("candidate_id", "score", F.when(review, "REVIEW").otherwise("UNRESOLVED").alias("suggestion"), F.lit(False).alias("automatic_action_eligible"), reason.alias("reason"))
+
+
+def journal_balance(journals: DataFrame, lines: DataFrame) -> DataFrame:
+    """Whether each journal has lines and its debits equal its credits, exactly."""
+    sums = lines.groupBy("journal_id").agg(F.sum("debit").alias("d"), F.sum("credit").alias("c"))
+    return journals.select("journal_id").join(sums, "journal_id", "left").select("journal_id", F.coalesce(F.col("d") == F.col("c"), F.lit(False)).alias("balanced"))

@@ -169,6 +169,20 @@ def allocate(anchors: DataFrame, parts: DataFrame, block: tuple[str, ...] = ("cu
     return got.select("anchor_id", "members", F.lit("0.88").cast("decimal(4,2)").alias("confidence"))
 
 
+def allocation_flags(pairs: DataFrame) -> DataFrame:
+    """(candidate_id, in_allocation): whether a pair belongs to two or three pairs of one record that add up to it.
+
+    `pairs` has candidate_id, source_id, target_id, s_amount, t_amount; either side may be the one that is split.
+    """
+    found = []
+    for whole, part, goal, amount in (("source_id", "target_id", "s_amount", "t_amount"), ("target_id", "source_id", "t_amount", "s_amount")):
+        anchors = pairs.select(F.col(whole).alias("own"), F.col(whole).alias("record_id"), F.col(goal).alias("amount")).distinct()
+        parts = pairs.select(F.col(whole).alias("own"), F.col(part).alias("record_id"), F.col(amount).alias("amount"))
+        found.append(subset_sums(anchors, parts, ["own"], 3).select(F.col("anchor_id").alias(whole), F.explode("members").alias(part)))
+    flagged = found[0].unionByName(found[1]).distinct().withColumn("in_allocation", F.lit(True))
+    return pairs.join(flagged, ["source_id", "target_id"], "left").select("candidate_id", F.coalesce("in_allocation", F.lit(False)).alias("in_allocation"))
+
+
 def _without(records: DataFrame, used: DataFrame) -> DataFrame:
     return records.join(used.select(F.col(used.columns[0]).alias("record_id")), "record_id", "left_anti")
 

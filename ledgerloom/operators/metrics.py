@@ -74,12 +74,72 @@ def coverage_check(cases: DataFrame, predictions: DataFrame) -> DataFrame:
     return both.select("case_id", F.when(F.col("p").isNull(), "missing prediction").otherwise("unknown case").alias("problem"))
 
 
+#: Labels of cases without a failure, and those of them that are hard negatives.
+NO_FAILURE = ["NO_FAILURE", "LEGITIMATE", "HARD_NEGATIVE", "EXACT_MATCH", "MATCHED", "RECONCILED"]
+HARD_NEGATIVE = ["NO_FAILURE", "LEGITIMATE", "HARD_NEGATIVE"]
+
+
+def classification_metrics(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Precision, recall, F1 of given counts `tp`, `fp`, `fn`; a negative count is an error."""
+    checked = lambda c: F.when(F.col(c) < 0, F.raise_error(F.lit(f"{c} is negative"))).otherwise(F.col(c)).alias(c)
+    return _prf(counts.select(*keys, *map(checked, ("tp", "fp", "fn"))), keys)
+
+
+def evidence_gaps(rows: DataFrame, key: str) -> DataFrame:
+    """Ids of `required` and `supplied` arrays: on both sides, on either alone, and on any, each in order."""
+    r, s = F.col("required"), F.col("supplied")
+    listed = lambda x: F.array_join(F.array_sort(x), ",")
+    return rows.select(key, listed(F.array_intersect(r, s)).alias("shared"), listed(F.array_except(r, s)).alias("missing"), listed(F.array_except(s, r)).alias("extra"), listed(F.array_union(r, s)).alias("every"))
+
+
 def score_accounting(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Share of the expected journal lines that are predicted, and of balanced predictions, by key."""
-    e = F.array_distinct("expected_lines")
-    share = F.when(F.size(e) == 0, 1.0).otherwise(F.size(F.array_intersect(e, F.array_distinct("predicted_lines"))) / F.size(e))
+    """Journal, field and contradiction scores by key.
+
+    `expected_lines`, `predicted_lines`: structs (account, debit, credit), compared as sets; nothing expected scores 1
+    if nothing is predicted. `expected_fields`, `predicted_fields`: maps. `expected`, `predicted`: contradiction ids.
+    A prediction is balanced if it has lines and their debits equal their credits.
+    """
+    e, p = F.array_distinct("expected_lines"), F.array_distinct("predicted_lines")
+    journal = F.when(F.size(e) == 0, (F.size(p) == 0).cast("double")).otherwise(F.size(F.array_intersect(e, p)) / F.size(e))
     total = lambda f: F.aggregate("predicted_lines", F.lit(0).cast("decimal(30,4)"), lambda s, x: (s + x[f]).cast("decimal(30,4)"))
-    return rows.groupBy(*keys).agg(F.round(F.avg(share), 6).alias("journal_score"), ratio(count_of(total("debit") == total("credit")), F.count(F.lit(1))).alias("balanced_rate"))
+    given = F.map_entries("expected_fields")
+    equal = F.size(F.filter(given, lambda x: F.try_element_at("predicted_fields", x["key"]).eqNullSafe(x["value"])))
+    field = F.when(F.size(given) == 0, 1.0).otherwise(equal / F.size(given))
+    balanced = (F.size("predicted_lines") > 0) & (total("debit") == total("credit"))
+    scores = rows.groupBy(*keys).agg(F.round(F.avg(journal), 6).alias("journal_score"), F.round(F.avg(field), 6).alias("field_score"), ratio(count_of(balanced), F.count(F.lit(1))).alias("balanced_rate"))
+    found = set_pr(rows, keys).withColumnsRenamed({"precision": "contradiction_precision", "recall": "contradiction_recall"})
+    return scores.join(found, keys)
+
+
+def score_rca(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Failure detection, root cause, resolution, evidence and risk of predictions, by key.
+
+    A prediction without `detected_exception` detects what its label says. Root causes and resolutions count where
+    the truth has one, and their accuracy is null if none has. An amount that is not positive falls back to the
+    largest of the case's `amounts`. Exposure is the first that fits: a detected hard negative, a missed failure, an
+    automatic decision with a wrong label.
+    """
+    failure = lambda c: ~F.upper(c).isin(NO_FAILURE)
+    stated = lambda c: F.nullif(F.trim(c), F.lit(""))
+    most = F.coalesce(F.array_max(F.transform("amounts", lambda a: F.abs(a))), F.lit(0))
+    r = rows.withColumns(
+        {
+            "actual": failure("label"), "hard": F.upper("label").isin(HARD_NEGATIVE), "right": F.coalesce(F.col("label") == F.col("predicted_label"), F.lit(False)),
+            "detected": F.coalesce("detected_exception", failure("predicted_label"), F.lit(False)), "money": F.when(F.col("amount") > 0, F.col("amount")).otherwise(most),
+        }
+    )
+    hard, detected, right, actual = (F.col(c) for c in ("hard", "detected", "right", "actual"))
+    exposure = F.when(hard, F.when(detected, "fp")).when(actual & ~detected, "fn").when(F.col("auto_resolved") & ~right, "fp")
+    money = lambda test: F.coalesce(F.sum(F.when(test, F.col("money"))), F.lit(0)).cast("decimal(30,4)")
+    known = lambda c: F.try_divide(count_of(stated(f"expected_{c}") == F.col(c)), F.count(stated(f"expected_{c}")))
+    scores = r.withColumn("exposure", exposure).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("cases"), F.round(known("root_cause"), 6).alias("root_cause_accuracy"), F.round(known("resolution"), 6).alias("resolution_accuracy"),
+        ratio(count_of(hard & detected), count_of(hard)).alias("hard_negative_fpr"), ratio(count_of(F.col("auto_resolved")), F.count(F.lit(1))).alias("automation_rate"),
+        money(F.col("exposure") == "fp").alias("fp_exposure"), money(F.col("exposure") == "fn").alias("fn_exposure"), money(right & (detected == actual)).alias("amount_correct"),
+    )
+    found = set_pr(r.select(*keys, F.col("expected_evidence").alias("expected"), F.col("evidence_ids").alias("predicted")), keys)
+    found = found.withColumnsRenamed({"precision": "evidence_precision", "recall": "evidence_recall"})
+    return scores.join(binary_detection(r.select(*keys, "actual", detected.alias("predicted")), keys), keys).join(found, keys)
 
 
 def conservation(lines: DataFrame, key: str) -> DataFrame:

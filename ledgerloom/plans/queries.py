@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import normalize as N
 from ..operators import controls as C
@@ -523,6 +524,70 @@ def model_metrics(spark, d):
     return X.model_metrics(sql(spark, d, PROB))
 
 
+@query(f"SELECT suite, run, {_PRF} FROM (SELECT suite, run, count(*) FILTER (WHERE auto_resolved AND NOT hard_negative) AS tp, count(*) FILTER (WHERE auto_resolved AND hard_negative) AS fp, count(*) FILTER (WHERE NOT auto_resolved AND NOT hard_negative) AS fn FROM ({SCORED}) GROUP BY 1, 2)")
+def classification_metrics(spark, d):
+    auto, hard = F.col("auto_resolved"), F.col("hard_negative")
+    counts = scored(spark, d).groupBy("suite", "run").agg(F.count_if(auto & ~hard).alias("tp"), F.count_if(auto & hard).alias("fp"), F.count_if(~auto & ~hard).alias("fn"))
+    return X.classification_metrics(counts, ["suite", "run"])
+
+
+@query("""WITH s AS (SELECT l_orderkey, list_distinct(list(l_returnflag)) AS r, list_distinct(list(CASE WHEN l_quantity > 25 THEN 'N' ELSE l_linestatus END)) AS s FROM lineitem GROUP BY 1)
+SELECT l_orderkey, array_to_string(list_sort(list_intersect(r, s)), ',') AS shared, array_to_string(list_sort(list_filter(r, lambda x: NOT list_contains(s, x))), ',') AS missing,
+ array_to_string(list_sort(list_filter(s, lambda x: NOT list_contains(r, x))), ',') AS extra, array_to_string(list_sort(list_distinct(list_concat(r, s))), ',') AS every FROM s""")
+def evidence_gaps(spark, d):
+    rows = tab(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("required"), F.collect_set(F.when(F.col("l_quantity") > 25, "N").otherwise(F.col("l_linestatus"))).alias("supplied"))
+    return X.evidence_gaps(rows, "l_orderkey")
+
+
+RCA = """SELECT k, suite, run, label, CASE WHEN run = 'baseline' THEN 'matched' WHEN k % 37 = 0 THEN NULL WHEN k % 41 = 0 THEN 'split' ELSE label END AS predicted_label,
+ CASE WHEN k % 4 = 0 THEN k % 3 = 0 END AS detected_exception, k % 3 <> 0 AS auto_resolved, CASE WHEN k % 5 = 0 THEN CAST(0 AS DECIMAL(20,4)) ELSE price END AS amount, price,
+ CASE WHEN label IN ('split', 'missing') THEN concat(' cause-', cast(k % 4 AS varchar(9)), ' ') ELSE ' ' END AS expected_root_cause, CASE WHEN k % 7 = 0 THEN 'other' WHEN run = 'system' THEN concat('cause-', cast(k % 4 AS varchar(9))) END AS root_cause,
+ CASE WHEN label = 'split' THEN 'allocate' END AS expected_resolution, CASE WHEN k % 3 = 1 OR run = 'system' THEN 'allocate' ELSE 'escalate' END AS resolution FROM (
+ SELECT o_orderkey AS k, o_orderpriority AS suite, CASE o_orderkey % 10 WHEN 5 THEN 'split' WHEN 6 THEN 'missing' WHEN 8 THEN 'hard_negative' WHEN 7 THEN 'Legitimate' ELSE 'matched' END AS label, CAST(o_totalprice AS DECIMAL(20,4)) AS price FROM orders) c CROSS JOIN (SELECT 'system' AS run UNION ALL SELECT 'baseline' AS run) r"""
+
+
+@query(f"""WITH r AS (SELECT *, label IN ('split', 'missing') AS actual, label IN ('hard_negative', 'Legitimate') AS hard, coalesce(label = predicted_label, false) AS ok, coalesce(detected_exception, predicted_label IN ('split', 'missing'), false) AS det,
+  CASE WHEN amount > 0 THEN amount ELSE price END AS money, nullif(trim(expected_root_cause), '') AS er, CASE WHEN k % 5 = k % 7 THEN 1 ELSE 2 END AS ne FROM ({RCA})),
+x AS (SELECT *, CASE WHEN hard THEN CASE WHEN det THEN 'fp' END WHEN actual AND NOT det THEN 'fn' WHEN auto_resolved AND NOT ok THEN 'fp' END AS exposure FROM r),
+g AS (SELECT suite, run, count(*) AS cases, round(count(*) FILTER (WHERE er = root_cause) / count(er), 6) AS root_cause_accuracy, round(count(*) FILTER (WHERE expected_resolution = resolution) / count(expected_resolution), 6) AS resolution_accuracy,
+  round(count(*) FILTER (WHERE hard AND det) / count(*) FILTER (WHERE hard), 6) AS hard_negative_fpr, round(count(*) FILTER (WHERE auto_resolved) / count(*), 6) AS automation_rate,
+  CAST(coalesce(sum(money) FILTER (WHERE exposure = 'fp'), 0) AS DECIMAL(30,4)) AS fp_exposure, CAST(coalesce(sum(money) FILTER (WHERE exposure = 'fn'), 0) AS DECIMAL(30,4)) AS fn_exposure, CAST(coalesce(sum(money) FILTER (WHERE ok AND det = actual), 0) AS DECIMAL(30,4)) AS amount_correct,
+  count(*) FILTER (WHERE actual AND det) AS tp, count(*) FILTER (WHERE NOT actual AND det) AS fp, count(*) FILTER (WHERE actual AND NOT det) AS fn, count(*) FILTER (WHERE NOT actual AND NOT det) AS tn,
+  CASE run WHEN 'system' THEN 1.0 ELSE 0.0 END AS evidence_precision, round(avg(CASE run WHEN 'system' THEN 1.0 / ne ELSE 0.0 END), 6) AS evidence_recall FROM x GROUP BY 1, 2)
+SELECT suite, run, cases, root_cause_accuracy, resolution_accuracy, hard_negative_fpr, automation_rate, fp_exposure, fn_exposure, amount_correct, evidence_precision, evidence_recall, tn, {_PRF}, round((tp + tn) / cases, 6) AS accuracy FROM g""")
+def score_rca(spark, d):
+    e = lambda n: F.concat(F.lit("e"), F.col("k") % n)
+    rows = sql(spark, d, RCA).withColumn("amounts", F.array(-F.col("price"), (F.col("price") / 2).cast("decimal(20,4)")))
+    rows = rows.withColumn("expected_evidence", F.array(e(5), e(7))).withColumn("evidence_ids", F.when(F.col("run") == "system", F.array(e(5))).otherwise(F.array().cast("array<string>")))
+    return X.score_rca(rows, ["suite", "run"])
+
+
+BOOKS = """SELECT o_orderkey AS k, o_orderpriority AS suite, CAST(o_totalprice AS DECIMAL(20,4)) AS m, o_orderkey % 10 AS s FROM orders"""
+
+
+@query(f"""SELECT suite, round(avg(CASE WHEN s = 0 THEN CASE WHEN k % 4 = 0 THEN 1.0 ELSE 0.0 END WHEN k % 4 = 0 THEN 0.0 WHEN s = 1 THEN 0.5 ELSE 1.0 END), 6) AS journal_score, round(avg(CASE WHEN s = 2 THEN 0.5 ELSE 1.0 END), 6) AS field_score,
+ round(count(*) FILTER (WHERE k % 4 <> 0 AND s <> 1) / count(*), 6) AS balanced_rate, round(avg(CASE WHEN s = 3 THEN 0.5 WHEN s = 4 THEN 0.0 ELSE 1.0 END), 6) AS contradiction_precision, round(avg(CASE WHEN s = 4 THEN 0.0 ELSE 1.0 END), 6) AS contradiction_recall FROM ({BOOKS}) GROUP BY 1""")
+def score_accounting(spark, d):
+    zero = F.lit(0).cast("decimal(20,4)")
+    line = lambda account, debit, credit: F.struct(F.lit(account).alias("account"), debit.cast("decimal(20,4)").alias("debit"), credit.cast("decimal(20,4)").alias("credit"))
+    m, s = F.col("m"), F.col("s")
+    right = F.array(line("cash", m, zero), line("sales", zero, m))
+    rows = sql(spark, d, BOOKS).select(
+        "suite", F.when(s == 0, F.slice(right, 1, 0)).otherwise(right).alias("expected_lines"), F.when(F.col("k") % 4 == 0, F.slice(right, 1, 0)).when(s == 1, F.array(line("cash", m, zero), line("sales", zero, m + 1))).otherwise(right).alias("predicted_lines"),
+        F.create_map(F.lit("vendor"), F.lit("v"), F.lit("total"), m.cast("string")).alias("expected_fields"), F.create_map(F.lit("vendor"), F.lit("v"), F.lit("total"), F.when(s == 2, "0").otherwise(m.cast("string"))).alias("predicted_fields"),
+        F.when(s.isin(3, 4), F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")).alias("expected"), F.when(s == 3, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("predicted"),
+    )
+    return X.score_accounting(rows, ["suite"])
+
+
+@query(f"SELECT run, suite, precision, recall, f1 FROM (SELECT suite, run, {_PRF} FROM (SELECT suite, run, {_COUNTS} FROM ({SCORED}) GROUP BY 1, 2))")
+def bench_report(spark, d):
+    """The suite metrics as JSON lines in the shared folder, read back."""
+    path = fresh_path(spark, "report")
+    X.label_match(scored(spark, d), ["suite", "run"]).select("run", "suite", "precision", "recall", "f1").write.json(path)
+    return spark.read.schema("run string, suite string, precision double, recall double, f1 double").json(path)
+
+
 # --- controls ---------------------------------------------------------------------------------------------------
 
 ACTIONS = """SELECT o_orderkey AS action_id, CAST(CASE WHEN o_orderkey % 11 = 0 THEN 5000 ELSE o_totalprice / 20 END AS DECIMAL(20,4)) AS amount, o_orderkey % 2 = 0 AS exact_match, o_orderkey % 3 = 0 AS known_variance, o_orderkey % 5 <> 0 AS evidence_complete, o_orderkey % 7 = 0 AS unresolved,
@@ -547,6 +612,12 @@ def journal_validation(spark, d):
     return C.journal_validation(j, sql(spark, d, JLINES), closed, done).drop("valid")
 
 
+@query(f"SELECT o_orderkey AS journal_id, coalesce(sum(debit) = sum(credit), false) AS balanced FROM orders LEFT JOIN (SELECT * FROM ({JLINES}) WHERE journal_id % 9 <> 0 AND account_code IN ('A1', 'A2')) j ON j.journal_id = o_orderkey GROUP BY 1")
+def journal_balance(spark, d):
+    lines = sql(spark, d, JLINES).where("journal_id % 9 <> 0 and account_code in ('A1', 'A2')")
+    return C.journal_balance(tab(spark, d, "orders").select(F.col("o_orderkey").alias("journal_id")), lines)
+
+
 DECISIONS = "SELECT event_id AS decision_id, user_id AS review_id, ts AS decided_at, CASE event_type WHEN 'error' THEN 'ESCALATE' WHEN 'purchase' THEN 'AUTO_APPROVE' ELSE 'REJECT' END AS decision, CASE WHEN event_id % 9 = 0 THEN '' ELSE 'ann' END AS actor, 'ok' AS reason FROM events"
 
 
@@ -624,6 +695,36 @@ def features(spark, d):
     return _pairs(spark, d).select("s_record_id", "t_record_id", *[c for c in L.FEATURES if c not in ("score", "text_similarity")])
 
 
+CANDIDATES = f"""{CTE} SELECT concat(s.record_id, ':', t.record_id) AS candidate_id, s.record_id AS source_id, t.record_id AS target_id, s.amount AS s_amount, t.amount AS t_amount, s.currency AS s_currency, t.currency AS t_currency,
+ round(CAST(1 - abs(s.amount - t.amount) / greatest(s.amount, t.amount) AS DOUBLE), 4) AS score FROM invoices s JOIN payments t ON s.party = t.party"""
+
+
+def _candidates(spark, d):
+    wide = _pairs(spark, d).drop("score")
+    both_sides = [F.col(f"{a}_{c}").alias(f"{b}_{n}") for a, b in (("s", "source"), ("t", "target")) for c, n in (("record_id", "id"), ("record_type", "type"), ("currency", "currency"), ("party", "party"))]
+    score = F.round(1 - F.abs(F.col("s_amount") - F.col("t_amount")) / F.greatest("s_amount", "t_amount"), 4).cast("double")
+    return wide.select(F.concat("s_record_id", F.lit(":"), "t_record_id").alias("candidate_id"), *both_sides, "s_amount", "t_amount", score.alias("score"))
+
+
+@query(f"""WITH c AS ({CANDIDATES}), g AS (SELECT x.source_id, unnest([x.target_id, y.target_id]) AS target_id FROM c x JOIN c y ON y.source_id = x.source_id AND y.target_id > x.target_id AND x.t_amount + y.t_amount = x.s_amount
+ UNION SELECT x.source_id, unnest([x.target_id, y.target_id, z.target_id]) FROM c x JOIN c y ON y.source_id = x.source_id AND y.target_id > x.target_id JOIN c z ON z.source_id = x.source_id AND z.target_id > y.target_id AND x.t_amount + y.t_amount + z.t_amount = x.s_amount
+ UNION SELECT unnest([x.source_id, y.source_id]), x.target_id FROM c x JOIN c y ON y.target_id = x.target_id AND y.source_id > x.source_id AND x.s_amount + y.s_amount = x.t_amount
+ UNION SELECT unnest([x.source_id, y.source_id, z.source_id]), x.target_id FROM c x JOIN c y ON y.target_id = x.target_id AND y.source_id > x.source_id JOIN c z ON z.target_id = x.target_id AND z.source_id > y.source_id AND x.s_amount + y.s_amount + z.s_amount = x.t_amount)
+SELECT candidate_id, g.source_id IS NOT NULL AS in_allocation FROM c LEFT JOIN g ON g.source_id = c.source_id AND g.target_id = c.target_id""")
+def allocation_flags(spark, d):
+    return M.allocation_flags(_candidates(spark, d))
+
+
+@query(f"""WITH c AS (SELECT *, CAST(score AS DECIMAL(10,6)) AS x FROM ({CANDIDATES})), e AS (SELECT candidate_id, max(x) OVER (PARTITION BY source_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS rs,
+  max(x) OVER (PARTITION BY target_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS rt FROM c WHERE s_currency = t_currency),
+m AS (SELECT c.*, s_currency = t_currency AS one, x >= 0.5 AND (rs IS NULL OR x - rs >= 0.05) AND (rt IS NULL OR x - rt >= 0.05) AS review FROM c LEFT JOIN e USING (candidate_id))
+SELECT candidate_id, score, CASE WHEN one AND review THEN 'REVIEW' ELSE 'UNRESOLVED' END AS suggestion, false AS automatic_action_eligible,
+ CASE WHEN NOT one THEN 'CURRENCY_MISMATCH' WHEN review THEN 'REVIEW_ONLY_MODEL' WHEN x >= 0.5 THEN 'AMBIGUOUS_RECORD_MATCH' ELSE 'BELOW_REVIEW_THRESHOLD' END AS reason FROM m""")
+def rank_candidates(spark, d):
+    metadata = {"review_threshold": "0.50", "review_gate_passed": True, "review_policy": "separated", "relationships": ["invoice->payment"]}
+    return C.rank_candidates(_candidates(spark, d), metadata)
+
+
 EXAMPLES = "SELECT o_orderkey AS example_id, o_custkey AS entity, cast(o_totalprice * 100 AS bigint) AS seed, CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey / 100 ELSE -o_orderkey END AS scenario FROM orders"
 
 
@@ -638,13 +739,41 @@ def grouped_split(spark, d):
     return groups.join(L.grouped_split(groups).drop("n"), "group")
 
 
+def _folds(spark, d):
+    return cut(_pairs(spark, d).withColumn("fold", F.pmod(F.xxhash64("s_party"), F.lit(3))).drop("s_currency", "t_currency"), "examples")
+
+
+TRAINED = ["amount_delta", "amount_relative", "days", "currency_match"]
+
+
+@query()
+def train_baselines(spark, d):
+    """Both models, fitted on one part of the parties, by their validation metrics; the best comes first."""
+    rows = _folds(spark, d)
+    out = []
+    for name, model in L.train_baselines(rows.where("fold = 0"), TRAINED).items():
+        held = L.probabilities(model, rows.where("fold = 1"))
+        out.append(X.model_metrics(held.select(F.col("label").cast("int").alias("label"), F.round("probability", 4).alias("probability"))).withColumn("model", F.lit(name)))
+    best = Window.orderBy(F.desc("f1"), F.desc("auc"), "model")  # a row for each model
+    return X.union_all(out).withColumn("place", F.row_number().over(best))
+
+
+@query()
+def calibrate(spark, d):
+    """Brier score and log loss of the logistic model before and after calibration, on parties that neither fit saw."""
+    rows = _folds(spark, d)
+    model = L.train_baselines(rows.where("fold = 0"), TRAINED)["logistic"]
+    part = lambda k: L.probabilities(model, rows.where(F.col("fold") == k)).select("label", "probability")
+    done = L.calibrate(part(2), part(1))
+    return X.union_all([X.calibration_quality(done.select("label", F.col(c).alias("probability"))).withColumn("scores", F.lit(c)) for c in ("probability", "calibrated")])
+
+
 @query()
 def train_pipeline(spark, d):
     """Train on one part of the parties, calibrate on another, score the rest; metrics of both models."""
-    rows = cut(_pairs(spark, d).withColumn("fold", F.pmod(F.xxhash64("s_party"), F.lit(3))).drop("s_currency", "t_currency"), "examples")
-    columns = ["amount_delta", "amount_relative", "days", "currency_match"]
+    rows = _folds(spark, d)
     out = []
-    for name, model in L.train_baselines(rows.where("fold = 0"), columns).items():
+    for name, model in L.train_baselines(rows.where("fold = 0"), TRAINED).items():
         held = L.probabilities(model, rows.where("fold = 1")).select("label", "probability")
         test = L.probabilities(model, rows.where("fold = 2")).select("label", "probability")
         calibrated = L.calibrate(test, held).select(F.col("label").cast("int").alias("label"), F.round("calibrated", 4).alias("probability"))
