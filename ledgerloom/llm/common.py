@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,12 @@ ROWS_PER_BUCKET = 8192
 #: Spark's setting that drops a query's shuffle files when the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Spark's own Bloom filter on the larger side of a shuffled join, whatever the sizes; its 4 MB do not grow.
+BLOOM = {
+    f"spark.sql.optimizer.runtime.bloomFilter.{k}": v
+    for k, v in {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1t", "expectedNumItems": "4000000", "maxNumItems": "4000000", "numBits": str(1 << 25), "maxNumBits": str(1 << 25)}.items()
+}
+
 #: White space of the word definition `[^\x20\x09-\x0D]+`.
 SPACES = "\t\n\x0b\x0c\r"
 
@@ -43,15 +51,24 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with settings(spark, {CLEANUP: "true"}):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while; the former values come back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def word_count(text: Column) -> Column:
     """Number of `[^\x20\x09-\x0D]+` in a text, JVM-side; null counts 0."""
     spaced = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashCache, columns, connected_components, mix64, save, shingle_hashes
+from .common import BLOOM, HashCache, columns, connected_components, mix64, save, settings, shingle_hashes
 
 K = 5
 
@@ -164,8 +164,11 @@ def link_documents(docs: DataFrame, percent: int = 75, region_rows: int = 64, de
     pairs = by_doc.where(left > 0).select(F.col("doc_id").alias("x"), F.explode(F.array_distinct(F.transform(F.slice("rows", 1, left), lambda r: r.pivot))).alias("p"))
     pairs = save(pairs.where("x <> p"), "jaccard-pairs")
 
-    wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("p").alias("doc_id"))).distinct()
-    sets = save(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, columns(doc_id="long", shingles="array<long>")), "jaccard-sets")
+    wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("p").alias("doc_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("uses"))
+    # Spark makes a Bloom filter of a side that is filtered: most texts that no pair names then stay out of the shuffle.
+    wanted = save(wanted, "jaccard-named").where("uses > 0").select("doc_id")
+    with settings(docs.sparkSession, BLOOM):
+        sets = save(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, columns(doc_id="long", shingles="array<long>")), "jaccard-sets")
     linked = F.col("shared") * 100 >= F.col("joint") * percent
     stars = save(_distances(pairs, sets), "jaccard-stars")
     links = stars.where(linked).select(F.col("x").alias("a"), F.col("p").alias("b"))
