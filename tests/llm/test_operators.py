@@ -121,6 +121,43 @@ def test_large_benchmarks_take_the_shuffled_way(spark, monkeypatch):
     assert decontaminate.contaminated(rows, bench).collect() == want and len(want) == 1
 
 
+def test_masks_hit_every_alignment_of_the_least_share():
+    """The most equal words that an alignment of n words can have without a hit, by its last seven words."""
+    hit = [int(m[::-1], 2) for m in decontaminate.MASKS]
+    most = {0: 0}
+    for n in range(1, 301):
+        after = {}
+        for last, ones in most.items():
+            for bit in (0, 1):
+                now = (last << 1 | bit) & 127
+                if not any(now & (m << k) == m << k for m in hit for k in range(7)):
+                    after[now] = max(after.get(now, 0), ones + bit)
+        most = after
+        assert max(most.values()) < max(8, 0.6 * n)
+
+
+def test_copies_with_replaced_words_are_found(spark):
+    rng = random.Random(9)
+    items = [words(rng, n, 5000) for n in (8, 15, 16, 20, 30, 60)]
+    bench, rows = spark.createDataFrame([*enumerate(items)], "item_id long, text string"), []
+    for text in items:
+        item = text.split()
+        gone = [{k for k in range(len(item)) if k % every == at} for every in (3, 4) for at in range(every)] + [{k for k in range(len(item)) if k % 6 > 2}]
+        gone += [set(rng.sample(range(len(item)), len(item) - -(-6 * len(item) // 10))) for _ in range(20)]
+        for lost in gone:
+            rows.append((len(rows), f"{words(rng, 20, 5000)} {' '.join('zzz' if k in lost else w for k, w in enumerate(item))} {words(rng, 20, 5000)}"))
+    want = set()
+    for i, text in rows:
+        w = text.split()
+        for k, item in enumerate(items):
+            v = item.split()
+            equal = max(sum(a == b for a, b in zip(w[s:], v)) for s in range(len(w)))
+            if equal >= 8 and equal >= 0.6 * len(v):
+                want.add((i, k))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert got == want and len(want) > 100
+
+
 # --- op1
 
 
