@@ -52,6 +52,11 @@ def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return invoices(spark, sf_dir), payments(spark, sf_dir)
 
 
+def settlements(payments: DataFrame) -> DataFrame:
+    """A settlement a day after each payment: the third record type."""
+    return payments.withColumn("record_id", F.concat(F.lit("S"), F.substring("record_id", 2, 20))).withColumn("record_type", F.lit("settlement")).withColumn("record_date", F.date_add("record_date", 1))
+
+
 CTE = f"WITH invoices AS ({INVOICES}), payments AS ({PAYMENTS})"
 
 # --- scalar functions -------------------------------------------------------------------------------------------
@@ -305,6 +310,19 @@ def alloc_many_to_one(spark, d):
     return M.allocate(p, i, largest=3).select("anchor_id", F.array_join("members", ",").alias("members"), "confidence")
 
 
+@query()
+def alloc_one_to_many_full(spark, d):
+    """Groups of up to 4, the operator's default."""
+    i, p = both(spark, d)
+    return M.allocate(i, p).select("anchor_id", F.array_join("members", ",").alias("members"), "confidence")
+
+
+@query()
+def alloc_many_to_one_full(spark, d):
+    i, p = both(spark, d)
+    return M.allocate(p, i).select("anchor_id", F.array_join("members", ",").alias("members"), "confidence")
+
+
 @query()
 def reconcile(spark, d):
     return M.reconcile(*both(spark, d))
@@ -314,8 +332,7 @@ def reconcile(spark, d):
 def reconcile_vendor(spark, d):
     """Two independent stages: invoice to payment, payment to a settlement a day later."""
     i, p = both(spark, d)
-    later = p.withColumn("record_id", F.concat(F.lit("S"), F.substring("record_id", 2, 20))).withColumn("record_type", F.lit("settlement")).withColumn("record_date", F.date_add("record_date", 1))
-    return M.reconcile_stages([("invoice-payment", i, p), ("payment-settlement", p, later)], largest=2)
+    return M.reconcile_stages([("invoice-payment", i, p), ("payment-settlement", p, settlements(p))])
 
 
 @query(f"{JOINED} SELECT 'RECONCILIATION_DECISION' AS event_type, 'reconciliation' AS entity_type, source_id AS entity_id, status FROM assigned")
@@ -396,7 +413,7 @@ def review_suggestions(spark, d):
 
 @query()
 def graph_pairs(spark, d):
-    return G.graph_pairs(_edges(spark, d).where("score >= 0.80"))
+    return G.graph_pairs(_whole(spark, d))
 
 
 @query()
@@ -405,8 +422,8 @@ def graph_allocations(spark, d):
     records = i.unionByName(p)
     # Edges within one party keep the groups of an anchor bounded.
     party = records.select("record_id", "party")
-    edges = G.candidate_edges(records, 1).join(party.withColumnsRenamed({"record_id": "source_id", "party": "a"}), "source_id").join(party.withColumnsRenamed({"record_id": "target_id", "party": "b"}), "target_id").where("a = b").drop("a", "b")
-    return G.graph_allocations(records, edges, 3)
+    edges = G.candidate_edges(records).join(party.withColumnsRenamed({"record_id": "source_id", "party": "a"}), "source_id").join(party.withColumnsRenamed({"record_id": "target_id", "party": "b"}), "target_id").where("a = b").drop("a", "b")
+    return G.graph_allocations(records, edges)
 
 
 @query(f"{EDGES} SELECT source_id || '>' || target_id AS path, 2 AS n_nodes, round(CAST(score AS DOUBLE), 6) AS confidence FROM edges WHERE source_type <> target_type AND score >= 0.80")
@@ -419,11 +436,48 @@ def lineage_paths(spark, d):
 @query()
 def reconcile_graph(spark, d):
     i, p = both(spark, d)
-    return M_graph(i.where("party is not null"), p)
+    return G.reconcile_graph(i.unionByName(p))
+
+
+# The same operators with their defaults: window 3, score 0.50. DuckDB is too slow for SQL here; tests hold them against brute force.
+
+
+def _whole(spark, d):
+    i, p = both(spark, d)
+    return G.candidate_edges(i.unionByName(p))
+
+
+@query()
+def candidate_edges_full(spark, d):
+    return _whole(spark, d)
+
+
+@query()
+def candidate_batch_full(spark, d):
+    return G.candidate_batch(*both(spark, d))
+
+
+@query()
+def rival_counts_full(spark, d):
+    return C.rival_counts(G.candidate_batch(*both(spark, d))).select("candidate_id", "rivals")
 
 
-def M_graph(i: DataFrame, p: DataFrame) -> DataFrame:
-    return G.reconcile_graph(i.unionByName(p), 0, 2)
+@query()
+def review_mask_full(spark, d):
+    return C.review_mask(G.candidate_batch(*both(spark, d)))
+
+
+@query()
+def review_suggestions_full(spark, d):
+    return C.review_suggestions(G.candidate_batch(*both(spark, d)))
+
+
+@query()
+def lineage_paths_full(spark, d):
+    """Three record types, so that paths have hops."""
+    i, p = both(spark, d)
+    records = i.unionByName(p).unionByName(settlements(p))
+    return G.lineage_paths(records, G.candidate_edges(records))
 
 
 # --- metrics ----------------------------------------------------------------------------------------------------
