@@ -34,11 +34,12 @@ def entity_nodes(records: DataFrame) -> DataFrame:
     return records.select(F.col("record_id").alias("node_id"), F.col("record_type").alias("node_type"), stage_rank(F.col("record_type")).alias("stage"), "amount", "currency", F.col("record_date").alias("node_date"), F.coalesce("reference", "external_id").alias("reference"), "party", F.coalesce("fee_amount", F.lit(0)).cast("decimal(20,4)").alias("fee"))
 
 
-def candidate_edges(records: DataFrame, window: int = 3, only_across: bool = False) -> DataFrame:
+def candidate_edges(records: DataFrame, window: int = 3, only_across: bool = False, by_reference: bool = False) -> DataFrame:
     """Unordered pairs of one currency within `window` days and two powers of ten, oriented by stage, then id.
 
     An equi-join on currency and date cells of window + 1 days; one side is replicated to the neighbouring cells, so
-    each pair meets once.
+    each pair meets once. Equal amounts score 0.95 on one day and 0.90 on two, near ones 0.80, others 0.50; with
+    `by_reference` a shared reference scores 0.95 and equal amounts 0.90 on every day.
     """
     rows = entity_nodes(records).withColumn("bucket", amount_bucket(F.col("amount"))).withColumn("cell", F.floor(F.datediff("node_date", F.lit("1970-01-01").cast("date")) / (window + 1)))
     a = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns if c not in ("currency", "cell")], "currency", "cell")
@@ -49,34 +50,40 @@ def candidate_edges(records: DataFrame, window: int = 3, only_across: bool = Fal
     if only_across:
         both = both.where("a_node_type <> b_node_type")
     key = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
-    same_ref = F.coalesce(key("a_reference") == key("b_reference"), F.lit(False))
     gap = F.abs(F.col("a_amount") - F.col("b_amount"))
-    score = F.when(same_ref, "0.95").when(gap == 0, "0.90").when(gap <= F.lit(CLOSE_AMOUNT).cast("decimal(20,4)"), "0.80").otherwise("0.50").cast("decimal(4,2)")
+    best = F.coalesce(key("a_reference") == key("b_reference"), F.lit(False)) if by_reference else (gap == 0) & (F.col("a_node_date") == F.col("b_node_date"))
+    score = F.when(best, "0.95").when(gap == 0, "0.90").when(gap <= F.lit(CLOSE_AMOUNT).cast("decimal(20,4)"), "0.80").otherwise("0.50").cast("decimal(4,2)")
     return both.select(F.col("a_node_id").alias("source_id"), F.col("b_node_id").alias("target_id"), F.col("a_node_type").alias("source_type"), F.col("b_node_type").alias("target_type"), "currency", score.alias("score"))
 
 
-def candidate_batch(sources: DataFrame, targets: DataFrame, window: int = 3) -> DataFrame:
+def candidate_batch(sources: DataFrame, targets: DataFrame, window: int = 3, by_reference: bool = False) -> DataFrame:
     """Cross-type candidates with id `source:target`."""
-    edges = candidate_edges(sources.unionByName(targets), window, only_across=True)
+    edges = candidate_edges(sources.unionByName(targets), window, only_across=True, by_reference=by_reference)
     return edges.withColumn("candidate_id", F.concat_ws(":", "source_id", "target_id"))
 
 
 def graph_allocations(records: DataFrame, edges: DataFrame, largest: int = 4) -> DataFrame:
     """Anchors by stage and id take a free group of one type along their edges whose amounts add up (0.88), or add up
-    but for the fees of the anchor and the group (0.82)."""
+    but for the fees of the anchor and the group (0.82): first all anchors along their out-edges, then along their in-edges.
+
+    Fees come off the whole: off the anchor on out-edges, off the group on in-edges."""
     nodes = entity_nodes(records)
     ends = edges.select(F.col("source_id").alias("anchor"), F.col("target_id").alias("other"), F.lit(0).alias("way")).union(edges.select(F.col("target_id").alias("anchor"), F.col("source_id").alias("other"), F.lit(1).alias("way")))
     other = nodes.select(F.col("node_id").alias("other"), F.col("node_type").alias("other_type"), F.col("amount").alias("part"), F.col("fee").alias("part_fee"))
     own = nodes.select(F.col("node_id").alias("anchor"), "stage", F.col("amount").alias("goal"), F.col("fee").alias("own_fee"))
     parts = ends.join(other, "other").withColumn("place", F.concat_ws("|", "anchor", "way", "other_type"))
-    singles = parts.select(F.col("place"), F.col("other").alias("record_id"), (F.col("part") + F.abs("part_fee")).cast("decimal(20,4)").alias("amount"))
+    kind, turn = "decimal(20,4)", lambda c: F.when(F.col("way") == 0, F.abs(c)).otherwise(-F.abs(c))
+    singles = parts.select("place", F.col("other").alias("record_id"), (F.col("part") + turn("part_fee")).cast(kind).alias("amount"))
     plain = parts.select(F.col("place"), F.col("other").alias("record_id"), F.col("part").alias("amount"))
     goals = parts.select("anchor", "place", "way").distinct().join(own, "anchor")
-    exact = subset_sums(goals.select("place", F.col("place").alias("record_id"), F.col("goal").alias("amount")), plain, ["place"], largest).withColumn("confidence", F.lit("0.88"))
-    with_fee = subset_sums(goals.where("own_fee <> 0").select("place", F.col("place").alias("record_id"), (F.col("goal") - F.abs("own_fee")).cast("decimal(20,4)").alias("amount")), singles, ["place"], largest).withColumn("confidence", F.lit("0.82"))
+    exact = subset_sums(goals.select("place", F.col("place").alias("record_id"), F.col("goal").alias("amount")), plain, ["place"], largest, positive=False)
+    with_fee = subset_sums(goals.select("place", F.col("place").alias("record_id"), (F.col("goal") - turn("own_fee")).cast(kind).alias("amount")), singles, ["place"], largest, positive=False)
+    # A group that adds up with its fees and without has none.
+    with_fee = with_fee.join(exact, ["anchor_id", "members"], "left_anti").withColumn("confidence", F.lit("0.82"))
+    exact = exact.withColumn("confidence", F.lit("0.88"))
     found = exact.union(with_fee).join(goals.select(F.col("place").alias("anchor_id"), "anchor", "stage", "way"), "anchor_id")
     options = found.withColumn("option_id", F.concat_ws("|", "anchor_id", "confidence", F.array_join("members", "|"))).withColumn("resources", F.concat(F.array("anchor"), "members"))
-    got = greedy_select(options, [F.col("stage"), F.col("anchor"), F.col("way"), F.size("members"), F.col("members"), F.col("confidence").desc()])
+    got = greedy_select(options, [F.col("way"), F.col("stage"), F.col("anchor"), F.size("members"), F.col("members"), F.col("confidence").desc()])
     return got.select(F.col("anchor").alias("anchor_id"), "members", F.col("confidence").cast("decimal(4,2)").alias("confidence"))
 
 

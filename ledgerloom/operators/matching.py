@@ -138,21 +138,21 @@ def assign_one_to_one(pairs: DataFrame) -> DataFrame:
     return greedy_select(options, order).drop("option_id", "resources")
 
 
-def subset_sums(anchors: DataFrame, parts: DataFrame, block: list[str], largest: int = 4) -> DataFrame:
+def subset_sums(anchors: DataFrame, parts: DataFrame, block: list[str], largest: int = 4, positive: bool = True) -> DataFrame:
     """(anchor_id, members): groups of 2 to `largest` parts of one block whose amounts add up to the anchor's.
 
     Members are in order of id. Size 2 meets the anchor by its sum, size 3 by pair and single, size 4 by two pairs,
-    each an equi-join on the block and the missing amount. Parts that are not positive take no part.
+    each an equi-join on the block and the missing amount. With `positive`, parts that are not positive take no part.
     """
     a = anchors.select(*block, F.col("record_id").alias("anchor_id"), F.col("amount").alias("goal"))
-    p = parts.where("amount > 0").select(*block, "record_id", "amount")
+    p = (parts.where("amount > 0") if positive else parts).select(*block, "record_id", "amount")
     one = p.select(*block, F.array("record_id").alias("m1"), F.col("record_id").alias("lo1"), F.col("amount").cast("decimal(30,4)").alias("rest"))
     q = p.select(*block, F.col("record_id").alias("id2"), F.col("amount").alias("amount2"))
     two = p.join(q, block).where("record_id < id2").select(*block, F.array("record_id", "id2").alias("m2"), (F.col("amount") + F.col("amount2")).cast("decimal(30,4)").alias("sum2"))
     keys = [*block, "rest"]
     out = [a.withColumn("rest", F.col("goal").cast("decimal(30,4)")).join(two.withColumnRenamed("sum2", "rest"), keys).select("anchor_id", F.col("m2").alias("members"))]
     if largest > 2:
-        left = a.join(two, block).where("sum2 < goal").withColumn("rest", (F.col("goal") - F.col("sum2")).cast("decimal(30,4)"))
+        left = (a.join(two, block).where("sum2 < goal") if positive else a.join(two, block)).withColumn("rest", (F.col("goal") - F.col("sum2")).cast("decimal(30,4)"))
         out.append(left.join(one, keys).where(F.col("lo1") > F.col("m2")[1]).select("anchor_id", F.concat("m2", "m1").alias("members")))
         if largest > 3:
             more = two.select(*block, F.col("m2").alias("m4"), F.col("sum2").alias("rest"))

@@ -369,7 +369,7 @@ edges AS (SELECT a.record_id AS source_id, b.record_id AS target_id, a.record_ty
 
 def _edges(spark, d, only_across=False):
     i, p = both(spark, d)
-    return G.candidate_edges(i.unionByName(p), 1, only_across)
+    return G.candidate_edges(i.unionByName(p), 1, only_across, by_reference=True)
 
 
 @query(f"{EDGES} SELECT * FROM edges")
@@ -379,7 +379,7 @@ def candidate_edges(spark, d):
 
 @query(f"{EDGES} SELECT *, source_id || ':' || target_id AS candidate_id FROM edges WHERE source_type <> target_type")
 def candidate_batch(spark, d):
-    return G.candidate_batch(*both(spark, d), window=1)
+    return G.candidate_batch(*both(spark, d), window=1, by_reference=True)
 
 
 @query(f"{EDGES} SELECT record_id AS node_id, record_type AS node_type, stage, amount, currency, record_date AS node_date, r AS reference, party, CAST(coalesce(fee_amount, 0) AS DECIMAL(20,4)) AS fee FROM n")
@@ -390,7 +390,7 @@ def entity_nodes(spark, d):
 
 @query(f"{EDGES}, c AS (SELECT *, source_id || ':' || target_id AS candidate_id FROM edges WHERE source_type <> target_type) SELECT candidate_id, count(*) OVER (PARTITION BY source_id) + count(*) OVER (PARTITION BY target_id) - 2 AS rivals FROM c")
 def rival_counts(spark, d):
-    return C.rival_counts(G.candidate_batch(*both(spark, d), window=1)).select("candidate_id", "rivals")
+    return C.rival_counts(G.candidate_batch(*both(spark, d), window=1, by_reference=True)).select("candidate_id", "rivals")
 
 
 MASK = f"""{EDGES}, c AS (SELECT *, source_id || ':' || target_id AS candidate_id FROM edges WHERE source_type <> target_type),
@@ -403,12 +403,12 @@ r AS (SELECT *, score >= 0.50 AND (rs IS NULL OR score - rs >= 0.05) AND (rt IS
 
 @query(f"{MASK} SELECT candidate_id, source_id, target_id, score, review FROM r")
 def review_mask(spark, d):
-    return C.review_mask(G.candidate_batch(*both(spark, d), window=1))
+    return C.review_mask(G.candidate_batch(*both(spark, d), window=1, by_reference=True))
 
 
 @query(f"{MASK} SELECT candidate_id, rivals, CASE WHEN rivals = 0 THEN 'INSUFFICIENT_CANDIDATE_SET' WHEN score < 0.50 THEN 'BELOW_REVIEW_THRESHOLD' WHEN NOT review THEN 'AMBIGUOUS_RECORD_MATCH' ELSE 'PENDING_REVIEW' END AS outcome FROM r")
 def review_suggestions(spark, d):
-    return C.review_suggestions(G.candidate_batch(*both(spark, d), window=1))
+    return C.review_suggestions(G.candidate_batch(*both(spark, d), window=1, by_reference=True))
 
 
 @query()
@@ -430,7 +430,7 @@ def graph_allocations(spark, d):
 def lineage_paths(spark, d):
     i, p = both(spark, d)
     records = i.unionByName(p)
-    return G.lineage_paths(records, G.candidate_edges(records, 1), min_score=0.8)
+    return G.lineage_paths(records, G.candidate_edges(records, 1, by_reference=True), min_score=0.8)
 
 
 @query()

@@ -87,3 +87,50 @@ def test_allocations_of_up_to_four(spark, tmp_path, name, whole, parts):
             want.add((a.record_id, ",".join(r.record_id for r in group)))
     assert {(r.anchor_id, r.members) for r in core.QUERIES[name](spark, str(tmp_path)).collect()} == want
     assert any(m.count(",") == 3 for _, m in want) or whole
+
+
+FIELDS = "record_id string, record_type string, external_id string, amount decimal(20,4), currency string, record_date date, reference string, party string, fee_amount decimal(20,4)"
+
+
+def test_edges_score_amount_and_date(spark):
+    day = date(2024, 1, 1)
+    row = lambda i, kind, amount, days: (i, kind, None, Decimal(amount), "EUR", day + timedelta(days), "r", None, Decimal(0))
+    records = spark.createDataFrame([row("i", "invoice", 100, 0), row("p", "payment", 100, 0), row("q", "payment", 100, 2), row("r", "payment", 105, 0), row("s", "payment", 200, 0)], FIELDS)
+    got = {(r.source_id, r.target_id): str(r.score) for r in core.G.candidate_edges(records, only_across=True).collect()}
+    assert got == {("i", "p"): "0.95", ("i", "q"): "0.90", ("i", "r"): "0.80", ("i", "s"): "0.50"}
+    batch = core.G.candidate_batch(records.where("record_type = 'invoice'"), records.where("record_type = 'payment'"))
+    assert [r.target_id for r in core.C.review_mask(batch).where("review").collect()] == ["p"]
+
+
+def brute_allocations(records, largest=4):
+    """The scan of the reference: all out-edge groups, then all in-edge groups, exact or short of the fees."""
+    edges, used, out = brute_edges(records), set(), set()
+    for way in (0, 1):
+        for a in sorted(records, key=lambda r: (STAGES[r.record_type], r.record_id)):
+            if a.record_id in used:
+                continue
+            free = sorted((k[1 - way] for i, k in edges.items() if i[way] == a.record_id and i[1 - way] not in used), key=lambda r: r.record_id)
+            for group in itertools.chain.from_iterable(itertools.combinations(free, n) for n in range(2, largest + 1)):
+                total, fee = sum(r.amount for r in group), sum(abs(r.fee_amount) for r in (a, *group))
+                short = total - a.amount if way else a.amount - total
+                if len({r.record_type for r in group}) == 1 and (short == 0 or short == fee > 0):
+                    out.add((a.record_id, *(r.record_id for r in group), "0.88" if short == 0 else "0.82"))
+                    used |= {a.record_id, *(r.record_id for r in group)}
+                    break
+    return out
+
+
+def test_allocations_with_fees_follow_the_scan(spark):
+    rng, rows = random.Random(8), []
+    for k in range(120):
+        kind = rng.choice(["invoice", "payment", "settlement"])
+        rows.append((f"{kind[0]}{k:03}", kind, None, Decimal(rng.randrange(1, 40)), rng.choice(["EUR", "USD"]), date(2024, 1, 1) + timedelta(rng.randrange(90)), None, None, Decimal(rng.choice([0, 0, 1, -2, 30]))))
+    # An invoice without a fee paid by two payments with fees; two invoices with fees paid by one payment.
+    far = date(2025, 1, 1)
+    rows += [("i900", "invoice", None, Decimal(100), "EUR", far, None, None, Decimal(0)), *((f"p90{k}", "payment", None, Decimal(48), "EUR", far, None, None, Decimal(2)) for k in (1, 2))]
+    far = date(2025, 6, 1)
+    rows += [("p910", "payment", None, Decimal(96), "EUR", far, None, None, Decimal(0)), *((f"i91{k}", "invoice", None, Decimal(50), "EUR", far, None, None, Decimal(2)) for k in (1, 2))]
+    records = spark.createDataFrame(rows, FIELDS)
+    want = brute_allocations(records.collect())
+    got = {(r.anchor_id, *r.members, str(r.confidence)) for r in core.G.graph_allocations(records, core.G.candidate_edges(records)).collect()}
+    assert got == want and {("i900", "p901", "p902", "0.82"), ("p910", "i911", "i912", "0.82")} <= got
