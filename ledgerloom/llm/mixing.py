@@ -20,6 +20,8 @@ WEIGHTS = (5, 2, 1)
 SLOTS_PER_ROW = 4096
 #: A prime; slot numbers times a factor below it stay within a long for up to 2**31 blocks of a source.
 PRIME = 2147483647
+#: Primes of which each seed, source and pass picks two as strides.
+STRIDES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121, 1000133, 1000151, 1000159, 1000171, 1000183, 1000187, 1000193, 1000199)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -47,7 +49,7 @@ def draw_blocks(goals: DataFrame, seed: int, shards: int, block_words: int) -> D
     """(source, block, shard, times): slots dealt to shards and mapped to blocks by the source's permutation.
 
     `goals` has source, source_size, target. Slot j of pass k takes block (a_k j + b_k) mod n with a_k coprime to n: a
-    bijection of the n blocks in each pass.
+    bijection of the n blocks in each pass; a_k and b_k are drawn by seed, source and pass.
     """
     n = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))
     plan = goals.where("source_size > 0").withColumn("blocks", n)
@@ -58,20 +60,21 @@ def draw_blocks(goals: DataFrame, seed: int, shards: int, block_words: int) -> D
     slots = plan.repartition("source", "chunk").withColumn("slot", F.explode(F.sequence(first, F.least(first + SLOTS_PER_ROW, F.col("slots")) - 1)))
     turn, at = F.floor(F.col("slot") / F.col("blocks")), F.col("slot") % F.col("blocks")
     hashed = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("source"), turn), F.lit(PRIME))
-    # 2**31 - 1 is prime: powers of one factor reduce to a value coprime to n when n is not a multiple of it.
-    factor = F.when(F.col("blocks") % PRIME == 0, F.lit(1)).otherwise(F.lit(PRIME) % F.col("blocks"))
-    block = F.pmod(factor * at + hashed(2), F.col("blocks"))
-    # Three coprime affine steps with a bit reversal between them would not be a bijection for every n; a second
-    # affine step by another prime breaks up the regular stride of the first.
-    other = F.when(F.col("blocks") % 1000003 == 0, F.lit(1)).otherwise(F.lit(1000003) % F.col("blocks"))
-    block = F.pmod(other * block + hashed(3), F.col("blocks"))
+    stride = lambda k: F.element_at(F.array(*map(F.lit, STRIDES)), (hashed(k) % len(STRIDES) + 1).cast("int")).cast("long")
+    # A prime is coprime to n when n is not a multiple of it.
+    step = lambda at, k: F.pmod(F.when(F.col("blocks") % stride(k) == 0, F.lit(1)).otherwise(stride(k) % F.col("blocks")) * at + hashed(k + 1), F.col("blocks"))
+    block = step(step(at, 2), 4)
     shard = F.pmod(F.xxhash64(F.lit(seed), F.lit(1), F.col("source"), F.col("slot")), F.lit(shards)).cast("int")
     return slots.select("source", block.alias("block"), shard.alias("shard")).groupBy("source", "block", "shard").agg(F.count(F.lit(1)).alias("times"))
 
 
+#: What tells rows apart: rows that agree here are alike, texts included.
+ROW = ("doc_id", "size", "h1", "h2")
+
+
 def pack(docs: DataFrame, block_words: int) -> DataFrame:
-    """(doc_id, source, size, start, block, words): the words that each document has in each block of its source."""
-    placed = running_sum(docs, ["source"], [F.col("doc_id"), F.col("size")], F.col("size"), "start")
+    """(doc_id, source, size, h1, h2, start, block, words): the words that each document has in each block of its source."""
+    placed = running_sum(docs, ["source"], [F.col(c) for c in ROW], F.col("size"), "start")
     # Repeated rows order arbitrarily among themselves, and are alike.
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
@@ -80,8 +83,20 @@ def pack(docs: DataFrame, block_words: int) -> DataFrame:
     return parts.withColumn("words", high - low)
 
 
+def _hashes() -> list[Column]:
+    """96 bits of a row's doc_id, source and text, null or not."""
+    parts = [F.isnull("doc_id"), F.col("doc_id"), F.isnull("source"), F.col("source"), F.isnull("text"), F.col("text")]
+    return [F.xxhash64(*parts).alias("h1"), F.hash(*parts).alias("h2")]
+
+
 def _sized(docs: DataFrame) -> DataFrame:
-    return save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    return save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *_hashes()), "mix-sizes")
+
+
+def shard_blocks(docs: DataFrame, seed: int = 17, shards: int = 64, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """(source, block, shard, times): how often each shard of the mix takes each block of its sources."""
+    sizes = _sized(docs).groupBy("source").agg(F.sum("size").alias("source_size"))
+    return draw_blocks(save(targets(sizes, weights, share, cap), "mix-targets"), seed, shards, block_words)
 
 
 def mix_sources(docs: DataFrame, seed: int = 17, shards: int = 64, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -91,30 +106,40 @@ def mix_sources(docs: DataFrame, seed: int = 17, shards: int = 64, block_words:
     is taken more than `cap` = 2 times; the same table and seed give the same mix. Repeated rows are documents of
     their own. An empty table gives an empty result; extra columns are ignored.
     """
+    return _mix(docs, seed, shards, block_words, weights, share, cap).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _mix(docs: DataFrame, seed: int = 17, shards: int = 64, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The mix with the hashes and the place in the stream of each row."""
     sized = _sized(docs)
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = save(targets(sizes, weights, share, cap), "mix-targets")
     drawn = draw_blocks(goals, seed, shards, block_words).groupBy("source", "block").agg(F.sum("times").alias("times"))
     taken = null_safe_join(pack(sized, block_words), drawn, ["source", "block"])
-    taken = taken.groupBy("doc_id", "source", "size", "start").agg(F.sum(F.col("words") * F.col("times")).alias("words"))
+    keys = ["source", *ROW, "start"]
+    taken = taken.groupBy(*keys).agg(F.sum(F.col("words") * F.col("times")).alias("words"))
     # By the place in the stream, which tells repeated rows apart: documents with words never share one.
-    placed = running_sum(sized, ["source"], [F.col("doc_id"), F.col("size")], F.col("size"), "start")
-    keys = ["doc_id", "source", "size", "start"]
-    every = null_safe_join(placed.where("size > 0"), taken, keys, "left").select("doc_id", "source", "size", F.coalesce("words", F.lit(0)).alias("taken"))
-    every = every.union(sized.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long")))
+    placed = running_sum(sized, ["source"], [F.col(c) for c in ROW], F.col("size"), "start")
+    every = null_safe_join(placed.where("size > 0"), taken, keys, "left").select(*keys, F.coalesce("words", F.lit(0)).alias("taken"))
+    every = every.union(sized.where("size = 0").select("source", *ROW, F.lit(0).cast("long"), F.lit(0).cast("long")))
     out = null_safe_join(every, goals, ["source"])
-    return out.select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    return out.withColumn("taken", F.col("taken").cast("long"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """Pipeline form: `docs` with each row repeated as often as the mix takes it.
 
-    Taken words over size is at most 2; the fraction is settled by a hash of doc_id, so that sources keep near their
-    targets. Texts without a word are not part of a mix of words.
+    Taken words over size is at most 2; the fraction is settled by a hash of the row and its place, so that sources
+    keep near their targets. Rows that are alike in doc_id, source and text share their copies out. Texts without a
+    word are not part of a mix of words.
     """
-    mix = mix_sources(docs, seed, **options).where("taken > 0")
+    mix = _mix(docs, seed, **options)
     ratio = F.try_divide(F.col("taken"), F.col("size"))
-    more = F.pmod(F.xxhash64(F.lit(seed), F.lit("copies"), "doc_id"), F.lit(1 << 20)) / (1 << 20) < ratio - F.floor(ratio)
-    copies = mix.select("doc_id", (F.floor(ratio) + more.cast("long")).cast("int").alias("copies")).where("copies > 0")
-    copies = copies.groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    more = F.pmod(F.xxhash64(F.lit(seed), F.lit("copies"), "h1", "h2", "start"), F.lit(1 << 20)) / (1 << 20) < ratio - F.floor(ratio)
+    copies = mix.where("size > 0").select("h1", "h2", (F.floor(ratio) + more.cast("long")).alias("n"))
+    copies = copies.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_rows")).where("_n > 0")
+    h1, h2 = _hashes()
+    both = docs.withColumns({"_h1": h1, "_h2": h2}).join(copies, ["_h1", "_h2"])
+    both = both.withColumn("_at", F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy("_h1")))
+    both = both.withColumn("_own", (F.floor(F.col("_n") / F.col("_rows")) + (F.col("_at") <= F.col("_n") % F.col("_rows")).cast("long")).cast("int")).where("_own > 0")
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*docs.columns)

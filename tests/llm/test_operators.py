@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -197,6 +198,40 @@ def test_mix_meets_targets(spark):
     assert max(copies.values()) <= 6 and 300 not in copies
 
 
+def test_mixed_documents_keep_null_and_repeated_ids(spark):
+    rng = random.Random(17)
+    rows = [(None, words(rng, 50), "a") for _ in range(40)] + [(1, words(rng, 50), "a") for _ in range(40)] + [(None, "one text twice", "a")] * 2
+    rows += [(100 + k, words(rng, 50), "b") for k in range(80)]
+    rows = [(*r, "en") for r in rows]
+    want = Counter()
+    for r in mixing.mix_sources(docs(spark, rows), block_words=1).collect():
+        want[r.doc_id, r.source] += r.taken
+    got, texts = Counter(), Counter()
+    for r in mixing.mixed_documents(docs(spark, rows), block_words=1).collect():
+        got[r.doc_id, r.source] += len(r.text.split())
+        texts[r.text] += 1
+    assert sum(v for (i, s), v in got.items() if i is None) > 0
+    for key in ((None, "a"), (1, "a")):
+        assert abs(got[key] - want[key]) < 0.25 * want[key]
+    given = Counter(t for _, t, *_ in rows)
+    assert all(texts[t] <= 2 * n for t, n in given.items()) and set(texts) <= set(given)
+
+
+def test_blocks_by_shard_follow_seed_and_pass(spark):
+    sources = spark.createDataFrame([("a", 6400, 12800.0), (None, 640, 960.0)], "source string, source_size long, target double")
+    assert all(p % k for p in mixing.STRIDES for k in range(2, 1001))
+    drawn = [mixing.draw_blocks(sources, seed, 8, 64).collect() for seed in (1, 2)]
+    for out in drawn:
+        times = Counter()
+        for r in out:
+            times[r.source, r.block] += r.times
+        assert {k for k in times if k[0] == "a"} == {("a", b) for b in range(100)} and all(v == 2 for k, v in times.items() if k[0] == "a")
+        assert sum(v for k, v in times.items() if k[0] is None) == 15
+    n = docs(spark, [(k, words(random.Random(k), 40), "ab"[k % 2]) for k in range(40)])
+    by_shard = mixing.shard_blocks(n, block_words=8).collect()
+    assert {r.shard for r in by_shard} <= set(range(64)) and len({r.shard for r in by_shard}) > 8
+
+
 def test_running_sum_is_a_running_sum(spark):
     rng = random.Random(8)
     rows = [(rng.choice(["a", None]), k, rng.randint(0, 9)) for k in range(500)]
