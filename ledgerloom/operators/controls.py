@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.storage import cut
+from .matching import allocation_flags
+
 #: The default rules in order: (test, decision, rule). `above` and `below` are strict.
 POLICY_RULES = [
     ("unresolved", "HUMAN_REVIEW", "UNRESOLVED_EXCEPTION"),
@@ -123,6 +126,28 @@ def review_suggestions(candidates: DataFrame) -> DataFrame:
     return rows.select("candidate_id", "rivals", reason.alias("outcome"))
 
 
+def review_outcomes(candidates: DataFrame, records: DataFrame, metadata: dict) -> DataFrame:
+    """(candidate_id, rivals, outcome) of pair candidates and, as `type:record_id`, of the records that have none.
+
+    The first of: part of an allocation, totals that differ, no rivals, the ranker's reason; else a proposal for review.
+    `records` are those that the candidates were made of.
+    """
+    sides = candidates
+    for side in ("source", "target"):
+        own = records.select(F.col("record_id").alias(f"{side}_id"), F.col("amount").alias(f"{side[0]}_amount"), F.col("currency").alias(f"{side}_currency"), F.col("party").alias(f"{side}_party"))
+        sides = sides.join(own, f"{side}_id")
+    sides = cut(sides, "review-candidates")
+    rows = sides.join(allocation_flags(sides), "candidate_id").join(rival_counts(sides).select("candidate_id", "rivals"), "candidate_id")
+    rows = rows.join(rank_candidates(sides, metadata).select("candidate_id", "suggestion", "reason"), "candidate_id")
+    outcome = (
+        F.when(F.col("in_allocation"), "UNSUPPORTED_ALLOCATION").when(F.col("s_amount") != F.col("t_amount"), "UNSUPPORTED_PARTIAL_PAYMENT").when(F.col("rivals") == 0, "INSUFFICIENT_CANDIDATE_SET")
+        .when(F.col("suggestion") != "REVIEW", F.col("reason")).otherwise("PENDING_REVIEW")
+    )
+    covered = sides.select(F.col("source_id").alias("record_id")).union(sides.select("target_id")).distinct()
+    alone = records.join(covered, "record_id", "left_anti").select(F.concat_ws(":", "record_type", "record_id"), F.lit(0).cast("long"), F.lit("NO_CANDIDATES"))
+    return rows.select("candidate_id", "rivals", outcome.alias("outcome")).union(alone)
+
+
 def rank_candidates(candidates: DataFrame, metadata: dict, policy: str = "separated") -> DataFrame:
     """Suggestion and first reason of scored candidates; none is ever eligible for an automatic action.
 

@@ -178,7 +178,7 @@ def allocation_flags(pairs: DataFrame) -> DataFrame:
     for whole, part, goal, amount in (("source_id", "target_id", "s_amount", "t_amount"), ("target_id", "source_id", "t_amount", "s_amount")):
         anchors = pairs.select(F.col(whole).alias("own"), F.col(whole).alias("record_id"), F.col(goal).alias("amount")).distinct()
         parts = pairs.select(F.col(whole).alias("own"), F.col(part).alias("record_id"), F.col(amount).alias("amount"))
-        found.append(subset_sums(anchors, parts, ["own"], 3).select(F.col("anchor_id").alias(whole), F.explode("members").alias(part)))
+        found.append(subset_sums(anchors, parts, ["own"], 3, positive=False).select(F.col("anchor_id").alias(whole), F.explode("members").alias(part)))
     flagged = found[0].unionByName(found[1]).distinct().withColumn("in_allocation", F.lit(True))
     return pairs.join(flagged, ["source_id", "target_id"], "left").select("candidate_id", F.coalesce("in_allocation", F.lit(False)).alias("in_allocation"))
 

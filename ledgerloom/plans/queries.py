@@ -447,6 +447,10 @@ def _whole(spark, d):
     return G.candidate_edges(i.unionByName(p))
 
 
+#: The metadata of a ranker that passed its gate.
+RANKER = {"review_threshold": "0.50", "review_gate_passed": True, "review_policy": "separated", "relationships": ["invoice->payment"]}
+
+
 @query()
 def candidate_edges_full(spark, d):
     return _whole(spark, d)
@@ -469,7 +473,9 @@ def review_mask_full(spark, d):
 
 @query()
 def review_suggestions_full(spark, d):
-    return C.review_suggestions(G.candidate_batch(*both(spark, d)))
+    """Every reason of the reference; the ranker's scores are those of the edges."""
+    i, p = both(spark, d)
+    return C.review_outcomes(G.candidate_batch(i, p), i.unionByName(p), RANKER)
 
 
 @query()

@@ -134,3 +134,40 @@ def test_allocations_with_fees_follow_the_scan(spark):
     want = brute_allocations(records.collect())
     got = {(r.anchor_id, *r.members, str(r.confidence)) for r in core.G.graph_allocations(records, core.G.candidate_edges(records)).collect()}
     assert got == want and {("i900", "p901", "p902", "0.82"), ("p910", "i911", "i912", "0.82")} <= got
+
+
+def test_review_suggestions_follow_the_scan(spark, folder):
+    i, p = core.both(spark, folder)
+    records = {r.record_id: r for r in i.unionByName(p).collect()}
+    edges = {k: v for k, v in brute_edges(list(records.values())).items() if k[0][0] != k[1][0]}
+
+    def score(a, b):
+        return (0.95 if a.record_date == b.record_date else 0.9) if a.amount == b.amount else 0.8 if abs(a.amount - b.amount) <= 10 else 0.5
+
+    flagged, want = set(), {}
+    for way in (0, 1):
+        for own in {k[way] for k in edges}:
+            group = [k for k in edges if k[way] == own]
+            for some in itertools.chain(itertools.combinations(group, 2), itertools.combinations(group, 3)):
+                if sum(records[k[1 - way]].amount for k in some) == records[own].amount:
+                    flagged |= set(some)
+    for k, (a, b) in edges.items():
+        rivals = [r for r in edges if r != k and (r[0] == k[0] or r[1] == k[1])]
+        # Rivals of two known parties compete with nothing.
+        best = max((score(*edges[r]) for r in rivals if edges[r][0].party == edges[r][1].party), default=0)
+        if k in flagged:
+            outcome = "UNSUPPORTED_ALLOCATION"
+        elif a.amount != b.amount:
+            outcome = "UNSUPPORTED_PARTIAL_PAYMENT"
+        elif not rivals:
+            outcome = "INSUFFICIENT_CANDIDATE_SET"
+        elif a.party != b.party:
+            outcome = "PARTY_CONFLICT"
+        else:
+            outcome = "PENDING_REVIEW" if score(a, b) - best >= 0.05 - 1e-9 else "AMBIGUOUS_RECORD_MATCH"
+        want[":".join(k)] = (len(rivals), outcome)
+    want |= {f"{r.record_type}:{k}": (0, "NO_CANDIDATES") for k, r in records.items() if not any(k in e for e in edges)}
+    rows = core.QUERIES["review_suggestions_full"](spark, folder).collect()
+    got = {r.candidate_id: (r.rivals, r.outcome) for r in rows}
+    assert got == want and len(rows) == len(want)
+    assert {"UNSUPPORTED_ALLOCATION", "UNSUPPORTED_PARTIAL_PAYMENT", "NO_CANDIDATES", "PENDING_REVIEW"} <= {o for _, o in got.values()}
