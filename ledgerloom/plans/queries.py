@@ -169,6 +169,15 @@ def cells_to_rows(spark, d):
     return rows.select("doc_id", "row_number", F.size("fields").alias("n_fields"), F.col("parser_confidence").cast("double").alias("parser_confidence"))
 
 
+@query()
+def cells_to_rows_full(spark, d):
+    """All lines of an order are the rows of its table; lines of one number are rows of their own."""
+    lines = tab(spark, d, "lineitem")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", *[c for c in lines.columns if c not in ("l_orderkey", "l_linenumber")]))
+    cells = lines.withColumn("row_index", place).select(F.col("l_orderkey").alias("doc_id"), (1 + F.col("l_orderkey") % 3).alias("page"), F.lit(0).alias("table_index"), "row_index", F.posexplode(F.array(F.concat(F.lit("Q "), "l_quantity"), F.concat(F.lit("S "), "l_returnflag"))).alias("column_index", "text"), F.lit(0.9).alias("confidence"))
+    return N.cells_to_rows(cells).select("doc_id", "row_number", F.size("fields").alias("n_fields"), F.col("parser_confidence").cast("double").alias("parser_confidence"))
+
+
 @query("""SELECT doc_id, CASE WHEN w = 0 OR n_chars = 0 THEN 0.0 WHEN w >= 3 AND n_chars >= 20 THEN 0.85 ELSE round((least(w / 20.0, 1.0) + least(n_chars / 200.0, 1.0)) / 2, 2) END AS confidence
 FROM (SELECT doc_id, n_chars, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS w FROM documents)""")
 def page_confidence(spark, d):
@@ -678,6 +687,13 @@ def journal_balance(spark, d):
     return C.journal_balance(tab(spark, d, "orders").select(F.col("o_orderkey").alias("journal_id")), lines)
 
 
+@query()
+def journal_balance_full(spark, d):
+    """All lines of all journals; journals below 0 have no lines."""
+    journals = tab(spark, d, "orders").select(F.explode(F.array("o_orderkey", -1 - F.col("o_orderkey"))).alias("journal_id"))
+    return C.journal_balance(journals, sql(spark, d, JLINES))
+
+
 DECISIONS = "SELECT event_id AS decision_id, user_id AS review_id, ts AS decided_at, CASE event_type WHEN 'error' THEN 'ESCALATE' WHEN 'purchase' THEN 'AUTO_APPROVE' ELSE 'REJECT' END AS decision, CASE WHEN event_id % 9 = 0 THEN '' ELSE 'ann' END AS actor, 'ok' AS reason FROM events"
 
 

@@ -171,3 +171,20 @@ def test_review_suggestions_follow_the_scan(spark, folder):
     got = {r.candidate_id: (r.rivals, r.outcome) for r in rows}
     assert got == want and len(rows) == len(want)
     assert {"UNSUPPORTED_ALLOCATION", "UNSUPPORTED_PARTIAL_PAYMENT", "NO_CANDIDATES", "PENDING_REVIEW"} <= {o for _, o in got.values()}
+
+
+def test_all_lines_are_used(spark, tmp_path):
+    lines = [(1, n, 5.0 + n, 7, "R", Decimal(a)) for n, a in ((1, 10), (2, 4), (3, 5), (4, 11))]
+    lines += [(9, 1, 1.0, 7, "A", Decimal(3)), (9, 2, 2.0, 50, "N", Decimal(3)), (2, 1, 1.0, 7, "A", Decimal(3)), (2, 2, 2.0, 7, "N", Decimal(3)), (2, 2, 3.0, 7, "N", Decimal(1))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_suppkey long, l_returnflag string, l_extendedprice decimal(20,2)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in (1, 2, 3, 9)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.journal_id: r.balanced for r in core.QUERIES["journal_balance_full"](spark, str(tmp_path)).collect()}
+    assert got == {1: True, 2: False, 3: False, 9: True, -2: False, -3: False, -4: False, -10: False}
+    rows = Counter((r.doc_id, r.row_number, r.n_fields) for r in core.QUERIES["cells_to_rows_full"](spark, str(tmp_path)).collect())
+    assert rows == Counter([(1, 2003, 2), (1, 2004, 2), (1, 2005, 2), (2, 3003, 2), (2, 3004, 2), (9, 1003, 2)])
+
+
+def test_every_line_of_the_given_table_is_a_row(spark):
+    folder = "/root/testdata/sf0.001"
+    lines = core.tab(spark, folder, "lineitem")
+    assert core.QUERIES["cells_to_rows_full"](spark, folder).count() == lines.count() - lines.select("l_orderkey").distinct().count()
