@@ -771,6 +771,11 @@ def features(spark, d):
     return _pairs(spark, d).select("s_record_id", "t_record_id", *[c for c in L.FEATURES if c not in ("score", "text_similarity")])
 
 
+@query()
+def features_full(spark, d):
+    return _pairs(spark, d).select("s_record_id", "t_record_id", *L.FEATURES)
+
+
 CANDIDATES = f"""{CTE} SELECT concat(s.record_id, ':', t.record_id) AS candidate_id, s.record_id AS source_id, t.record_id AS target_id, s.amount AS s_amount, t.amount AS t_amount, s.currency AS s_currency, t.currency AS t_currency,
  round(CAST(1 - abs(s.amount - t.amount) / greatest(s.amount, t.amount) AS DOUBLE), 4) AS score FROM invoices s JOIN payments t ON s.party = t.party"""
 
@@ -819,7 +824,7 @@ def _folds(spark, d):
     return cut(_pairs(spark, d).withColumn("fold", F.pmod(F.xxhash64("s_party"), F.lit(3))).drop("s_currency", "t_currency"), "examples")
 
 
-TRAINED = ["amount_delta", "amount_relative", "days", "currency_match"]
+TRAINED = list(L.FEATURES)
 
 
 @query()

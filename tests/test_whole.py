@@ -188,3 +188,13 @@ def test_every_line_of_the_given_table_is_a_row(spark):
     folder = "/root/testdata/sf0.001"
     lines = core.tab(spark, folder, "lineitem")
     assert core.QUERIES["cells_to_rows_full"](spark, folder).count() == lines.count() - lines.select("l_orderkey").distinct().count()
+
+
+def test_features_have_the_text_similarity(spark, folder):
+    assert list(core.L.FEATURES) == core.TRAINED
+    text = {r.record_id: (r.reference or "").lower().strip() for df in core.both(spark, folder) for r in df.collect()}
+    rows = core.QUERIES["features_full"](spark, folder).collect()
+    assert any(r.text_similarity == 1 for r in rows) and set(core.L.FEATURES) <= set(rows[0].asDict())
+    for r in rows:
+        a, b = text[r.s_record_id], text[r.t_record_id]
+        assert (r.text_similarity == 1) == (a == b != "") and (r.text_similarity > 0) == (a != "" and b != "")
