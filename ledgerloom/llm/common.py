@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, in local mode, one of our own.
+
+    On a cluster a folder of the driver's machine would not do, so there it must be set.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -103,19 +109,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return left.join(right, cond, how).drop(*[f"_r_{c}" for c in on])
 
 
-class HashCache(dict):
-    """Word -> 64-bit hash; emptied when it has grown too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_RNG = np.random.Generator(np.random.PCG64(20240229))
+_ODD = lambda n: _RNG.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A 64-bit number for each byte; white space is 0 and A-Z are as a-z.
+_BYTE = _ODD(256)
+_BYTE[65:91] = _BYTE[97:123]
+_BYTE[[32, 9, 10, 11, 12, 13]] = 0
+#: Factors for the place of a byte in its word: of the lower and of the higher 16 bits of the place.
+_PLACE, _BLOCK = _ODD(1 << 16), _ODD(1 << 16)
+_BLOCK[0] = 1
+_MULT = _ODD(5)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -125,21 +128,52 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(text: str | None, cache: HashCache, k: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles of a text, A-Z lower-cased.
+def word_hashes(data: bytes | np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of UTF-8 bytes, in order, A-Z lower-cased."""
+    code = _BYTE[np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data]
+    inside = code != 0
+    starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    lengths = np.diff(starts, append=len(code))
+    place = np.arange(len(code) - starts[0]) - np.repeat(starts - starts[0], lengths)
+    factor = _PLACE[place & 0xFFFF]
+    if lengths.max() > 1 << 16:
+        factor = factor * _BLOCK[(place >> 16) & 0xFFFF]
+    return mix64(np.add.reduceat(code[starts[0] :] * factor, starts - starts[0]))
 
-    Fewer than k words: the whole sequence as one shingle; no word or null: none.
-    """
-    words = text.encode().lower().split() if text else []
+
+def shingles_of(words: np.ndarray, k: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles; fewer than k words are one shingle, no word is none."""
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
     w = min(k, n)
     total = np.full(n - w + 1, np.uint64(w))
     for i in range(w):
-        total += h[i : n - w + 1 + i] * _MULT[i % 5] + np.uint64(i // 5)
-    return np.unique(mix64(total))
+        total += words[i : n - w + 1 + i] * _MULT[i % 5] + np.uint64(i // 5)
+    total = np.sort(mix64(total))
+    return total[np.concatenate(([True], total[1:] != total[:-1]))]
+
+
+def shingle_hashes(text: str | bytes | np.ndarray | None, k: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles of a text, A-Z lower-cased.
+
+    Fewer than k words: the whole sequence as one shingle; no word or null: none.
+    """
+    if text is None:
+        return np.empty(0, np.uint64)
+    return shingles_of(word_hashes(text.encode() if isinstance(text, str) else text), k)
+
+
+def text_bytes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The UTF-8 bytes of each text of an Arrow column without nulls, in place."""
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].tolist() if len(texts) else [0]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    for a, b in zip(at, at[1:], strict=False):
+        yield data[a:b]
 
 
 def connected_components(edges: DataFrame, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import chat_format, decontaminate, fingerprints, host_reputation, jaccard_join, kd_shards, language_id, mixing, pii, quality_mil, queries
-from ledgerloom.llm.common import HashCache, connected_components, running_sum
+from ledgerloom.llm.common import connected_components, running_sum, word_hashes
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, block int, node int"
@@ -85,6 +85,46 @@ def test_jaccard_awkward_rows(spark):
     assert jaccard_join.keep_one_of_each(docs(spark, rows)).count() == len(rows) - 3
 
 
+def test_jaccard_regions_are_cut_into_voronoi_cells(spark):
+    """Many members about one centre, most of them not near it: regions are cut, and no link goes lost."""
+    rng = random.Random(31)
+    centre = words(rng, 200, 10**6).split()
+    rows = []
+    for _ in range(12):
+        branch = list(centre)
+        for k in rng.sample(range(200), 9):
+            branch[k] = f"b{rng.random()}"
+        for _ in range(12):
+            leaf = list(branch)
+            for k in rng.sample(range(200), rng.choice([3, 5, 8])):
+                leaf[k] = f"l{rng.random()}"
+            rows.append((len(rows), " ".join(leaf)))
+    rng.shuffle(rows)
+    for size in (4, 64):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_documents(docs(spark, rows), region_rows=size, pivots=3).collect()}
+        assert got == brute_components(rows)
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    a, b = "one text of six words here", "another text of six words there"
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, b), (None, "alone with no id at all"), (7, b), (7, b), (8, ""), (8, None)]
+    clash = docs(spark, rows).withColumns({c: F.lit(c) for c in ("key", "row", "set_id", "root", "copies", "deal", "text_hash", "x", "p")})
+    kept = jaccard_join.keep_one_of_each(clash)
+    assert kept.columns == clash.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (None, "alone with no id at all"), (8, ""), (8, None)], key=str)
+    found = Counter((r.doc_id, r.component_id) for r in jaccard_join.link_documents(clash).collect())
+    assert found == Counter([(1, 1), (5, 1), (5, 5), (None, 1), (None, 5), (None, None), (7, 5), (7, 5), (8, 8), (8, 8)])
+    assert jaccard_join.keep_one_of_each(clash.limit(0)).count() == 0
+
+
+def test_word_hashes_tell_words_apart():
+    text = "A a b ab ba  Ab\tAB\né É " + "x" * 70000 + " " + "x" * 69999 + "y " + "x" * 70000
+    got = word_hashes(text.encode()).tolist()
+    want = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+    assert len(got) == len(want) and {(g, w) for g, w in zip(got, want, strict=True)} == set(zip(got, want)) and len(set(got)) == len(set(want))
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in connected_components(edges, "t").collect()}
@@ -397,18 +437,18 @@ def test_bad_hosts_are_blocked_and_few_labels_follow_the_domain(spark):
 
 
 def test_fingerprints_estimate_jaccard():
-    rng, cache = random.Random(12), HashCache()
+    rng = random.Random(12)
     errors = []
     for share in (0.0, 0.3, 0.6, 0.9, 1.0):
         a = words(rng, 800, 10**6).split()
         n = int(800 * share)
         b = a[:n] + words(rng, 800 - n, 10**6).split()
         x, y = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (a, b))
-        got = fingerprints.likeness(fingerprints.fingerprint(" ".join(a), cache), fingerprints.fingerprint(" ".join(b), cache))
+        got = fingerprints.likeness(fingerprints.fingerprint(" ".join(a)), fingerprints.fingerprint(" ".join(b)))
         errors.append(abs(got - len(x & y) / len(x | y)))
     assert max(errors) < 0.12
-    assert fingerprints.likeness("", "") == 1.0 and fingerprints.likeness("", fingerprints.fingerprint("a", cache)) == 0.0
-    assert len(fingerprints.fingerprint("a b", cache, 64, 4)) == 64
+    assert fingerprints.likeness("", "") == 1.0 and fingerprints.likeness("", fingerprints.fingerprint("a")) == 0.0
+    assert len(fingerprints.fingerprint("a b", 64, 4)) == 64
 
 
 def test_next_document_by_descending_id(spark, monkeypatch):
@@ -417,16 +457,15 @@ def test_next_document_by_descending_id(spark, monkeypatch):
     rows = [(k * 7 % 101, words(rng, rng.randint(0, 40))) for k in range(60)] + [(None, "last é text of all"), (500, None)]
     out = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs(spark, rows)).collect()}
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    cache = HashCache()
     assert len(out) == len(rows)
     for (i, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
         text, following = text or "", following or ""
         n = len(text) // 3
         new = text[: len(text) - n] + following[:n]
-        mark = fingerprints.fingerprint(text, cache)
+        mark = fingerprints.fingerprint(text)
         assert (out[i].n_chars, out[i].edited_sha256, out[i].fingerprint) == (len(text), hashlib.sha256(new.encode()).hexdigest(), mark)
-        assert out[i].edited_fingerprint == fingerprints.fingerprint(new, cache)
-        assert out[i].near_next == fingerprints.likeness(mark, fingerprints.fingerprint(following, cache))
+        assert out[i].edited_fingerprint == fingerprints.fingerprint(new)
+        assert out[i].near_next == fingerprints.likeness(mark, fingerprints.fingerprint(following))
     assert fingerprints.fingerprint_edits(docs(spark, [])).count() == 0
     assert fingerprints.fingerprint_edits(docs(spark, awkward(rng))).count() == 13
 
@@ -434,12 +473,40 @@ def test_next_document_by_descending_id(spark, monkeypatch):
 # --- op9
 
 
+def brute_forward(word, pieces, logs, k):
+    """By the definition: every segmentation's probability from its last piece back, whole words."""
+    w, sums = "▁" + word, [0.0]
+    for j in range(1, len(w) + 1):
+        terms = []
+        for i in range(j):
+            if w[i:j] in pieces:
+                terms.append(sums[i] + logs[pieces[w[i:j]], k])
+            elif i == j - 1:
+                terms.append(sums[i] + language_id.RARE)
+        top = max(terms)
+        sums.append(top + np.log(sum(np.exp(t - top) for t in terms)))
+    return sums[-1]
+
+
 def test_forward_sums_all_segmentations():
-    pieces = {"▁a": (0.2,), "▁ab": (0.1,), "b": (0.3,), "a": (0.05,), "▁": (0.01,)}
+    pieces = ["▁a", "▁ab", "b", "a", "▁", "abababababababab"]
+    logs = np.log(np.array([[0.2, 0.1], [0.1, 0.3], [0.3, 0.2], [0.05, 0.1], [0.01, 0.2], [0.02, 0.01]]))
+    lattice = language_id.Lattice(pieces)
     want = 0.1 + 0.2 * 0.3 + 0.01 * 0.05 * 0.3
-    assert np.exp(language_id.forward("ab", pieces, 1)[0]) == pytest.approx(want)
-    counts = language_id.expected_counts("ab", {k: v[0] for k, v in pieces.items()})
-    assert counts["▁ab"] == pytest.approx(0.1 / want) and counts["b"] == pytest.approx((0.06 + 0.00015) / want)
+    assert np.exp(language_id.forward(["ab"], lattice, logs)[0, 0]) == pytest.approx(want)
+    counts = language_id.expected_counts(["ab", "zz"], np.array([1, 5]), lattice, logs[:, 0])
+    assert counts[1] == pytest.approx(0.1 / want) and counts[2] == pytest.approx((0.06 + 0.00015) / want)
+    words_ = ["ab", "b", "é", "ab" * 150, "abc" * 60, "x", "a" * 40]
+    got = language_id.forward(words_, lattice, logs)
+    for w, row in zip(words_, got, strict=True):
+        for k in (0, 1):
+            assert row[k] == pytest.approx(brute_forward(w, {p: i for i, p in enumerate(pieces)}, logs, k), rel=1e-9)
+
+
+def test_pieces_and_words_are_whole():
+    pieces = language_id.load_pieces()
+    assert max(map(len, pieces)) > 12 and len(pieces) > 23700
+    assert language_id.words_of("x" * 100 + " Äb 1c") == ["x" * 100, "äb", "c"]
 
 
 def test_languages_on_the_held_out_fold(spark):
