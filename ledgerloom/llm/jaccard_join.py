@@ -34,8 +34,12 @@ from pyspark.sql import functions as F
 from .common import BLOOM, columns, connected_components, mix64, save, settings, shingle_hashes, text_bytes
 
 K = 5
+#: A document of n shingles may give up n / SLACK of its most frequent ones.
+SLACK = 16
 #: Rows from which a set of shingles is dealt out over DEALS tasks.
 HOT, DEALS = 256, 64
+#: Members and pivots of the regions that are cut further.
+REGION_ROWS, PIVOTS = 64, 4
 
 
 def _need(n: np.ndarray | int, percent: int):
@@ -46,12 +50,12 @@ def _need(n: np.ndarray | int, percent: int):
 def _prefix_lengths(n: int, percent: int) -> tuple[int, int]:
     """(rows emitted, rows kept) of the hash-ordered prefix of n shingles.
 
-    Let o(n) = ceil(t n), e(n) = n // 8 the slack and p(n) = n - o(n) + 1 + e(n) the prefix. If x and y link, they
+    Let o(n) = ceil(t n), e(n) = n // SLACK the slack and p(n) = n - o(n) + 1 + e(n) the prefix. If x and y link, they
     share at least max(o(x), o(y)) shingles. Say x's prefix ends first: x has o(x) - 1 - e(x) shingles beyond it, so
     at least 1 + e(x) shared ones lie in both prefixes. x may give up e(t x) <= e(x) and y may give up
     e(t y) <= e(x), since t y <= x: if all documents give up their last by one order, the first shared one stays.
     """
-    slack = lambda m: m // 8
+    slack = lambda m: m // SLACK
     return n - _need(n, percent) + 1 + slack(n), n - _need(n, percent) + 1 + slack(n) - slack(percent * n // 100)
 
 
@@ -92,16 +96,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingle_hashes(t, K).view(np.int64) for t in text_bytes(batch.column(1))]
         offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["set_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), values, batch.column(2)], names=["set_id", "shingles", "pivot"])
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _distances(pairs: DataFrame, sets: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
     """Pairs (x, p) with `shared` and `joint`: sizes of intersection and union.
 
-    Where few pairs are left, only the sets that they name are shuffled.
+    `pivots` are the sets that p names; where they are not given, only the sets that the pairs name are shuffled.
     """
+    pivots = sets.join(pairs.select(F.col("p").alias("set_id")).distinct(), "set_id", "left_semi") if pivots is None else pivots
     a = sets.select(F.col("set_id").alias("x"), F.col("shingles").alias("sx"))
-    b = sets.select(F.col("set_id").alias("p"), F.col("shingles").alias("sp")).join(pairs.select("p").distinct(), "p", "left_semi")
+    b = pivots.select(F.col("set_id").alias("p"), F.col("shingles").alias("sp"))
     shared = F.size(F.array_intersect("sx", "sp"))
     both = pairs.join(a, "x").join(b, "p")
     return both.select(*pairs.columns, shared.alias("shared"), (F.size("sx") + F.size("sp") - shared).alias("joint"))
@@ -162,37 +167,40 @@ def _voronoi(again: DataFrame, theta: float) -> DataFrame:
 
 
 def _classes(docs: DataFrame, percent: int, region_rows: int, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """The profile of every row (doc_id, text_hash, n_shingles, set_id), and (set_id, root): the sets that links join."""
+    """The profile of every row (doc_id, text_hash, n_shingles, set_id), and of each set its copies and its component's first row."""
     theta = 1 - percent / 100
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     profiles = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_profiles, columns(doc_id="long", text_hash="long", n_shingles="long", set_id="long"))
     profiles = save(profiles, "jaccard-profiles")
-    sizes = profiles.where("n_shingles > 0").groupBy("set_id").agg(F.first("n_shingles").alias("n"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    classes = profiles.where("n_shingles > 0").groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.min(row).alias("best"))
+    classes = save(classes, "jaccard-classes")
 
     entries = docs.select("text").mapInArrow(_prefixes(percent), columns(s="long", set_id="long"))
     shared = entries.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("set_id").alias("pivot"), F.max("set_id").alias("most")).where("pivot < most").drop("most")
     shared = save(shared, "jaccard-shared")
     n, need = F.col("n"), F.ceil(F.col("n") * percent / 100)
-    kept = n - need + 1 + F.floor(n / 8) - F.floor(F.floor(n * percent / 100) / 8)
-    emitted = n - need + 1 + F.floor(n / 8)
+    kept = n - need + 1 + F.floor(n / SLACK) - F.floor(F.floor(n * percent / 100) / SLACK)
+    emitted = n - need + 1 + F.floor(n / SLACK)
     # Shingles that one set has come first in the order of frequency, so only the shared ones need gathering.
-    by_set = entries.join(shared, "s").groupBy("set_id").agg(F.array_sort(F.collect_set(F.struct("df", "s", "pivot"))).alias("rows")).join(sizes, "set_id")
+    by_set = entries.join(shared, "s").groupBy("set_id").agg(F.array_sort(F.collect_set(F.struct("df", "s", "pivot"))).alias("rows")).join(classes.select("set_id", "n"), "set_id")
     left = (kept - (emitted - F.size("rows"))).cast("int")
     pairs = by_set.where(left > 0).select(F.col("set_id").alias("x"), F.explode(F.array_distinct(F.transform(F.slice("rows", 1, left), lambda r: r.pivot))).alias("p"))
     pairs = save(pairs.where("x <> p"), "jaccard-pairs")
 
-    wanted = pairs.select(F.col("x").alias("set_id")).union(pairs.select(F.col("p").alias("set_id"))).distinct()
-    # One row of each set that a pair names; of its rows the least id and text.
-    id_ = F.coalesce("doc_id", F.lit(0)).alias("id")
-    rows = profiles.join(wanted, "set_id").groupBy("set_id").agg(F.min(F.struct(id_, "text_hash")).alias("r")).select("set_id", "r.*", F.lit(1).alias("uses"))
+    wanted = pairs.select(F.col("x").alias("set_id"), F.lit(False).alias("pivot")).union(pairs.select(F.col("p"), F.lit(True))).groupBy("set_id").agg(F.max("pivot").alias("pivot"))
+    # One row of each set that a pair names: of its rows the one with the least id and text.
+    named = wanted.join(classes, "set_id").select("set_id", "pivot", F.coalesce("best.doc_id", F.lit(0)).alias("id"), "best.text_hash", F.lit(1).alias("uses"))
     # Spark makes a Bloom filter of a side that is filtered: most texts that no pair names then stay out of the shuffle.
-    rows = save(rows, "jaccard-named").where("uses > 0").drop("uses")
+    named = save(named, "jaccard-named").where("uses > 0").drop("uses")
     with settings(docs.sparkSession, BLOOM):
-        texts = docs.select(id_, F.xxhash64("text").alias("text_hash"), "text").join(rows, ["id", "text_hash"]).dropDuplicates(["set_id"]).select("set_id", "text")
-        sets = save(texts.mapInArrow(_sets, columns(set_id="long", shingles="array<long>")), "jaccard-sets")
+        texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text_hash"), "text").join(named, ["id", "text_hash"])
+        # Repeated rows have met in one partition already.
+        texts = texts.dropDuplicates(["id", "text_hash"]).select("set_id", "text", "pivot")
+        sets = save(texts.mapInArrow(_sets, columns(set_id="long", shingles="array<long>", pivot="boolean")), "jaccard-sets")
     linked = F.col("shared") * 100 >= F.col("joint") * percent
-    stars = save(_distances(pairs, sets), "jaccard-stars")
+    stars = save(_distances(pairs, sets, sets.where("pivot")), "jaccard-stars")
     links = stars.where(linked).select(F.col("x").alias("a"), F.col("p").alias("b"))
     component = connected_components(links, "jaccard")
 
@@ -232,29 +240,26 @@ def _classes(docs: DataFrame, percent: int, region_rows: int, pivots: int) -> tu
     last = save(_distances(tests, sets).where(linked).select(F.col("x").alias("a"), F.col("p").alias("b")), "jaccard-last")
     if last.limit(1).count():
         component = connected_components(links.union(last), "jaccard")
-    roots = sizes.select("set_id").join(component.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("root"))
-    return profiles, save(roots, "jaccard-roots")
+    roots = classes.join(component.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "copies", "best", F.coalesce("component", "set_id").alias("root"))
+    least = roots.groupBy("root").agg(F.min("best").alias("best"))
+    return profiles, save(roots.drop("best").join(least, "root").select("set_id", "copies", "best"), "jaccard-roots")
 
 
 def _by_class(profiles: DataFrame, found: DataFrame) -> DataFrame:
-    """`profiles` with the columns of `found`, which has a row for each set_id of a document with words.
+    """`profiles` with `best`, the first row of its component, null for rows without words.
 
     A set that HOT rows or more have is dealt out: its row is repeated and its documents take one of the repeats each.
     """
-    copies = profiles.where("n_shingles > 0").groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"))
-    hot = copies.where(F.col("copies") >= HOT).select("set_id")
-    more = [c for c in found.columns if c != "set_id"]
-    spread = found.join(hot, "set_id").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    spread = found.where(F.col("copies") >= HOT).select("set_id", F.col("best").alias("hot"), F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"))
     dealt = profiles.withColumn("deal", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(DEALS)).cast("int"))
-    first = dealt.join(spread.select("set_id", "deal", *[F.col(c).alias(f"hot_{c}") for c in more]), ["set_id", "deal"], "left")
-    # Rows that have their answer must not meet again on the hot set.
-    first = first.withColumn("key", F.when(F.col(f"hot_{more[0]}").isNull() & (F.col("n_shingles") > 0), F.col("set_id")).otherwise(F.xxhash64("doc_id", "text_hash")))
-    out = first.join(found.withColumnRenamed("set_id", "key"), "key", "left")
-    own = F.col("n_shingles") > 0
-    return out.select(*profiles.columns, *[F.when(own, F.coalesce(f"hot_{c}", c)).alias(c) for c in more])
+    first = dealt.join(spread, ["set_id", "deal"], "left")
+    # Rows that have their answer, and those that have none, must not meet on one set.
+    first = first.withColumn("key", F.when(F.col("hot").isNull() & (F.col("n_shingles") > 0), F.col("set_id")).otherwise(F.xxhash64("doc_id", "text_hash")))
+    out = first.join(found.where(F.col("copies") < HOT).select(F.col("set_id").alias("key"), "best"), "key", "left")
+    return out.select(*profiles.columns, F.when(F.col("n_shingles") > 0, F.coalesce("hot", "best")).alias("best"))
 
 
-def link_documents(docs: DataFrame, percent: int = 75, region_rows: int = 64, pivots: int = 4) -> DataFrame:
+def link_documents(docs: DataFrame, percent: int = 75, region_rows: int = REGION_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, the smallest doc_id reachable by links.
 
     Null or wordless texts have no shingle, link with nothing and are their own component; equal texts link if they
@@ -262,12 +267,8 @@ def link_documents(docs: DataFrame, percent: int = 75, region_rows: int = 64, pi
     components. Rows of a null doc_id link like others; their component is null if no id is in it. Whole texts count,
     whatever their length. Extra columns of `docs` are ignored. An empty table gives an empty result.
     """
-    profiles, roots = _classes(docs, percent, region_rows, pivots)
-    least = profiles.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id")).join(roots, "set_id")
-    least = least.groupBy("root").agg(F.min("id").alias("least"))
-    found = roots.join(least, "root").select("set_id", "root", "least")
-    out = _by_class(profiles, found)
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = _by_class(*_classes(docs, percent, region_rows, pivots))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -277,11 +278,7 @@ def keep_one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     texts are judged each by its own text; rows that repeat both are copies, of which one stays. All columns of
     `docs` come back, whatever their names; an empty table gives an empty result.
     """
-    profiles, roots = _classes(docs, percent, 64, 4)
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    best = profiles.where("n_shingles > 0").groupBy("set_id").agg(F.min(row).alias("best")).join(roots, "set_id")
-    best = best.groupBy("root").agg(F.min("best").alias("best"))
-    rows = _by_class(profiles, roots.join(best, "root").select("set_id", "best")).where("n_shingles > 0")
+    rows = _by_class(*_classes(docs, percent, REGION_ROWS, PIVOTS)).where("n_shingles > 0")
     wins = (F.col("best.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("best.text_hash") == F.col("text_hash"))
     lost = rows.where(~wins).select(_row_key("doc_id", F.col("text_hash"))).distinct()
     twice = rows.where(wins).groupBy(_row_key("doc_id", F.col("text_hash"))).count().where("count > 1").select("key")
