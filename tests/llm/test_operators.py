@@ -153,13 +153,29 @@ def test_contaminated_documents_are_found_and_clean_ones_left(spark):
     assert decontaminate.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
-def test_large_benchmarks_take_the_shuffled_way(spark, monkeypatch):
+def test_benchmarks_are_taken_in_blocks(spark, monkeypatch):
     rng = random.Random(6)
-    item = words(rng, 40, 5000)
-    bench, rows = spark.createDataFrame([(1, item)], "item_id long, text string"), docs(spark, [(1, "a b " + item), (2, words(rng, 50))])
-    want = decontaminate.contaminated(rows, bench).collect()
-    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
-    assert decontaminate.contaminated(rows, bench).collect() == want and len(want) == 1
+    items = [words(rng, 40, 5000) for _ in range(12)]
+    bench, rows = spark.createDataFrame([*enumerate(items), (50, "tiny item")], "item_id long, text string"), docs(spark, [(k, f"a b {t} c") for k, t in enumerate(items)] + [(70, words(rng, 50)), (71, "a tiny, ITEM")])
+    want = sorted(decontaminate.contaminated(rows, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 700)
+    assert sorted(decontaminate.contaminated(rows, bench).collect()) == want and len(want) == 13
+
+
+def test_an_item_s_word_counts_once(spark):
+    rng = random.Random(16)
+    item = words(rng, 50, 5000).split()
+    half, rest = " ".join(item[:20]), " ".join(item[20:45])
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "five words are an item"), (3, "")], "item_id long, text string")
+    long = words(rng, 30000, 5000)
+    rows = [(0, f"{half} x {half}"), (1, f"{half} put in {rest}"), (2, f"{long} {' '.join(item)} {long}"), (3, "so five, WORDS are an item it is"), (4, "five words were an item"), (5, half), (5, " ".join(item)), (None, " ".join(item)), (None, half), (6, " ".join(item)), (6, " ".join(item))]
+    clash = docs(spark, rows).withColumns({c: F.lit(c) for c in ("words", "pos", "h", "h1", "h2", "key", "row", "share", "item", "shift")})
+    got = Counter((r.doc_id, r.item_id, r.matched) for r in decontaminate.contaminated(clash, bench).collect())
+    assert got == Counter([(1, 1, 45), (2, 1, 50), (3, 2, 5), (5, 1, 50), (None, 1, 50), (6, 1, 50)])
+    kept = decontaminate.decontaminate(clash, bench)
+    assert kept.columns == clash.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(0, rows[0][1]), (4, rows[4][1]), (5, half), (None, half)], key=str)
+    assert decontaminate.decontaminate(clash, bench.limit(0)).count() == len(rows)
 
 
 def test_masks_hit_every_alignment_of_the_least_share():
