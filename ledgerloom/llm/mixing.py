@@ -1,10 +1,10 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-The words of each source form one stream, packed into blocks of a fixed length. The output is a number of shards;
-each of a source's slots falls into a shard by a hash of its number, which draws the shards' source counts from a
-multinomial given the source totals (so the mix meets its targets in each source, not only on average). Slots map
-through the source's pseudorandom index permutation to block numbers, once through all blocks before any repeats, and
-blocks join by number.
+The words of each source form one stream, packed into blocks of a fixed length. The output is a number of shards of
+equal length in slots. Each shard draws how many slots each source gets from a multinomial (what the target weights
+give in whole slots is certain, the rest is drawn by its residual weights, so sources stay near their targets). A
+source's slots are numbered shard after shard and map to block numbers by a keyed pseudorandom permutation of the
+source's blocks, a new one for each pass through them; blocks join by number.
 """
 
 from __future__ import annotations
@@ -13,15 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import null_safe_join, running_sum, save, word_count
+from .common import SPACES, null_safe_join, running_sum, save, word_count
 
-BLOCK_WORDS = 128
+BLOCK_WORDS = 64
 WEIGHTS = (5, 2, 1)
 SLOTS_PER_ROW = 4096
-#: A prime; slot numbers times a factor below it stay within a long for up to 2**31 blocks of a source.
-PRIME = 2147483647
-#: Primes of which each seed, source and pass picks two as strides.
-STRIDES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121, 1000133, 1000151, 1000159, 1000171, 1000183, 1000187, 1000193, 1000199)
+SHARDS = 64
+ROUNDS = 4
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -45,42 +43,92 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return level.select("source", "source_size", F.least("most", F.coalesce(first * F.col("weight"), F.col("most"))).alias("target"))
 
 
-def draw_blocks(goals: DataFrame, seed: int, shards: int, block_words: int) -> DataFrame:
-    """(source, block, shard, times): slots dealt to shards and mapped to blocks by the source's permutation.
+def permuted(at: Column, n: Column, key: list[Column]) -> Column:
+    """A keyed bijection of 0 .. n - 1: Feistel rounds over a grid of a x b >= n, walked on while outside n."""
+    a = F.ceil(F.sqrt(n)).cast("long")
+    b = F.ceil(n / a).cast("long")
+
+    def once(x: Column) -> Column:
+        left, right = F.floor(x / b).cast("long"), x % b
+        for i in range(ROUNDS):
+            if i % 2:
+                right = F.pmod(right + F.pmod(F.xxhash64(F.lit(i), left, *key), b), b)
+            else:
+                left = F.pmod(left + F.pmod(F.xxhash64(F.lit(i), right, *key), a), a)
+        return left * b + right
+
+    first = once(at)
+    # Fewer than a places lie outside, so a walk of a steps ends inside; nearly all end after the first.
+    walked = F.aggregate(F.sequence(F.lit(1).cast("long"), a), first, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(first < n, first).otherwise(walked)
 
-    `goals` has source, source_size, target. Slot j of pass k takes block (a_k j + b_k) mod n with a_k coprime to n: a
-    bijection of the n blocks in each pass; a_k and b_k are drawn by seed, source and pass.
+
+def shard_counts(goals: DataFrame, seed: int, shards: int, block_words: int) -> DataFrame:
+    """(source, blocks, shard, count, first): slots of each source in each shard, and the number of the first of them.
+
+    `goals` has source, source_size, target. A source's slots end at `target / source_size` rounded up to whole passes,
+    so that none is taken more often than the targets allow.
     """
-    n = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))
-    plan = goals.where("source_size > 0").withColumn("blocks", n)
+    blocks = F.ceil(F.col("source_size") / block_words)
+    plan = goals.where("source_size > 0 and target > 0").withColumn("blocks", blocks)
     # A block counts as source_size / blocks words, so that the last, shorter one does not bias the total.
-    plan = plan.withColumn("slots", F.least(F.round(F.col("target") / (F.col("source_size") / F.col("blocks"))), 2 * F.col("blocks")).cast("long"))
-    plan = plan.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOTS_PER_ROW))))
-    first = F.col("chunk") * SLOTS_PER_ROW
-    slots = plan.repartition("source", "chunk").withColumn("slot", F.explode(F.sequence(first, F.least(first + SLOTS_PER_ROW, F.col("slots")) - 1)))
-    turn, at = F.floor(F.col("slot") / F.col("blocks")), F.col("slot") % F.col("blocks")
-    hashed = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("source"), turn), F.lit(PRIME))
-    stride = lambda k: F.element_at(F.array(*map(F.lit, STRIDES)), (hashed(k) % len(STRIDES) + 1).cast("int")).cast("long")
-    # A prime is coprime to n when n is not a multiple of it.
-    step = lambda at, k: F.pmod(F.when(F.col("blocks") % stride(k) == 0, F.lit(1)).otherwise(stride(k) % F.col("blocks")) * at + hashed(k + 1), F.col("blocks"))
-    block = step(step(at, 2), 4)
-    shard = F.pmod(F.xxhash64(F.lit(seed), F.lit(1), F.col("source"), F.col("slot")), F.lit(shards)).cast("int")
-    return slots.select("source", block.alias("block"), shard.alias("shard")).groupBy("source", "block", "shard").agg(F.count(F.lit(1)).alias("times"))
+    plan = plan.withColumn("want", F.col("target") / F.col("source_size") * F.col("blocks"))
+    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total = F.sum("want").over(everything)
+    plan = plan.withColumn("share", F.col("want") / total).withColumn("slots", F.round(total).cast("long"))
+    grid = plan.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition("shard")
+    ends = lambda k: F.floor(F.col("slots") * k / shards)
+    grid = grid.withColumn("length", ends(F.col("shard") + 1) - ends(F.col("shard")))
+    grid = grid.withColumn("sure", F.floor(F.col("length") * F.col("share") + 1e-9)).withColumn("odd", F.greatest(F.lit(0.0), F.col("length") * F.col("share") - F.col("sure")))
+    # The residual weights of a shard lie end to end; each draw takes the source that it falls on. A draw comes after
+    # the start of its source's stretch, so the last start before it is found in one pass over the shard.
+    line = Window.partitionBy("shard").orderBy(F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("at", F.coalesce(F.sum("odd").over(line), F.lit(0.0)))
+    rest = grid.groupBy("shard").agg((F.first("length") - F.sum("sure")).cast("int").alias("draws"), F.sum("odd").alias("width")).where("draws > 0")
+    draws = rest.select("shard", "width", F.explode(F.sequence(F.lit(1), F.col("draws"))).alias("k"))
+    # The draws of a shard are independent and even; from shard to shard each moves on by the golden ratio, so that what
+    # a source gets over all shards stays within few slots of its expectation.
+    unit = F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), F.col("k")), F.lit(1 << 30)) / F.lit(float(1 << 30)) + F.col("shard") * F.lit(0.6180339887498949)
+    unit = unit - F.floor(unit)
+    marks = grid.where("odd > 0").select("shard", "at", F.lit(0).alias("k"), F.struct("source").alias("own"))
+    marks = marks.unionByName(draws.select("shard", (unit * F.col("width")).alias("at"), "k", F.lit(None).cast(marks.schema["own"].dataType).alias("own")))
+    so_far = Window.partitionBy("shard").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = marks.withColumn("own", F.last("own", ignorenulls=True).over(so_far)).where("k > 0").groupBy("shard", F.col("own.source").alias("source")).agg(F.count(F.lit(1)).alias("more"))
+    counted = null_safe_join(grid, drawn, ["shard", "source"], "left").withColumn("count", (F.col("sure") + F.coalesce("more", F.lit(0))).cast("long"))
+    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)).cast("long"))
+    most = (F.ceil(F.col("target") / F.col("source_size") - 1e-9) * F.col("blocks")).cast("long")
+    kept = F.greatest(F.lit(0), F.least(F.col("count"), most - F.col("first"))).cast("long")
+    return counted.select("source", F.col("blocks").cast("long").alias("blocks"), "shard", kept.alias("count"), "first").where("count > 0")
+
+
+def draw_blocks(goals: DataFrame, seed: int, shards: int, block_words: int) -> DataFrame:
+    """(source, shard, slot, block): the slots of every shard and the blocks that they take.
+
+    Slot j of a source takes block permutation_k(j mod n) of pass k = j div n, so each pass takes every block once.
+    """
+    counts = save(shard_counts(goals, seed, shards, block_words), "mix-counts")
+    rows = counts.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / SLOTS_PER_ROW))))
+    begin = F.col("chunk") * SLOTS_PER_ROW
+    slots = rows.repartition("source", "shard", "chunk").withColumn("slot", F.explode(F.sequence(begin, F.least(begin + SLOTS_PER_ROW, F.col("count")) - 1)))
+    number = F.col("first") + F.col("slot")
+    block = permuted(number % F.col("blocks"), F.col("blocks"), [F.lit(seed), F.isnull("source"), F.col("source"), F.floor(number / F.col("blocks"))])
+    return slots.select("source", "shard", "slot", block.alias("block"))
 
 
 #: What tells rows apart: rows that agree here are alike, texts included.
 ROW = ("doc_id", "size", "h1", "h2")
 
 
-def pack(docs: DataFrame, block_words: int) -> DataFrame:
-    """(doc_id, source, size, h1, h2, start, block, words): the words that each document has in each block of its source."""
-    placed = running_sum(docs, ["source"], [F.col(c) for c in ROW], F.col("size"), "start")
-    # Repeated rows order arbitrarily among themselves, and are alike.
+def pack(placed: DataFrame, block_words: int) -> DataFrame:
+    """Rows with a place `start` in their source's stream, for each block that they reach: block, low, high.
+
+    low and high bound the row's words in the block, counted from the row's first word.
+    """
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    low = F.greatest(F.col("start"), F.col("block") * block_words)
-    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    return parts.withColumn("words", high - low)
+    low, high = F.greatest(F.lit(0), F.col("block") * block_words - F.col("start")), F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("start"))
+    return parts.withColumns({"low": low.cast("long"), "high": high.cast("long")})
 
 
 def _hashes() -> list[Column]:
@@ -93,13 +141,32 @@ def _sized(docs: DataFrame) -> DataFrame:
     return save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *_hashes()), "mix-sizes")
 
 
-def shard_blocks(docs: DataFrame, seed: int = 17, shards: int = 64, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(source, block, shard, times): how often each shard of the mix takes each block of its sources."""
-    sizes = _sized(docs).groupBy("source").agg(F.sum("size").alias("source_size"))
-    return draw_blocks(save(targets(sizes, weights, share, cap), "mix-targets"), seed, shards, block_words)
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows, and those with words and their place in the stream of their source."""
+    sized = _sized(docs)
+    # Repeated rows order arbitrarily among themselves, and are alike.
+    return sized, save(running_sum(sized.where("size > 0"), ["source"], [F.col(c) for c in ROW], F.col("size"), "start"), "mix-places")
+
+
+def mixed_blocks(docs: DataFrame, seed: int = 17, shards: int = SHARDS, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """(shard, slot, source, block, words): the mix itself, packed blocks of words in the slots of each shard.
 
+    A slot is the how-manieth of its source in its shard. Blocks hold `block_words` words but for the last one of a
+    source. Null and empty texts have no words; a null source is a source; an empty table gives an empty result.
+    """
+    sized, placed = _placed(docs)
+    goals = save(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "mix-targets")
+    h1, h2 = _hashes()
+    texts = docs.select(h1, h2, "text").dropDuplicates(["h1", "h2"])
+    spaced = F.translate("text", SPACES, " " * len(SPACES))
+    parts = pack(placed, block_words).join(texts, ["h1", "h2"]).select("source", "block", "start", F.slice(F.array_remove(F.split(spaced, " "), ""), (F.col("low") + 1).cast("int"), (F.col("high") - F.col("low")).cast("int")).alias("part"))
+    # A block's parts are bounded by its words.
+    blocks = parts.groupBy("source", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda p: p["part"])).alias("words"))
+    drawn = draw_blocks(goals, seed, shards, block_words)
+    return null_safe_join(drawn.hint("merge"), blocks, ["source", "block"]).select("shard", "slot", "source", "block", "words")
 
-def mix_sources(docs: DataFrame, seed: int = 17, shards: int = 64, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+
+def mix_sources(docs: DataFrame, seed: int = 17, shards: int = SHARDS, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target (its source's), taken (words the mix takes).
 
     Sizes are in words; null and empty texts have none and are never taken. A null source is a source. No document
@@ -109,37 +176,39 @@ def mix_sources(docs: DataFrame, seed: int = 17, shards: int = 64, block_words:
     return _mix(docs, seed, shards, block_words, weights, share, cap).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-def _mix(docs: DataFrame, seed: int = 17, shards: int = 64, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def _mix(docs: DataFrame, seed: int = 17, shards: int = SHARDS, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix with the hashes and the place in the stream of each row."""
-    sized = _sized(docs)
+    sized, placed = _placed(docs)
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = save(targets(sizes, weights, share, cap), "mix-targets")
-    drawn = draw_blocks(goals, seed, shards, block_words).groupBy("source", "block").agg(F.sum("times").alias("times"))
-    taken = null_safe_join(pack(sized, block_words), drawn, ["source", "block"])
-    keys = ["source", *ROW, "start"]
-    taken = taken.groupBy(*keys).agg(F.sum(F.col("words") * F.col("times")).alias("words"))
+    drawn = draw_blocks(goals, seed, shards, block_words).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
+    # Both sides grow with the words; their estimates do not, so a merge join is asked for.
+    parts = pack(placed, block_words).select("source", "start", "block", (F.col("high") - F.col("low")).alias("words"))
+    taken = null_safe_join(parts.hint("merge"), drawn, ["source", "block"]).groupBy("source", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # By the place in the stream, which tells repeated rows apart: documents with words never share one.
-    placed = running_sum(sized, ["source"], [F.col(c) for c in ROW], F.col("size"), "start")
-    every = null_safe_join(placed.where("size > 0"), taken, keys, "left").select(*keys, F.coalesce("words", F.lit(0)).alias("taken"))
+    every = null_safe_join(placed.hint("merge"), taken, ["source", "start"], "left").select("source", *ROW, "start", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     every = every.union(sized.where("size = 0").select("source", *ROW, F.lit(0).cast("long"), F.lit(0).cast("long")))
-    out = null_safe_join(every, goals, ["source"])
-    return out.withColumn("taken", F.col("taken").cast("long"))
+    return null_safe_join(every, goals, ["source"])
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """Pipeline form: `docs` with each row repeated as often as the mix takes it.
 
-    Taken words over size is at most 2; the fraction is settled by a hash of the row and its place, so that sources
-    keep near their targets. Rows that are alike in doc_id, source and text share their copies out. Texts without a
-    word are not part of a mix of words.
+    Documents stay whole: how many of their words the drawn blocks take, over their size (2 at most), says how often a
+    document is repeated; the fraction is settled by a hash of the row and its place, so that sources
+    keep near their targets. Rows that are alike in doc_id, source and text share their copies out. Rows of a null doc_id
+    or source are rows like others. Null texts and texts without a word are not part of a mix of words. All columns come
+    back, whatever their names; an empty table gives an empty result. `mixed_blocks` gives the packed blocks.
     """
     mix = _mix(docs, seed, **options)
     ratio = F.try_divide(F.col("taken"), F.col("size"))
     more = F.pmod(F.xxhash64(F.lit(seed), F.lit("copies"), "h1", "h2", "start"), F.lit(1 << 20)) / (1 << 20) < ratio - F.floor(ratio)
     copies = mix.where("size > 0").select("h1", "h2", (F.floor(ratio) + more.cast("long")).alias("n"))
-    copies = copies.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_rows")).where("_n > 0")
+    copies = copies.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 0")
     h1, h2 = _hashes()
-    both = docs.withColumns({"_h1": h1, "_h2": h2}).join(copies, ["_h1", "_h2"])
-    both = both.withColumn("_at", F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy("_h1")))
-    both = both.withColumn("_own", (F.floor(F.col("_n") / F.col("_rows")) + (F.col("_at") <= F.col("_n") % F.col("_rows")).cast("long")).cast("int")).where("_own > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*docs.columns)
+    # Whatever the columns of `docs` are called, they travel in one struct.
+    both = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), h1, h2).join(copies, ["h1", "h2"])
+    alone = both.where("rows = 1").select("row", F.col("n").cast("int").alias("own"))
+    at = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("n"))
+    again = both.where("rows > 1").withColumn("at", at).select("row", (F.floor(F.col("n") / F.col("rows")) + (F.col("at") <= F.col("n") % F.col("rows")).cast("long")).cast("int").alias("own"))
+    return alone.union(again).where("own > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("own")))).select("row.*")

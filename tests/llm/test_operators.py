@@ -273,19 +273,54 @@ def test_mixed_documents_keep_null_and_repeated_ids(spark):
     assert all(texts[t] <= 2 * n for t, n in given.items()) and set(texts) <= set(given)
 
 
-def test_blocks_by_shard_follow_seed_and_pass(spark):
-    sources = spark.createDataFrame([("a", 6400, 12800.0), (None, 640, 960.0)], "source string, source_size long, target double")
-    assert all(p % k for p in mixing.STRIDES for k in range(2, 1001))
-    drawn = [mixing.draw_blocks(sources, seed, 8, 64).collect() for seed in (1, 2)]
-    for out in drawn:
-        times = Counter()
+def test_permutations_are_bijections(spark):
+    rows = spark.range(40).select((F.col("id") + 1).alias("n")).withColumn("x", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    rows = rows.union(spark.range(1000).select(F.lit(1000), F.col("id").cast("int")))
+    seen = {}
+    for seed in (1, 2):
+        for r in rows.select("n", "x", mixing.permuted(F.col("x").cast("long"), F.col("n"), [F.lit(seed)]).alias("y")).collect():
+            seen.setdefault((seed, r.n), {})[r.x] = r.y
+    assert all(sorted(m.values()) == list(range(n)) for (_, n), m in seen.items())
+    assert seen[1, 1000] != seen[2, 1000] and sum(seen[1, 1000][x] == x for x in range(1000)) < 20
+
+
+def test_shards_draw_their_source_counts(spark):
+    sources = spark.createDataFrame([("a", 6400, 12800.0), (None, 640, 960.0), ("b", 3333, 2000.0), ("empty", 0, 0.0)], "source string, source_size long, target double")
+    drawn = {}
+    for seed, shards in ((1, 8), (2, 8), (1, 5)):
+        out = mixing.draw_blocks(sources, seed, shards, 64).collect()
+        times, per = Counter((r.source, r.block) for r in out), Counter(r.shard for r in out)
+        slots = {}
         for r in out:
-            times[r.source, r.block] += r.times
-        assert {k for k in times if k[0] == "a"} == {("a", b) for b in range(100)} and all(v == 2 for k, v in times.items() if k[0] == "a")
-        assert sum(v for k, v in times.items() if k[0] is None) == 15
-    n = docs(spark, [(k, words(random.Random(k), 40), "ab"[k % 2]) for k in range(40)])
-    by_shard = mixing.shard_blocks(n, block_words=8).collect()
-    assert {r.shard for r in by_shard} <= set(range(64)) and len({r.shard for r in by_shard}) > 8
+            slots.setdefault((r.source, r.shard), []).append(r.slot)
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+        own = Counter(r.source for r in out)
+        assert set(per) == set(range(shards)) and max(per.values()) - min(per.values()) <= 4
+        assert all(v <= 2 for v in times.values()) and abs(own["a"] - 200) <= shards and abs(own[None] - 15) <= shards and abs(own["b"] - 32) <= shards
+        assert {b for s, b in times if s == "a"} == set(range(100)) or own["a"] < 100
+        drawn[seed, shards] = sorted(map(str, out))
+    assert len({str(v) for v in drawn.values()}) == 3
+
+
+def test_mixed_blocks_are_the_taken_words(spark):
+    rows = docs(spark, [(k, words(random.Random(k), 1 + k % 50), "aab"[k % 3]) for k in range(60)] + [(90, None, "a"), (91, "", None)])
+    blocks = mixing.mixed_blocks(rows, block_words=8, shards=4).collect()
+    taken = {r.doc_id: r for r in mixing.mix_sources(rows, block_words=8, shards=4).collect()}
+    got, want = Counter(), Counter()
+    for r in blocks:
+        got[r.source] += len(r.words)
+        assert len(r.words) <= 8
+    for r in taken.values():
+        want[r.source] += r.taken
+    assert got == +want
+    text = {r.doc_id: Counter((r.text or "").split()) for r in rows.collect()}
+    have = sum((text[i] for i in text), Counter())
+    assert all(n <= 2 * have[w] for w, n in sum((Counter(r.words) for r in blocks), Counter()).items())
+    other = mixing.mix_sources(rows, block_words=8, shards=16).collect()
+    assert {(r.doc_id, r.taken) for r in other} != {(r.doc_id, r.taken) for r in taken.values()}
+    clash = rows.withColumns({c: F.lit(c) for c in ("copies", "_copy", "n", "rows", "own", "at", "h1", "row", "start")})
+    mixed = mixing.mixed_documents(clash)
+    assert mixed.columns == clash.columns and mixed.count() > 0 and mixing.mixed_documents(clash.limit(0)).count() == 0
 
 
 def test_running_sum_is_a_running_sum(spark):
