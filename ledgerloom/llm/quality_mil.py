@@ -1,7 +1,7 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages (windows of PASSAGE bytes over the whole text). Each passage becomes a vector of
-character-class shares, repetition and length; a small network encodes it; gated attention, learnt from document
+A document is a bag of passages (windows of PASSAGE bytes over the whole text). Each passage becomes a vector of hashed
+character trigrams, character-class shares, repetition and length; a small network encodes it; gated attention, learnt from document
 labels alone, weighs the passages; the weighted representation is scored by a logistic unit. The network is trained on
 the driver from a bounded sample of labelled rows; features and scores are computed by Spark tasks over whole texts.
 """
@@ -20,28 +20,31 @@ from pyspark.sql import functions as F
 from .common import columns, save
 
 PASSAGE = 512
-#: Bound of the labelled rows that the network is fitted on (lowest hashes of doc_id).
-MAX_FIT_ROWS = 6000
+#: Bounds of what the network is fitted on: labelled rows (lowest hashes of doc_id), and passages of each, dealt evenly
+#: over its text. Scores always take every passage.
+MAX_FIT_ROWS, MAX_FIT_PASSAGES = 6000, 32
 #: Texts are looked at in slices of about so many bytes, so memory does not grow with a batch.
 SLICE = 1 << 21
 
-# Character classes by byte: lower, upper, digit, space, line end, ! | * % $ & #, stops, other ASCII, non-ASCII.
-_CLASS = np.full(256, 13, np.uint8)
-_CLASS[128:] = 14
+# Character classes by byte: lower, upper, digit, space, line end, stops, other ASCII, non-ASCII.
+_CLASS = np.full(256, 6, np.uint8)
+_CLASS[128:] = 7
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 0, 1, 2
-for _i, _chars in enumerate((" \t\r\x0b\x0c", "\n", "!", "|", "*", "%", "$", "&", "#", ".,;:?"), 3):
+for _i, _chars in ((3, " \t\r\x0b\x0c"), (4, "\n"), (5, ".,;:?!")):
     _CLASS[list(_chars.encode())] = _i
-N_CLASSES = 15
-N_FEATURES = N_CLASSES + 5
+N_CLASSES, GRAMS = 8, 512
+N_FEATURES = N_CLASSES + 3
+_LOWER = np.arange(256, dtype=np.uint32)
+_LOWER[65:91] += 32
 
 
-def passage_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(features of every passage, number of passages of each text); an empty text has none."""
+def passage_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, hashed trigram counts of every passage, number of passages of each text); an empty text has none."""
     sizes = np.array([len(t) for t in texts], np.int64)
     counts = -(-sizes // PASSAGE)
     total = int(counts.sum())
     if not total:
-        return np.empty((0, N_FEATURES), np.float32), counts
+        return np.empty((0, N_FEATURES), np.float32), np.empty((0, GRAMS), np.uint8), counts
     data = np.frombuffer(b"".join(texts), np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     own = np.repeat(np.arange(len(texts)), counts)
@@ -51,17 +54,21 @@ def passage_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     length = (last - first).astype(np.float64)
     kind = _CLASS[data]
     window = np.repeat(np.arange(total, dtype=np.int64), last - first)
-    hist = np.bincount(window * N_CLASSES + kind, minlength=total * N_CLASSES).reshape(total, N_CLASSES)
-    share = hist / length[:, None]
-    gap = (kind == 3) | (kind == 4)
-    words = np.add.reduceat(gap, first, dtype=np.int64) + 1
-    # A symbol right before a space ends a decorated word; an upper-case letter after another shouts.
-    marked = np.add.reduceat(np.append((kind[:-1] >= 5) & (kind[:-1] <= 11) & gap[1:], False), first, dtype=np.int64)
-    loud = np.add.reduceat(np.append((kind[:-1] == 1) & (kind[1:] == 1), False), first, dtype=np.int64)
+    share = np.bincount(window * N_CLASSES + kind, minlength=total * N_CLASSES).reshape(total, N_CLASSES) / length[:, None]
+    words = np.add.reduceat((kind == 3) | (kind == 4), first, dtype=np.int64) + 1
     raw = data.tobytes()
     packed = np.fromiter((len(zlib.compress(raw[a:b], 1)) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.float64, total)
-    more = np.stack([length / words / 10, marked / words, loud / length, packed / (length + 20), np.log(length) / 6], 1)
-    return np.concatenate([share, more], 1).astype(np.float32), counts
+    more = np.stack([length / words / 10, packed / (length + 20), np.log(length) / 6], 1)
+    low = _LOWER[data]
+    gram = ((low[:-2] | low[1:-1] << np.uint32(8) | low[2:] << np.uint32(16)) * np.uint32(2654435761)) >> np.uint32(23)
+    inside = window[:-2] == window[2:]
+    grams = np.bincount(window[:-2][inside] * GRAMS + gram[inside], minlength=total * GRAMS).reshape(total, GRAMS)
+    return np.concatenate([share, more], 1).astype(np.float32), np.minimum(grams, 255).astype(np.uint8), counts
+
+
+def design(features: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """What the network sees of each passage: its features, and square roots of its trigram counts."""
+    return np.concatenate([features, np.sqrt(grams, dtype=np.float32)], 1)
 
 
 def _slices(texts: list[str | None]) -> Iterator[list[bytes]]:
@@ -79,11 +86,11 @@ def _slices(texts: list[str | None]) -> Iterator[list[bytes]]:
 class GatedAttentionMIL:
     """h = tanh(x W + b); a = softmax over the bag of (tanh(h V) * sigmoid(h U)) w; score = sigmoid(sum(a h) c + d)."""
 
-    def __init__(self, hidden: int = 16, gate: int = 8, seed: int = 5):
+    def __init__(self, inputs: int = N_FEATURES + GRAMS, hidden: int = 16, gate: int = 8, seed: int = 5):
         rng = np.random.default_rng(seed)
-        shapes = {"W": (N_FEATURES, hidden), "b": (hidden,), "V": (hidden, gate), "U": (hidden, gate), "w": (gate,), "c": (hidden,), "d": ()}
-        self.p = {k: rng.normal(0, 0.3, s) if s and k != "b" else np.zeros(s) for k, s in shapes.items()}
-        self.mean, self.std, self.base = np.zeros(N_FEATURES), np.ones(N_FEATURES), 0.5
+        shapes = {"W": (inputs, hidden), "b": (hidden,), "V": (hidden, gate), "U": (hidden, gate), "w": (gate,), "c": (hidden,), "d": ()}
+        self.p = {k: rng.normal(0, inputs**-0.5 if k == "W" else 0.3, s) if s and k != "b" else np.zeros(s) for k, s in shapes.items()}
+        self.mean, self.std, self.base = np.zeros(inputs, np.float32), np.ones(inputs, np.float32), 0.5
 
     def _forward(self, x: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
         """x: passages of bags with one passage at least."""
@@ -107,32 +114,35 @@ class GatedAttentionMIL:
         dh = (f["a"][:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - f["h"] ** 2)
         return {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ de, "c": f["z"].T @ do, "d": do.sum()}
 
-    def fit(self, x: np.ndarray, counts: np.ndarray, label: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> GatedAttentionMIL:
+    def fit(self, features: np.ndarray, grams: np.ndarray, counts: np.ndarray, label: np.ndarray, epochs: int = 15, batch: int = 64, rate: float = 0.005, decay: float = 1e-4, seed: int = 5) -> GatedAttentionMIL:
         self.base = float(label.mean()) if len(label) else 0.5
-        if not len(x):
+        if not len(features):
             return self
-        self.mean, self.std = x.mean(0), x.std(0) + 1e-3
-        x = (x - self.mean) / self.std
-        full = np.flatnonzero(counts > 0)
         at = np.concatenate([[0], np.cumsum(counts)])
+        parts = [design(features[i : i + 4096], grams[i : i + 4096]) for i in range(0, len(features), 4096)]
+        self.mean = np.stack([x.sum(0, dtype=np.float64) for x in parts]).sum(0) / len(features)
+        self.std = np.sqrt(np.stack([((x - self.mean) ** 2).sum(0) for x in parts]).sum(0) / len(features)) + 0.05
+        self.mean, self.std = self.mean.astype(np.float32), self.std.astype(np.float32)
+        full = np.flatnonzero(counts > 0)
         m, v = {k: np.zeros_like(w) for k, w in self.p.items()}, {k: np.zeros_like(w) for k, w in self.p.items()}
         rng, step = np.random.default_rng(seed), 0
         for epoch in range(epochs):
             speed = rate * (1 - epoch / epochs)
             for part in np.array_split(rng.permutation(full), max(1, len(full) // batch)):
                 rows = np.concatenate([np.arange(at[i], at[i + 1]) for i in part])
-                g, step = self._gradients(x[rows], counts[part], label[part]), step + 1
+                x = (design(features[rows], grams[rows]) - self.mean) / self.std
+                g, step = self._gradients(x, counts[part], label[part]), step + 1
                 for k in self.p:
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
                     v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
                     self.p[k] = self.p[k] * (1 - decay) - speed * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
-    def score(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def score(self, features: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Scores of bags; one without passages gets the share of label 1."""
         out, full = np.full(len(counts), self.base), counts > 0
-        if len(x):
-            out[full] = self._forward((x - self.mean) / self.std, counts[full])["y"]
+        if len(features):
+            out[full] = self._forward((design(features, grams) - self.mean) / self.std, counts[full])["y"]
         return out
 
 
@@ -150,25 +160,31 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
         for batch in batches:
             at = 0
             for part in _slices(list(batch["text"])):
-                x, counts = passage_features(part)
-                bags = np.split(x, np.cumsum(counts)[:-1])
-                rows = batch.iloc[at : at + len(part)]
+                x, grams, counts = passage_features(part)
+                rows, begin, bags = batch.iloc[at : at + len(part)], np.cumsum(counts) - counts, []
                 at += len(part)
-                yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "label": rows["label"].to_numpy(), "x": [b.tobytes() for b in bags]})
+                for b, n in zip(begin.tolist(), counts.tolist(), strict=True):
+                    k = b + np.arange(min(n, MAX_FIT_PASSAGES)) * max(n, 1) // max(1, min(n, MAX_FIT_PASSAGES))
+                    bags.append(x[k].tobytes() + grams[k].tobytes())
+                yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "label": rows["label"].to_numpy(), "x": bags})
 
     # The sample is bounded by max_fit_rows rows of two numbers.
     bags = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(run, columns(doc_id="long", label="double", x="binary"))
-    frame = bags.toPandas().sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
-    x = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in frame["x"]]
-    flat = np.concatenate([np.empty((0, N_FEATURES), np.float32), *x]).astype(np.float64)
-    return GatedAttentionMIL().fit(flat, np.array([len(b) for b in x], np.int64), frame["label"].to_numpy(np.float64))
+    # One bag of each doc_id: at most max_fit_rows bags of MAX_FIT_PASSAGES passages come to the driver.
+    frame = bags.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("bag")).select("doc_id", "bag.*").toPandas().sort_values("doc_id")
+    width = 4 * N_FEATURES + GRAMS
+    counts = np.array([len(b) // width for b in frame["x"]], np.int64)
+    x = [np.frombuffer(b, np.float32, n * N_FEATURES).reshape(n, N_FEATURES) for b, n in zip(frame["x"], counts.tolist(), strict=True)]
+    grams = [np.frombuffer(b, np.uint8, n * GRAMS, 4 * n * N_FEATURES).reshape(n, GRAMS) for b, n in zip(frame["x"], counts.tolist(), strict=True)]
+    flat = np.concatenate([np.empty((0, N_FEATURES), np.float32), *x]), np.concatenate([np.empty((0, GRAMS), np.uint8), *grams])
+    return GatedAttentionMIL().fit(*flat, counts, frame["label"].to_numpy(np.float64))
 
 
 def score_quality(docs: DataFrame, model: GatedAttentionMIL, threshold: float = 0.3) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (1 if score >= threshold).
 
-    Null and empty texts have no passage and score the share of label 1 among the training rows. Repeated rows score
-    alike; extra columns are ignored; an empty table gives an empty result.
+    Null and empty texts have no passage and score the share of label 1 among the training rows. Every passage of a
+    text of any length counts. Repeated rows score alike; extra columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +197,10 @@ def score_quality(docs: DataFrame, model: GatedAttentionMIL, threshold: float =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """Pipeline form: `docs` without the rejected rows, scored in place so that no text is shuffled."""
+    """Pipeline form: `docs` without the rejected rows, scored in place so that no text is shuffled.
+
+    Each row is judged by its own text, whatever its doc_id, null or repeated; all columns come back.
+    """
     model = fit_quality(docs, labels, **options)
     schema, at = docs.schema, docs.columns.index("text")
 

@@ -9,7 +9,7 @@ from .chat_format import format_turns, read_back
 from .common import table
 from .decontaminate import contaminated
 from .fingerprints import fingerprint_edits
-from .host_reputation import judge_pages
+from .host_reputation import TWO_LABEL_SUFFIXES, judge_pages
 from .jaccard_join import link_documents
 from .kd_shards import shard_documents
 from .language_id import fit_languages, identify_languages
@@ -50,7 +50,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the label with its number; low quality is bad."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return judge_pages(table(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return judge_pages(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,8 @@ WITH p AS (
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 o AS (SELECT doc_id AS page_id, CAST(max(1 - quality) AS DOUBLE) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 h0 AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, coalesce(sum(bad), 0.0) AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY 1),
-h AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix FROM h0),
+h1 AS (SELECT *, string_split(host, '.') AS parts, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') IN (SUFFIXES) AS long FROM h0),
+h AS (SELECT host, n, bad, array_to_string(list_slice(parts, CASE WHEN long THEN -3 ELSE -2 END, -1), '.') AS domain, array_to_string(list_slice(parts, CASE WHEN long THEN -2 ELSE -1 END, -1), '.') AS suffix FROM h1),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY 1),
 g3 AS (SELECT sum(bad)/sum(n) AS r, sum(n) AS t, sum(n*n) AS nn, count(*) AS k, sum(bad*bad/n) AS bb FROM s WHERE n > 0),
@@ -105,14 +106,14 @@ q3 AS (SELECT suffix, (bad + prior * coalesce(m, 1000.0)) / (n + coalesce(m, 100
 q2 AS (SELECT d.suffix, domain, (bad + prior * coalesce(m, 1000.0)) / (n + coalesce(m, 1000.0)) AS prior FROM d JOIN q3 USING (suffix) LEFT JOIN m2 USING (suffix)),
 q1 AS (SELECT host, bad + prior * coalesce(m, 1000.0) AS x, n - bad + (1 - prior) * coalesce(m, 1000.0) AS y
   FROM h JOIN q2 USING (suffix, domain) LEFT JOIN m1 USING (suffix, domain)),
-l AS (SELECT host, greatest(0.0, x/(x+y) - 1.645 * sqrt(x*y / ((x+y)*(x+y)*(x+y+1)))) AS low FROM q1),
+l AS (SELECT host, x/(x+y) AS rate, greatest(0.0, x/(x+y) - 1.645 * sqrt(x*y / ((x+y)*(x+y)*(x+y+1)))) AS low FROM q1),
 v AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
   WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
-  ELSE CASE WHEN low > 0.25 THEN 'block' ELSE 'allow' END END AS verdict
-FROM v LEFT JOIN l USING (host)""",
+  ELSE CASE WHEN low > (SELECT prior FROM a) THEN 'block' ELSE 'allow' END END AS verdict, round(rate, 6) AS bad_rate, round(low, 6) AS bad_rate_low
+FROM v LEFT JOIN l USING (host)""".replace("SUFFIXES", ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)),
     # By equal words alone: alignments of eight equal words or more, of which four lie in six (or 1, 2, 3 and 7), and the
     # places of the item on them, each once. Items of fewer than eight words: none are in the table.
     "op7_decontaminate": r"""

@@ -379,8 +379,8 @@ def test_conversations(spark):
 
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
-    model, counts = quality_mil.GatedAttentionMIL(6, 4), np.array([2, 3, 1])
-    x, y = rng.normal(size=(6, quality_mil.N_FEATURES)), np.array([1.0, 0.0, 1.0])
+    model, counts = quality_mil.GatedAttentionMIL(20, 6, 4), np.array([2, 3, 1])
+    x, y = rng.normal(size=(6, 20)), np.array([1.0, 0.0, 1.0])
 
     def loss():
         p = model._forward(x, counts)["y"]
@@ -408,6 +408,31 @@ def test_quality_on_the_held_out_fold(spark):
     assert np.mean([r.predicted == r.quality for r in out]) > 0.93
 
 
+def test_scores_are_those_of_a_plain_loop(spark):
+    """The network by its definition, passage by passage, against the batched one."""
+    rng = random.Random(51)
+    texts = [words(rng, n) for n in (1, 80, 400, 5000)] + ["é" * 700, ""]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, quality int")
+    table = docs(spark, list(enumerate(texts)))
+    model = quality_mil.fit_quality(table, labels)
+    got = {r.doc_id: r.score for r in quality_mil.score_quality(table, model).collect()}
+    p = model.p
+    for k, text in enumerate(texts):
+        data, e, hs = text.encode(), [], []
+        for i in range(0, len(data), quality_mil.PASSAGE):
+            f, g, _ = quality_mil.passage_features([data[i : i + quality_mil.PASSAGE]])
+            grams = Counter(((int(a) | int(b) << 8 | int(c) << 16) * 2654435761 % 2**32) >> 23 for a, b, c in zip(*[data[i : i + quality_mil.PASSAGE].lower()[o:] for o in range(3)]))
+            assert [grams[q] for q in range(512)] == [int(v) for v in g[0]]
+            h = np.tanh(((quality_mil.design(f, g)[0] - model.mean) / model.std) @ p["W"] + p["b"])
+            e.append((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"])
+            hs.append(h)
+        if hs:
+            a = np.exp(e) / np.exp(e).sum()
+            assert got[k] == pytest.approx(1 / (1 + np.exp(-(np.array(hs).T @ a @ p["c"] + p["d"]))), abs=1e-5)
+        else:
+            assert got[k] == model.base
+
+
 def test_quality_awkward_rows(spark):
     rows = awkward(random.Random(10))
     labels = spark.createDataFrame([(4, 1, 0), (9, 0, 0), (9, 1, 0), (6, None, 1), (99, 1, 0)], "doc_id long, quality int, toxic int")
@@ -453,6 +478,17 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert pii.find_pii(docs(spark, awkward(random.Random(1)))).count() == 13
 
 
+def test_dropped_matches_are_never_marked_and_masked_seeds_are_found(spark):
+    rng = random.Random(41)
+    rows = [(k, f"mail {words(rng, 3)} me.{k}@mail{k % 7}.example.com {words(rng, 2)}") for k in range(60)] + [(100 + k, f"pay with card 41111111111111{k:02} now") for k in range(60)]
+    rows += [(300 + k, f"{words(rng, 4)} +1 ({200 + k}) 555-{1000 + k} {words(rng, 4)}") for k in range(60)] + [(400, "x" * 5000 + " write to jo@mail1.example.com")]
+    out = {r.doc_id: r for r in pii.find_pii(docs(spark, rows)).collect()}
+    assert all(len(r.entities) == r.n_card for i, r in out.items() if 100 <= i < 200)
+    got = {r.kind: r for r in pii.masked_recall(docs(spark, rows), 0.3).collect()}
+    assert got["email"].masked > 5 and got["email"].found >= 0.9 * got["email"].masked and got["phone"].found >= 0.9 * got["phone"].masked
+    assert all(r.wrong == 0 for r in got.values())
+
+
 def test_pii_query_keeps_the_base(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     for r in queries.op5_pii(spark, FOLDER).collect():
@@ -482,6 +518,17 @@ def test_bad_hosts_are_blocked_and_few_labels_follow_the_domain(spark):
     labels = spark.createDataFrame([(i, b) for i, _, b in rows], "page_id long, bad int")
     got = {r.page_id: r.verdict for r in host_reputation.judge_pages(pages, labels, {}).collect()}
     assert got[0] == "block" and got[100] == "allow" and got[500] == "allow"
+    assert "block" not in {r.verdict for r in host_reputation.judge_pages(pages, labels.limit(0), {}).collect()}
+    long = pages.union(spark.createDataFrame([(0, "http://bad.com/" + "x" * 100000), (0, "http://bad.com/0")], pages.schema)).withColumns({c: F.lit(c) for c in ("host", "rate", "low", "domain", "suffix", "bad")})
+    assert host_reputation.judge_pages(long, labels, {}).where("page_id = 0").count() == 3
+
+
+def test_two_label_suffixes_keep_sites_apart(spark):
+    rows = [(k, f"http://a.bad.co.uk/{k}", 1) for k in range(60)] + [(100 + k, f"http://good{k % 9}.co.uk/{k}", 0) for k in range(200)]
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows], "page_id long, bad int")
+    got = {r.page_id: r.verdict for r in host_reputation.judge_pages(pages, labels, {}).collect()}
+    assert {v for i, v in got.items() if i < 60} == {"block"} and {v for i, v in got.items() if i >= 100} == {"allow"}
 
 
 # --- op8
