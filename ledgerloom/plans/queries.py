@@ -796,8 +796,10 @@ def allocation_flags(spark, d):
     return M.allocation_flags(_candidates(spark, d))
 
 
-@query(f"""WITH c AS (SELECT *, CAST(score AS DECIMAL(10,6)) AS x FROM ({CANDIDATES})), e AS (SELECT candidate_id, max(x) OVER (PARTITION BY source_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS rs,
-  max(x) OVER (PARTITION BY target_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS rt FROM c WHERE s_currency = t_currency),
+@query(f"""WITH c AS (SELECT *, CAST(score AS DECIMAL(10,6)) AS x FROM ({CANDIDATES})),
+k AS (SELECT candidate_id, source_id, target_id, x, max(x) OVER (PARTITION BY source_id) AS sm, max(x) OVER (PARTITION BY target_id) AS tm, count(*) OVER (PARTITION BY source_id, x) AS sn, count(*) OVER (PARTITION BY target_id, x) AS tn FROM c WHERE s_currency = t_currency),
+s2 AS (SELECT source_id, max(x) AS s2 FROM k WHERE x < sm GROUP BY 1), t2 AS (SELECT target_id, max(x) AS t2 FROM k WHERE x < tm GROUP BY 1),
+e AS (SELECT candidate_id, CASE WHEN x < sm OR sn > 1 THEN sm ELSE s2 END AS rs, CASE WHEN x < tm OR tn > 1 THEN tm ELSE t2 END AS rt FROM k LEFT JOIN s2 USING (source_id) LEFT JOIN t2 USING (target_id)),
 m AS (SELECT c.*, s_currency = t_currency AS one, x >= 0.5 AND (rs IS NULL OR x - rs >= 0.05) AND (rt IS NULL OR x - rt >= 0.05) AS review FROM c LEFT JOIN e USING (candidate_id))
 SELECT candidate_id, score, CASE WHEN one AND review THEN 'REVIEW' ELSE 'UNRESOLVED' END AS suggestion, false AS automatic_action_eligible,
  CASE WHEN NOT one THEN 'CURRENCY_MISMATCH' WHEN review THEN 'REVIEW_ONLY_MODEL' WHEN x >= 0.5 THEN 'AMBIGUOUS_RECORD_MATCH' ELSE 'BELOW_REVIEW_THRESHOLD' END AS reason FROM m""")
