@@ -299,9 +299,9 @@ def unmatched(spark, d):
 
 def _alloc_sql(anchors: str, parts: str) -> str:
     return f"""{CTE}, a AS (SELECT * FROM {anchors}), p AS (SELECT * FROM {parts} WHERE amount > 0),
-g AS (SELECT a.record_id AS anchor_id, [x.record_id, y.record_id] AS m FROM a JOIN p x USING (currency, party) JOIN p y USING (currency, party) WHERE x.record_id < y.record_id AND x.amount + y.amount = a.amount
- UNION ALL SELECT a.record_id, [x.record_id, y.record_id, z.record_id] FROM a JOIN p x USING (currency, party) JOIN p y USING (currency, party) JOIN p z USING (currency, party)
- WHERE x.record_id < y.record_id AND y.record_id < z.record_id AND x.amount + y.amount + z.amount = a.amount),
+two AS (SELECT currency, party, x.record_id AS i, y.record_id AS j, x.amount + y.amount AS rest FROM p x JOIN p y USING (currency, party) WHERE x.record_id < y.record_id),
+g AS (SELECT a.record_id AS anchor_id, [i, j] AS m FROM a JOIN two ON a.currency = two.currency AND a.party = two.party AND a.amount = rest
+ UNION ALL SELECT a.record_id, [i, j, z.record_id] FROM a JOIN two ON a.currency = two.currency AND a.party = two.party JOIN p z ON z.currency = a.currency AND z.party = a.party AND z.amount = a.amount - rest WHERE z.record_id > j),
 best AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY len(m), m) = 1),
 once AS (SELECT *, unnest(m) AS u FROM best), ok AS (SELECT anchor_id, min(r) AS lo, max(r) AS hi FROM (SELECT anchor_id, row_number() OVER (PARTITION BY u ORDER BY anchor_id) AS r FROM once) GROUP BY 1)
 SELECT anchor_id, array_to_string(m, ',') AS members, CAST(0.88 AS DECIMAL(4,2)) AS confidence FROM best JOIN ok USING (anchor_id) WHERE hi = 1"""
@@ -313,10 +313,16 @@ def alloc_one_to_many(spark, d):
     return M.allocate(i, p, largest=3).select("anchor_id", F.array_join("members", ",").alias("members"), "confidence")
 
 
-@query(_alloc_sql("payments", "invoices"))
+#: One payment for two invoices of a party each: every odd one and the one after it.
+JOINT = """SELECT concat('J', record_id) AS record_id, currency, party, CAST(amount + after AS DECIMAL(20,4)) AS amount FROM (SELECT record_id, currency, party, amount,
+ lead(amount) OVER (PARTITION BY currency, party ORDER BY record_id) AS after, row_number() OVER (PARTITION BY currency, party ORDER BY record_id) AS n FROM invoices) x WHERE after IS NOT NULL AND n % 2 = 1"""
+
+
+@query(_alloc_sql(f"({JOINT})", "invoices"))
 def alloc_many_to_one(spark, d):
-    i, p = both(spark, d)
-    return M.allocate(p, i, largest=3).select("anchor_id", F.array_join("members", ",").alias("members"), "confidence")
+    i, _ = both(spark, d)
+    joint = spark.sql(JOINT.replace("FROM invoices", "FROM {invoices}"), invoices=i)
+    return M.allocate(joint, i, largest=3).select("anchor_id", F.array_join("members", ",").alias("members"), "confidence")
 
 
 @query()
@@ -746,14 +752,14 @@ def typed_lookup(spark, d):
     return i.unionByName(p).where("record_type = 'payment' and currency = 'JPY'").select("record_id", "amount")
 
 
-@query("SELECT user_id AS doc_id, count(*) AS n_rows, count(*) FILTER (WHERE event_type = 'error') AS n_errors, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'FAILED' ELSE 'PARSED' END AS status FROM events GROUP BY 1")
+@query("SELECT user_id * 10 + event_id % 10 AS doc_id, count(*) AS n_rows, count(*) FILTER (WHERE event_type = 'error') AS n_errors, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'FAILED' ELSE 'PARSED' END AS status FROM events GROUP BY 1")
 def doc_status(spark, d):
-    return C.document_status(sql(spark, d, "SELECT user_id AS doc_id, CASE WHEN event_type = 'error' THEN 'bad' END AS error FROM events"))
+    return C.document_status(sql(spark, d, "SELECT user_id * 10 + event_id % 10 AS doc_id, CASE WHEN event_type = 'error' THEN 'bad' END AS error FROM events"))
 
 
-@query("SELECT user_id AS doc_id, count(*) AS n_rows, 'CONFIRMED' AS status FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_type = 'error') = 0")
+@query("SELECT user_id * 10 + event_id % 10 AS doc_id, count(*) AS n_rows, 'CONFIRMED' AS status FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_type = 'error') = 0")
 def confirmed_docs(spark, d):
-    return C.confirmed(C.document_status(sql(spark, d, "SELECT user_id AS doc_id, CASE WHEN event_type = 'error' THEN 'bad' END AS error FROM events"))).drop("n_errors")
+    return C.confirmed(C.document_status(sql(spark, d, "SELECT user_id * 10 + event_id % 10 AS doc_id, CASE WHEN event_type = 'error' THEN 'bad' END AS error FROM events"))).drop("n_errors")
 
 
 # --- learning ---------------------------------------------------------------------------------------------------
@@ -904,7 +910,10 @@ def _events(spark, d):
 
 @query("SELECT DISTINCT event_id, event_type FROM events")
 def stream_dedupe(spark, d):
-    return S.run_to_table(S.stream_dedupe(_events(spark, d), ["event_id"]).select("event_id", "event_type"), "stream-dedupe")
+    """Each event is delivered twice, the second time some minutes later."""
+    late = F.explode(F.array(F.lit(0), F.lit(300)))
+    twice = _events(spark, d).withColumn("late", late).withColumn("ts", F.timestamp_seconds(F.unix_timestamp("ts") + F.col("late")))
+    return S.run_to_table(S.stream_dedupe(twice, ["event_id"]).select("event_id", "event_type"), "stream-dedupe")
 
 
 @query("SELECT count(DISTINCT coalesce(text, '')) AS n FROM documents")

@@ -30,7 +30,8 @@ def stream_intake(docs: DataFrame, arrival: str = "arrived") -> DataFrame:
 
 
 def stream_dedupe(events: DataFrame, keys: list[str]) -> DataFrame:
-    return events.withWatermark("ts", "1 day").dropDuplicates([*keys, "ts"])
+    """The first delivery of each key; a redelivery within a day is dropped, whatever its time."""
+    return events.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(keys)
 
 
 def stream_timing_match(left: DataFrame, right: DataFrame, days: int = 3) -> DataFrame:
