@@ -35,7 +35,7 @@ from .common import BLOOM, columns, connected_components, mix64, save, settings,
 
 K = 5
 #: A document of n shingles may give up n / SLACK of its most frequent ones.
-SLACK = 16
+SLACK = 8
 #: Rows from which a set of shingles is dealt out over DEALS tasks.
 HOT, DEALS = 256, 64
 #: Members and pivots of the regions that are cut further.
