@@ -932,3 +932,6 @@ def stream_timing_match(spark, d):
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_exception_counts(spark, d):
     return S.windowed_counts(tab(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+from . import case_queries  # noqa: E402, F401  (registers its queries here)
