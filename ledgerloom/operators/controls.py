@@ -108,12 +108,12 @@ def rival_counts(candidates: DataFrame) -> DataFrame:
 def review_mask(candidates: DataFrame, threshold: str = "0.50", margin: str = "0.05") -> DataFrame:
     """Candidates at the threshold that beat every rival on either record by the margin, in decimal arithmetic."""
     score = F.col("score").cast("string").cast("decimal(10,6)")
-    rows = candidates.withColumn("d", score)
-    for side in ("source_id", "target_id"):
-        top = Window.partitionBy(side).orderBy(F.col("d").desc(), "candidate_id")
-        all_ = Window.partitionBy(side).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        rows = rows.withColumn("_at", F.row_number().over(top)).withColumn("_best", F.max(F.when(F.col("_at") == 1, F.col("d"))).over(all_)).withColumn("_next", F.max(F.when(F.col("_at") == 2, F.col("d"))).over(all_))
-        rows = rows.withColumn(f"rival_{side}", F.when(F.col("_at") == 1, F.col("_next")).otherwise(F.col("_best"))).drop("_at", "_best", "_next")
+    base = rows = cut(candidates.withColumn("d", score), "review-mask")
+    is_best = F.col("candidate_id") == F.col("_best.candidate_id")
+    for side in ("source_id", "target_id"):  # the best two of a record by aggregates, which combine before they shuffle
+        best = base.groupBy(side).agg(F.max(F.struct("d", "candidate_id")).alias("_best"))
+        second = base.join(best, side).where(~is_best).groupBy(side).agg(F.max("d").alias("_next"))
+        rows = rows.join(best, side).join(second, side, "left").withColumn(f"rival_{side}", F.when(is_best, F.col("_next")).otherwise(F.col("_best.d"))).drop("_best", "_next")
     rival = F.greatest("rival_source_id", "rival_target_id")
     keep = (F.col("d") >= F.lit(threshold).cast("decimal(10,6)")) & (rival.isNull() | (F.col("d") - rival >= F.lit(margin).cast("decimal(10,6)")))
     return rows.select("candidate_id", "source_id", "target_id", "score", keep.alias("review"))

@@ -55,10 +55,16 @@ def match_external_id(sources: DataFrame, targets: DataFrame, same_currency: boo
 
 
 def match_amount(sources: DataFrame, targets: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs of equal currency and amount whose dates differ by low to high days; `days` is the difference."""
+    """Pairs of equal currency and amount whose dates differ by low to high days; `days` is the difference.
+
+    Dates meet in cells of high + 1 days, so that round amounts do not gather in one key.
+    """
     s, t = _named(sources, "s"), _named(targets, "t")
     days = F.abs(F.datediff("s_record_date", "t_record_date"))
-    both = s.join(t, (s["s_currency"] == t["t_currency"]) & (s["s_amount"] == t["t_amount"]))
+    cell = lambda c: F.floor(F.unix_date(c) / (high + 1))
+    near = [cell("s_record_date") + k for k in ((0,) if high == 0 else (-1, 0, 1))]
+    s, t = s.withColumn("_cell", F.explode(F.array(*near))), t.withColumn("_cell_t", cell("t_record_date"))
+    both = s.join(t, (s["s_currency"] == t["t_currency"]) & (s["s_amount"] == t["t_amount"]) & (s["_cell"] == t["_cell_t"]))
     return both.where(days.between(low, high)).select(*_ids(), days.cast("int").alias("days"))
 
 
