@@ -94,8 +94,11 @@ def is_total(line: Column) -> Column:
     return F.lower(line).rlike(TOTAL_WORDS)
 
 
-def normalize_records(raw: DataFrame, record_type: str, source_name: str) -> DataFrame:
-    """String rows of one file to the record contract: normalised headers, aliases, defaults, provenance, `error`."""
+def normalize_records(raw: DataFrame, record_type: str, source_name: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """String rows of one file to the record contract: normalised headers, aliases, defaults, provenance, `error`.
+
+    The columns of `keep`, such as a row number, are no fields of the row and come back as they are.
+    """
     df = raw.toDF(*[h for h in (_slug(c) for c in raw.columns)])
     amount = signed_amount(parse_amount(alias_value(df, ["amount", "total", "value"])), parse_amount(alias_value(df, ["debit"])), parse_amount(alias_value(df, ["credit"])))
     when = parse_date(alias_value(df, ["date", "record_date", "invoice_date", "payment_date", "posting_date"]))
@@ -103,14 +106,14 @@ def normalize_records(raw: DataFrame, record_type: str, source_name: str) -> Dat
     names = {"invoice": ["invoice_number"], "payment": ["payment_reference"], "settlement": ["settlement_reference"], "bank_transaction": ["bank_reference"], "ledger_entry": ["journal_id"]}
     if record_type not in names:
         raise ValueError(f"unsupported record type: {record_type}")
-    fields = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])
+    fields = F.create_map(*[x for c in df.columns if c not in keep for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])
     provenance = F.struct(F.lit(source_name).alias("source_name"), fields.alias("original_fields"), F.array(F.lit("header normalised"), F.lit("types parsed")).alias("transformation_history"))
     return df.select(
         F.lit(record_type).alias("record_type"), alias_value(df, ["external_id", "id"]).alias("external_id"), amount.alias("amount"),
         F.upper(F.coalesce(alias_value(df, ["currency"]), F.lit("USD"))).alias("currency"), when.alias("record_date"),
         alias_value(df, [*names[record_type], "reference"]).alias("reference"), F.coalesce(alias_value(df, ["vendor_id", "payer_id", "payee_id", "account_id"]), F.lit("unknown")).alias("party"),
         F.coalesce(parse_amount(alias_value(df, ["fee_amount", "fee"])), F.lit(0)).cast(MONEY).alias("fee_amount"), alias_value(df, ["description", "memo"]).alias("description"),
-        provenance.alias("provenance"), F.nullif(error, F.lit("")).alias("error"),
+        provenance.alias("provenance"), *keep, F.nullif(error, F.lit("")).alias("error"),
     )
 
 

@@ -67,6 +67,22 @@ def related_records(records: DataFrame, identifiers: list[Column], limit: int =
     return pairs.withColumn("place", F.row_number().over(near)).where(F.col("place") <= limit).drop("place")
 
 
+def ranker_coverage(candidates: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(candidate_id, problem) where a candidate has not exactly one rank, or a rank is eligible without review."""
+    by = ranks.groupBy(F.col("candidate_id").alias("ranked")).agg(F.count(F.lit(1)).alias("n"), F.bool_or("auto_eligible").alias("auto"))
+    both = candidates.select("candidate_id").join(by, F.col("candidate_id") == F.col("ranked"), "full_outer")
+    problem = (
+        F.when(F.col("candidate_id").isNull(), "rank without candidate").when(F.col("ranked").isNull(), "candidate without rank")
+        .when(F.col("n") > 1, "candidate ranked twice").when(F.col("auto"), "rank is auto-eligible")
+    )
+    return both.select(F.coalesce("candidate_id", "ranked").alias("candidate_id"), problem.alias("problem")).where("problem is not null")
+
+
+def entity_history(events: DataFrame, entity: str, value, order: list[str]) -> DataFrame:
+    """All events of one entity with their `place` in the given order."""
+    return events.where(F.col(entity) == value).withColumn("place", F.row_number().over(Window.partitionBy(entity).orderBy(*order)))
+
+
 def document_status(rows: DataFrame) -> DataFrame:
     """FAILED with any row error, else PARSED."""
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count("error").alias("n_errors")).withColumn("status", F.when(F.col("n_errors") > 0, "FAILED").otherwise("PARSED"))

@@ -934,4 +934,4 @@ def stream_exception_counts(spark, d):
     return S.windowed_counts(tab(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-from . import case_queries  # noqa: E402, F401  (registers its queries here)
+from . import case_queries, file_queries  # noqa: E402, F401  (they register their queries here)
