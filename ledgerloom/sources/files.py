@@ -84,6 +84,8 @@ def read_predictions(spark: SparkSession, path: str, money: tuple[str, ...] = ("
     rows = rows.withColumn("error", F.coalesce("error", F.when(place != F.col("_first"), "duplicate case_id"))).drop("_first")
     # Scans skip empty files, so they are those of the listing, which the driver has anyway, that gave no row.
     listed = spark.createDataFrame([(f, "empty file") for f in read.inputFiles()], "file string, error string")
+    # The listing writes local files with three slashes, the scan with one.
+    listed = listed.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))
     return rows.unionByName(listed.join(lines.select("file").distinct(), "file", "left_anti"), allowMissingColumns=True)
 
 
