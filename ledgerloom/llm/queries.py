@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from .chat_format import format_turns, read_back
 from .common import table
 from .decontaminate import contaminated
+from .filter_audit import audit_filters
 from .fingerprints import fingerprint_edits
 from .host_reputation import TWO_LABEL_SUFFIXES, judge_pages
+from .host_rules import judge_documents
 from .jaccard_join import link_documents
 from .kd_shards import shard_documents
 from .language_id import fit_languages, identify_languages
 from .mixing import mix_sources
 from .pii import find_pii
 from .quality_mil import fit_quality, score_quality
+from .spelling import group_spellings
 
 #: The rules of the URL query.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -70,7 +73,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_kd_shards, op3_chat_format, op4_quality_mil, op5_pii, op6_host_reputation, op7_decontaminate, op8_fingerprints, op9_language_id, op10_jaccard_join)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(table(spark, sf_dir, "documents"))
+
+
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's host is its source."""
+    return judge_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_kd_shards, op3_chat_format, op4_quality_mil, op5_pii, op6_host_reputation, op7_decontaminate, op8_fingerprints, op9_language_id, op10_jaccard_join, op11_filter_audit, op12_spelling_variants, op13_host_rules)}
 
 SQL = {
     "op3_chat_format": r"""
@@ -138,4 +154,36 @@ l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.x = b.x AND a.d
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
 r(id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.c AS component_id FROM s JOIN (SELECT id, min(c) AS c FROM r GROUP BY 1) m ON m.id = s.doc_id""",
+    "op11_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+  + (CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+  + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END) AS mask FROM d),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+x AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(name, bit)),
+o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM x a JOIN x b ON b.bit <> a.bit JOIN x c ON c.bit NOT IN (a.bit, b.bit)
+  JOIN x d ON d.bit NOT IN (a.bit, b.bit, c.bit) JOIN x e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS own, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before FROM (SELECT filter_order, bits, unnest(range(1, 6)) AS step FROM o)),
+r AS (SELECT part, filter_order, step, own, CAST(coalesce(sum(n) FILTER (WHERE mask & (before | own) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & own <> 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (WHERE mask & before <> 0 AND mask & own <> 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (WHERE mask = own), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (WHERE mask & before = 0 AND mask & own <> 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (WHERE mask & before = 0 AND mask & own <> 0), 0) AS BIGINT) AS toxic_lost
+  FROM m CROSS JOIN s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
+    "op13_host_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS g FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) > 8)),
+t AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+c AS (SELECT rid, sum(step) AS n FROM (SELECT rid, least(8, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 8)) AS step FROM t) GROUP BY 1),
+m AS (SELECT doc_id, host, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (rid)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE base_failed) AS DOUBLE) AS bad FROM b WHERE host IS NOT NULL GROUP BY 1),
+e AS (SELECT sum(n) AS t, sum(bad) AS b, sum(n * n) AS nn, sum(bad * bad / n) AS bb, count(*) AS k, (sum(bad) + 0.5) / (sum(n) + 1) AS p FROM h),
+e2 AS (SELECT *, (bb - b * b / t - (k - 1) * p * (1 - p)) / (t - nn / t) AS between_hosts FROM e),
+q AS (SELECT p, CASE WHEN k > 1 AND between_hosts > 0 THEN least(1000.0, greatest(2.0, p * (1 - p) / between_hosts - 1)) ELSE 1000.0 END AS m FROM e2),
+v AS (SELECT host, bad + p * m AS x, n - bad + (1 - p) * m AS y FROM h, q),
+r AS (SELECT host, x / (x + y) AS rate, greatest(0.0, x / (x + y) - 1.645 * sqrt(x * y / ((x + y) * (x + y) * (x + y + 1)))) AS low FROM v)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(low > 0.5, false) AS kept, host, round(rate, 6) AS host_rate, round(low, 6) AS host_low FROM b LEFT JOIN r USING (host)""",
 }
