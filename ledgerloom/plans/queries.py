@@ -929,6 +929,26 @@ def stream_timing_match(spark, d):
     return S.run_to_table(S.stream_timing_match(e.where("event_type = 'purchase'"), e.where("event_type = 'error'"), 1), "stream-match")
 
 
+_STREAMED = """e AS (SELECT event_id, event_type, CAST(round(value) AS BIGINT) AS v, ts FROM events WHERE value IS NOT NULL), a AS (SELECT * FROM e WHERE event_type = 'purchase'), b AS (SELECT * FROM e WHERE event_type = 'error'),
+m AS (SELECT a.event_id AS source_id, b.event_id AS target_id FROM a JOIN b ON a.v = b.v AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 86400000000),
+w AS (SELECT least((SELECT max(ts) FROM a), (SELECT max(ts) FROM b)) - INTERVAL 10 DAY AS mark)"""
+
+
+@query(f"""WITH {_STREAMED} SELECT * FROM m UNION ALL SELECT event_id, NULL FROM a, w WHERE event_id NOT IN (SELECT source_id FROM m) AND ts + INTERVAL 1 DAY < mark""")
+def stream_unmatched(spark, d):
+    """Purchases with the errors of the same value within a day, and without one once the watermark has passed."""
+    e = _events(spark, d).where("value is not null").select(F.col("event_id").alias("id"), "event_type", F.lit("USD").alias("currency"), F.round("value").cast("long").alias("amount"), "ts")
+    return S.run_to_table(S.stream_timing_match(e.where("event_type = 'purchase'"), e.where("event_type = 'error'"), 1, how="left_outer"), "stream-unmatched")
+
+
+@query(f"""WITH {_STREAMED} SELECT * FROM m UNION ALL SELECT event_id, NULL FROM a, w WHERE event_id NOT IN (SELECT source_id FROM m) AND ts + INTERVAL 1 DAY < mark
+UNION ALL SELECT NULL, event_id FROM b, w WHERE event_id NOT IN (SELECT target_id FROM m) AND ts + INTERVAL 1 DAY < mark""")
+def stream_both_unmatched(spark, d):
+    """The same with the unmatched rows of both sides."""
+    e = _events(spark, d).where("value is not null").select(F.col("event_id").alias("id"), "event_type", F.lit("USD").alias("currency"), F.round("value").cast("long").alias("amount"), "ts")
+    return S.run_to_table(S.stream_timing_match(e.where("event_type = 'purchase'"), e.where("event_type = 'error'"), 1, how="full_outer"), "stream-both-unmatched")
+
+
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_exception_counts(spark, d):
     return S.windowed_counts(tab(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from ..plans.storage import cut
 
 #: Fixed value: raw rows of a preview.
 PREVIEW_ROWS = 25
+#: Characters of a record of several lines, and different headers of the files that are read at once.
+MAX_RECORD, MAX_HEADERS = 1 << 24, 200
 #: Fixed value: a page below this confidence may take the recognised text.
 OCR_BELOW = 0.80
 
@@ -32,16 +35,88 @@ def _numbered(read: DataFrame, first: int) -> DataFrame:
     return numbered.withColumn("row_number", (F.col("_before") + F.col("_at") - F.col("_least") + first).cast("long")).select(*read.columns, "file", "row_number")
 
 
-def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, value): lines from 1 in each file, however Spark splits it; a byte order mark is dropped."""
+    lines = _numbered(spark.read.text(path), 1)
+    return lines.select("file", F.col("row_number").alias("line"), F.when(F.col("row_number") == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")).alias("value"))
+
+
+def csv_records(spark: SparkSession, path: str | list[str], only_first_block: bool = False) -> DataFrame:
+    """Records of CSV files, whole: (the columns of the folders, file, row_number, record, error), the header being row 1.
+
+    Files are split anywhere, and a line knows whether it lies within quotes by the parity of all quotes before it in its file: running
+    sums within a split, and one sum for each split before it. Lines within quotes go on with the record before; only the
+    lines of such records are brought together. Blank lines outside of quotes do not count. A record of more than
+    MAX_RECORD characters over several lines, such as one whose quotes never close, is null with an `error`. Quotes inside of fields must be
+    doubled; lines end in \\n or \\r\\n. With `only_first_block` the later splits of a file are left out.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    keys = [c for c in read.columns if c != "value"]
+    block = F.col("_metadata.file_block_start")
+    read = read.where(block == 0) if only_first_block else read
+    quotes = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("_quotes")
+    lines = cut(read.select("value", *keys, F.col("_metadata.file_path").alias("file"), block.alias("_start"), F.monotonically_increasing_id().alias("_at"), quotes), "csv-lines")
+    split, run = Window.partitionBy("file", "_start").orderBy("_at"), (Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("_quotes").over(split.rowsBetween(*run)), F.lit(0)) % 2
+    filled = ~F.col("value").isin("", "\r", "\ufeff")
+    local = lines.withColumn("_inside", inside).withColumn("_filled", filled)
+    # A split does not know whether it begins within quotes, so it counts the records that start in it for both cases.
+    starts = {k: F.when(F.col("_filled") & (F.col("_inside") == k), 1).otherwise(0) for k in (0, 1)}
+    local = local.withColumns({f"_run{k}": F.sum(c).over(split.rowsBetween(Window.unboundedPreceding, 0)) for k, c in starts.items()})
+    splits = local.groupBy("file", "_start").agg(F.sum("_quotes").alias("_all"), *[F.sum(c).alias(f"_n{k}") for k, c in starts.items()])
+    earlier = Window.partitionBy("file").orderBy("_start").rowsBetween(*run)
+    splits = splits.withColumn("_within", F.coalesce(F.sum("_all").over(earlier), F.lit(0)) % 2)
+    own = F.when(F.col("_within") == 0, F.col("_n0")).otherwise(F.col("_n1"))
+    splits = splits.withColumn("_before", F.coalesce(F.sum(own).over(earlier), F.lit(0))).select("file", "_start", "_within", "_before")
+    placed = local.join(splits, ["file", "_start"])
+    outside = F.col("_inside") == F.col("_within")
+    number = F.col("_before") + F.when(F.col("_within") == 0, F.col("_run0")).otherwise(F.col("_run1"))
+    placed = placed.withColumns({"row_number": number.cast("long"), "_opens": outside, "_closes": (F.col("_inside") + F.col("_quotes")) % 2 == F.col("_within")}).where("not _opens or _filled")
+    whole = placed.where("_opens and _closes").select(*keys, "file", "row_number", F.col("value").alias("record"), F.lit(None).cast("string").alias("error"))
+    parts = placed.where("not (_opens and _closes)")
+    sizes = parts.groupBy("file", "row_number").agg(F.sum(F.length("value") + 1).alias("_size"))
+    parts = parts.join(sizes, ["file", "row_number"])
+    short = F.when(F.col("_size") <= MAX_RECORD, F.struct("_start", "_at", "value"))  # the lines of a longer one are not gathered
+    joined = parts.groupBy(*keys, "file", "row_number").agg(F.array_sort(F.collect_list(short)).alias("_lines"))
+    text = F.array_join(F.transform("_lines", lambda x: x["value"]), "\n")
+    joined = joined.select(*keys, "file", "row_number", F.when(F.size("_lines") > 0, text).alias("record"), F.when(F.size("_lines") == 0, "record is too long").alias("error"))
+    return whole.unionByName(joined).withColumn("record", F.regexp_replace("record", "\r$", ""))
+
+
+def _fields(records: DataFrame, path: str | list[str]) -> DataFrame:
+    """The fields of records, named by the header of their file; see `read_csv_rows`."""
+    keys = [c for c in records.columns if c not in ("file", "row_number", "record", "error")]
+    heads = records.where("row_number = 1 and record is not null").select("file", F.regexp_replace("record", "^\ufeff", "").alias("header"))
+    headers = sorted(r["header"] for r in heads.select("header").distinct().limit(MAX_HEADERS + 1).collect())
+    if not headers or len(headers) > MAX_HEADERS:
+        raise ValueError(f"no header in {path}" if not headers else f"more than {MAX_HEADERS} different headers in {path}")
+    body = records.where("row_number > 1").join(heads, "file")
+    out = []
+    for header in headers:
+        names = next(csv.reader([header]))
+        fields = F.from_csv("record", F.lit(", ".join(f"_{k} string" for k in range(len(names)))), {"escape": '"', "maxCharsPerColumn": "-1"})
+        rows = body.where(F.col("header") == header).withColumn("_fields", fields)
+        last = {n: k for k, n in enumerate(names)}  # of columns of one name the last counts
+        out.append(rows.select(*[F.col(f"_fields._{k}").alias(n) for n, k in last.items()], *[k for k in keys if k not in last], "file", "row_number"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+
+
+def read_csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All columns of CSV files as strings, with `file` and `row_number` (the header is row 1).
 
-    A row is one line, so large files are split. A byte order mark is no part of the first name; blank lines do not
-    count. Files without a header raise.
+    Fields may hold line breaks within quotes, also where a split ends; see `csv_records`. A byte order mark is no part
+    of the first name. Files of other headers give the union of the columns; if none has a header, it raises. A record
+    that is too long has null fields.
     """
-    read = spark.read.option("header", True).csv(path)
-    if not read.columns:
-        raise ValueError(f"no header in {path}")
-    return _numbered(read.toDF(*[c.replace("\ufeff", "") for c in read.columns]), 2)
+    return _fields(cut(csv_records(spark, path), "csv-records"), path)
+
+
+def raise_first_error(rows: DataFrame) -> DataFrame:
+    """The rows, if none has an `error`; else the first one by file and row number is raised."""
+    bad = rows.where("error is not null").select("file", "row_number", "error").orderBy("file", "row_number").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0]['file']}: row {bad[0]['row_number']}: {bad[0]['error']}")
+    return rows
 
 
 def cap_rows(rows: DataFrame, most: int) -> DataFrame:
@@ -51,6 +126,16 @@ def cap_rows(rows: DataFrame, most: int) -> DataFrame:
     return rows.where(data <= most + 1).select(*values, "file", "row_number", F.when(data > most, "row limit exceeded").alias("error"))
 
 
+def read_preview(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The first raw rows of each file. Only the first splits are numbered, unless one of them may have fewer rows than a preview shows."""
+    records = cut(csv_records(spark, path, only_first_block=True), "csv-records")
+    seen = records.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("record") + 2).alias("bytes")).where(F.col("n") <= PREVIEW_ROWS + 1)
+    lengths = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "length")
+    if seen.join(lengths, "file").where(F.col("length") > F.col("bytes")).limit(1).count():
+        records = cut(csv_records(spark, path), "csv-records")
+    return preview(_fields(records, path))
+
+
 def preview(rows: DataFrame) -> DataFrame:
     """The first raw rows of each file."""
     return rows.where(F.col("row_number") - 1 <= PREVIEW_ROWS)

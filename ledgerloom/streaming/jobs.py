@@ -14,10 +14,13 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Append the stream to a table in the shared folder until it has caught up, and read that."""
+def run_to_table(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Append the stream to a table in the shared folder until it has caught up, and read that.
+
+    With a `path` of an earlier run the query goes on where that one ended.
+    """
     spark = stream.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-state").option("path", path).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
@@ -34,12 +37,18 @@ def stream_dedupe(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(keys)
 
 
-def stream_timing_match(left: DataFrame, right: DataFrame, days: int = 3) -> DataFrame:
-    """Pairs of equal currency and amount within `days`, from two streams with (id, currency, amount, ts)."""
-    a = left.select(F.col("id").alias("source_id"), "currency", "amount", F.col("ts").alias("s_ts")).withWatermark("s_ts", "10 days")
-    b = right.select(F.col("id").alias("target_id"), F.col("currency").alias("c"), F.col("amount").alias("v"), F.col("ts").alias("t_ts")).withWatermark("t_ts", "10 days")
+def stream_timing_match(left: DataFrame, right: DataFrame, days: int = 3, delay: str = "10 days", how: str = "inner") -> DataFrame:
+    """Pairs of equal currency and amount within `days`, from two streams with (id, currency, amount, ts).
+
+    With `how` = `left_outer` or `full_outer` a row without a partner comes out too, its other id null, once the watermark
+    (the least of both streams' latest times, minus `delay`) has passed the last time at which a partner could come;
+    then its state goes. Rows that are later than the watermark are dropped by Spark. Null currencies, amounts and times
+    have no partner; a row of null time never comes out alone.
+    """
+    a = left.select(F.col("id").alias("source_id"), "currency", "amount", F.col("ts").alias("s_ts")).withWatermark("s_ts", delay)
+    b = right.select(F.col("id").alias("target_id"), F.col("currency").alias("c"), F.col("amount").alias("v"), F.col("ts").alias("t_ts")).withWatermark("t_ts", delay)
     near = F.expr(f"currency = c AND amount = v AND t_ts >= s_ts - INTERVAL {days} DAYS AND t_ts <= s_ts + INTERVAL {days} DAYS")
-    return a.join(b, near).select("source_id", "target_id")
+    return a.join(b, near, how).select("source_id", "target_id")
 
 
 def windowed_counts(events: DataFrame, length: str = "1 day") -> DataFrame:

@@ -61,3 +61,64 @@ def test_pages_and_recognised_text(spark):
     tokens = spark.createDataFrame([(1, 1, "a", 50), (2, 1, "a", 100), (4, 1, " ", 90), (4, 1, "b", -1), (5, 1, "b", 300), (5, 1, "c", -1)], "doc_id int, page int, token string, conf int")
     got = {r.doc_id: (r.ocr_confidence, r.source) for r in R.choose_page_text(pages, tokens).collect()}
     assert got == {1: (0.5, "text"), 2: (1.0, "text"), 3: (None, "text"), 4: (None, "text"), 5: (1.0, "ocr")}
+
+
+def plain_rows(text):
+    import csv
+    import io
+
+    rows = list(csv.reader(io.StringIO(text.removeprefix("﻿"), newline="")))
+    rows = [r for r in rows if r]
+    return [(n, *[f or None for f in r]) for n, r in enumerate(rows[1:], 2)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_line_breaks_within_quotes_over_many_splits(spark, folder, end):
+    import csv
+    import io
+    import random
+
+    rng = random.Random(3)
+    pieces = ["a", "b c", '"', ",", end, end + end, "é", "x" * 30]
+    out = io.StringIO(newline="")
+    writer = csv.writer(out, lineterminator=end)
+    writer.writerow(["k", "v,1", 'w"'])
+    for i in range(900):
+        if i % 50 == 7:
+            out.write(end)
+        long = rng.choice(pieces) * 600 if i % 300 == 5 else ""
+        writer.writerow([str(i), "".join(rng.choice(pieces) for _ in range(rng.randrange(5))) + long, rng.choice(["", "q", '""'])])
+    path = folder("a.csv", "")
+    with open(path.removeprefix("file://") + "/a.csv", "w", newline="", encoding="utf-8-sig") as f:
+        f.write(out.getvalue())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        rows = R.read_csv_rows(spark, path)
+        got = [tuple(r) for r in rows.select("row_number", "k", "`v,1`", '`w"`').collect()]
+        shown = sorted(r.row_number for r in R.read_preview(spark, path).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows.columns == ["k", "v,1", 'w"', "file", "row_number"]
+    # Within a field every line end is as it was written.
+    assert sorted(got) == sorted(plain_rows(out.getvalue()))
+    assert shown == list(range(2, 27))
+
+
+def test_quotes_that_never_close_are_one_bad_record(spark, folder, monkeypatch):
+    monkeypatch.setattr(R, "MAX_RECORD", 100)
+    path = folder("a.csv", 'k,v\n1,a\n2,"open\n' + "x,y\n" * 100)
+    records = {r.row_number: (r.record, r.error) for r in R.csv_records(spark, path).collect()}
+    assert records == {1: ("k,v", None), 2: ("1,a", None), 3: (None, "record is too long")}
+
+
+def test_files_of_other_headers_and_the_strict_form(spark, folder):
+    folder("a.csv", "k,v\n1,2\n")
+    path = folder("b.csv", "v,w,v\n3,4,5\n")
+    rows = R.read_csv_rows(spark, path)
+    assert sorted((r.file[-5:], r.k, r.v, r.w) for r in rows.collect()) == [("a.csv", "1", "2", None), ("b.csv", None, "5", "4")]
+    from pyspark.sql import functions as F
+
+    assert R.raise_first_error(rows.withColumn("error", F.lit(None).cast("string"))).count() == 2
+    with pytest.raises(ValueError, match="a.csv: row 2: bad 1"):
+        R.raise_first_error(rows.withColumn("error", F.concat(F.lit("bad "), "k"))).count()
