@@ -204,10 +204,16 @@ class LanguageModel:
 
 
 def fit_languages(docs: DataFrame, vocabulary: str = VOCABULARY, max_fit_rows: int = MAX_FIT_ROWS, rounds: int = 2) -> LanguageModel:
-    """Fit on documents with text and lang outside the held-out fold (crc32(doc_id) mod 4 is 2), bounded in number."""
-    rows = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out(F.col("doc_id"), 4, 2))
-    # The lowest hashes of the ids; ids and languages alone are sorted, and the sample is bounded.
-    sample = save(rows.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(max_fit_rows), "language-sample")
+    """Fit on documents with text and lang outside the held-out fold (crc32(doc_id) mod 4 is 2), bounded in number.
+
+    A row is known by its id, language and text: rows of one id that differ are examples of their own, each with its own
+    language; equal rows are one. Extra columns are ignored; without a labelled row the model knows no language.
+    """
+    known = docs.where("text is not null and lang is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = known.where(~held_out(F.col("doc_id"), 4, 2)).withColumn("text_hash", F.xxhash64("text"))
+    # The lowest hashes of the ids; what is sorted are ids, languages and hashes of texts, and the sample is bounded.
+    row = ["doc_id", "lang", "text_hash"]
+    sample = save(rows.select(*row).orderBy(F.xxhash64("doc_id"), *row).limit(max_fit_rows).distinct(), "language-sample")
     counts = sample.groupBy("lang").count().orderBy("lang").collect()
     langs = [r["lang"] for r in counts]
     if not langs:
@@ -221,7 +227,9 @@ def fit_languages(docs: DataFrame, vocabulary: str = VOCABULARY, max_fit_rows: i
                     total.update(words_of(t))
                 yield pd.DataFrame({"lang": lang, "word": list(total.keys()), "n": list(total.values())})
 
-    sampled = rows.select("doc_id", "text").join(F.broadcast(sample.dropDuplicates(["doc_id"])), "doc_id").select("lang", "text")
+    sampled = rows.join(F.broadcast(sample), row)
+    # Of equal rows one is read, so no more texts than the sample has rows.
+    sampled = sampled.groupBy(*row).agg(F.first("text").alias("text")).select("lang", "text")
     words = sampled.mapInPandas(count, columns(lang="string", word="string", n="long")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = save(words, "language-words")
     pieces = load_pieces(vocabulary)

@@ -12,18 +12,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import columns, save
+from .common import columns, save, text_bytes
 
 PASSAGE = 512
-#: Bounds of what the network is fitted on: labelled rows (lowest hashes of doc_id), and passages of each, dealt evenly
-#: over its text. Scores always take every passage.
-MAX_FIT_ROWS, MAX_FIT_PASSAGES = 6000, 32
-#: Texts are looked at in slices of about so many bytes, so memory does not grow with a batch.
+#: Bounds of what the network is fitted on: labelled rows (lowest hashes of doc_id) and the bytes of their texts, of which
+#: one row may hold an eighth. Rows are taken or left, their passages are all taken. Scores take every row and passage.
+MAX_FIT_ROWS, MAX_FIT_BYTES = 6000, 1 << 26
+#: Texts are looked at in slices of so many bytes (whole passages), so memory grows neither with a batch nor with a text.
 SLICE = 1 << 21
 
 # Character classes by byte: lower, upper, digit, space, line end, stops, other ASCII, non-ASCII.
@@ -38,7 +38,7 @@ _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 
 
-def passage_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def passage_features(texts: list[bytes] | list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, hashed trigram counts of every passage, number of passages of each text); an empty text has none."""
     sizes = np.array([len(t) for t in texts], np.int64)
     counts = -(-sizes // PASSAGE)
@@ -71,16 +71,19 @@ def design(features: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return np.concatenate([features, np.sqrt(grams, dtype=np.float32)], 1)
 
 
-def _slices(texts: list[str | None]) -> Iterator[list[bytes]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t.encode() if t else b"")
-        size += len(part[-1])
-        if size >= SLICE:
-            yield part
-            part, size = [], 0
+def _slices(texts: pa.Array) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(places of the texts, their bytes): all texts in order, SLICE bytes at a time; a long one is cut between passages."""
+    own, part, size = [], [], 0
+    for k, data in enumerate(text_bytes(texts.fill_null(""))):
+        for at in range(0, max(1, len(data)), SLICE):
+            if size + min(SLICE, len(data) - at) > SLICE:
+                yield own, part
+                own, part, size = [], [], 0
+            own.append(k)
+            part.append(data[at : at + SLICE])
+            size += len(part[-1])
     if part:
-        yield part
+        yield own, part
 
 
 class GatedAttentionMIL:
@@ -138,11 +141,30 @@ class GatedAttentionMIL:
                     self.p[k] = self.p[k] * (1 - decay) - speed * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
-    def score(self, features: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Scores of bags; one without passages gets the share of label 1."""
-        out, full = np.full(len(counts), self.base), counts > 0
-        if len(features):
-            out[full] = self._forward((design(features, grams) - self.mean) / self.std, counts[full])["y"]
+    def attend(self, features: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each bag (with a passage at least): the largest attention e, and the sums of exp(e - largest), alone and times h."""
+        p, at = self.p, np.cumsum(counts) - counts
+        h = np.tanh((design(features, grams) - self.mean) / self.std @ p["W"] + p["b"])
+        e = (np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]
+        top = np.maximum.reduceat(e, at)
+        e = np.exp(e - np.repeat(top, counts))
+        return top, np.add.reduceat(e, at), np.add.reduceat(e[:, None] * h, at)
+
+    def score_texts(self, texts: pa.Array) -> np.ndarray:
+        """Scores of whole texts. The softmax over the passages of a text runs on from slice to slice."""
+        top, total, pooled = np.full(len(texts), -np.inf), np.zeros(len(texts)), np.zeros((len(texts), len(self.p["c"])))
+        for own, part in _slices(texts):
+            x, grams, counts = passage_features(part)
+            full = counts > 0
+            if not full.any():
+                continue
+            k = np.array(own)[full]  # a text is in a slice once
+            t, s, z = self.attend(x, grams, counts[full])
+            most = np.maximum(top[k], t)
+            before, now = np.exp(top[k] - most), np.exp(t - most)
+            top[k], total[k], pooled[k] = most, total[k] * before + s * now, pooled[k] * before[:, None] + z * now[:, None]
+        out, full = np.full(len(texts), self.base), total > 0
+        out[full] = 1 / (1 + np.exp(-(pooled[full] / total[full, None] @ self.p["c"] + self.p["d"])))
         return out
 
 
@@ -151,33 +173,42 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit_rows: int = MAX_FIT_ROWS) -> GatedAttentionMIL:
-    """Train on at most `max_fit_rows` labelled documents outside the held-out fold. Repeated labels: the smallest."""
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit_rows: int = MAX_FIT_ROWS, max_fit_bytes: int = MAX_FIT_BYTES) -> GatedAttentionMIL:
+    """Train on labelled documents outside the held-out fold: at most `max_fit_rows` rows of `max_fit_bytes` in all.
+
+    Rows of one id that differ in text are examples of their own, equal rows are one; of labels that disagree on an id
+    the smallest counts. Rows come in order of a hash of the id; one that alone has more than an eighth of the bytes is
+    passed over. Null ids and labels are left out; extra columns are ignored; without a labelled row all score 0.5.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.min(label).cast("double").alias("label"))
-    sample = save(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows), "quality-sample")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = save(known.orderBy(*order).limit(max_fit_rows), "quality-ids")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    # The ids are bounded by max_fit_rows rows of two numbers, and so is the sample.
+    small = F.octet_length("text") <= max_fit_bytes // 8
+    sample = rows.join(F.broadcast(ids), "doc_id").where(small).select("doc_id", "text_hash", "label", F.octet_length("text").alias("bytes"))
+    sample = save(sample.orderBy(*order, "text_hash").limit(max_fit_rows).distinct(), "quality-sample")
+    upto = F.sum("bytes").over(Window.orderBy(*order, "text_hash").rowsBetween(Window.unboundedPreceding, 0))
+    sample = sample.withColumn("upto", upto).where(F.col("upto") <= max_fit_bytes).select("doc_id", "text_hash", "label")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for part in _slices(list(batch["text"])):
+            bags = [b""] * batch.num_rows
+            for own, part in _slices(batch.column(3)):
                 x, grams, counts = passage_features(part)
-                rows, begin, bags = batch.iloc[at : at + len(part)], np.cumsum(counts) - counts, []
-                at += len(part)
-                for b, n in zip(begin.tolist(), counts.tolist(), strict=True):
-                    k = b + np.arange(min(n, MAX_FIT_PASSAGES)) * max(n, 1) // max(1, min(n, MAX_FIT_PASSAGES))
-                    bags.append(x[k].tobytes() + grams[k].tobytes())
-                yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "label": rows["label"].to_numpy(), "x": bags})
-
-    # The sample is bounded by max_fit_rows rows of two numbers.
-    bags = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(run, columns(doc_id="long", label="double", x="binary"))
-    # One bag of each doc_id: at most max_fit_rows bags of MAX_FIT_PASSAGES passages come to the driver.
-    frame = bags.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("bag")).select("doc_id", "bag.*").toPandas().sort_values("doc_id")
+                ends = np.cumsum(counts)
+                for k, a, b in zip(own, (ends - counts).tolist(), ends.tolist(), strict=True):
+                    bags[k] += np.concatenate([x[a:b].view(np.uint8).reshape(b - a, 4 * N_FEATURES), grams[a:b]], 1).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(bags, pa.binary())], names=["doc_id", "text_hash", "label", "x"])
+
+    bags = rows.join(F.broadcast(sample), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "label", "text").mapInArrow(run, columns(doc_id="long", text_hash="long", label="double", x="binary"))
+    # One bag of each sampled row comes to the driver: about the bytes of their texts.
+    frame = bags.groupBy("doc_id", "text_hash").agg(F.min(F.struct("x", "label")).alias("bag")).select("doc_id", "text_hash", "bag.*").toPandas().sort_values(["doc_id", "text_hash"])
     width = 4 * N_FEATURES + GRAMS
+    flat = np.frombuffer(b"".join(frame["x"]), np.uint8).reshape(-1, width)
     counts = np.array([len(b) // width for b in frame["x"]], np.int64)
-    x = [np.frombuffer(b, np.float32, n * N_FEATURES).reshape(n, N_FEATURES) for b, n in zip(frame["x"], counts.tolist(), strict=True)]
-    grams = [np.frombuffer(b, np.uint8, n * GRAMS, 4 * n * N_FEATURES).reshape(n, GRAMS) for b, n in zip(frame["x"], counts.tolist(), strict=True)]
-    flat = np.concatenate([np.empty((0, N_FEATURES), np.float32), *x]), np.concatenate([np.empty((0, GRAMS), np.uint8), *grams])
-    return GatedAttentionMIL().fit(*flat, counts, frame["label"].to_numpy(np.float64))
+    x = np.ascontiguousarray(flat[:, : 4 * N_FEATURES]).view(np.float32).reshape(-1, N_FEATURES)
+    return GatedAttentionMIL().fit(x, flat[:, 4 * N_FEATURES :], counts, frame["label"].to_numpy(np.float64))
 
 
 def score_quality(docs: DataFrame, model: GatedAttentionMIL, threshold: float = 0.3) -> DataFrame:
@@ -189,8 +220,7 @@ def score_quality(docs: DataFrame, model: GatedAttentionMIL, threshold: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(*passage_features(part)) for part in _slices(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.empty(0), *scores]), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score_texts(batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, columns(doc_id="long", score="double"))
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -206,7 +236,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **opti
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(*passage_features(part)) for part in _slices(batch.column(at).to_pylist())]
-            yield batch.filter(pa.array(np.concatenate([np.empty(0), *scores]) >= threshold))
+            yield batch.filter(pa.array(model.score_texts(batch.column(at)) >= threshold))
 
     return docs.mapInArrow(run, schema)

@@ -433,6 +433,38 @@ def test_scores_are_those_of_a_plain_loop(spark):
             assert got[k] == model.base
 
 
+def test_a_long_text_is_scored_in_slices_of_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    model = quality_mil.GatedAttentionMIL()
+    texts = [None, "".join(chr(97 + c) for c in rng.integers(0, 26, 5000)), "", "".join(chr(97 + c) for c in rng.integers(0, 26, 3 * quality_mil.SLICE + 700)), "x"]
+    tracemalloc.start()
+    got = model.score_texts(pa.array(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    for text, score in zip(texts, got, strict=True):
+        if text:
+            f, g, counts = quality_mil.passage_features([text.encode()])
+            assert score == pytest.approx(model._forward((quality_mil.design(f, g) - model.mean) / model.std, counts)["y"][0], abs=1e-6)
+        else:
+            assert score == model.base
+
+
+def test_quality_learns_rows_of_one_id_by_their_own_text(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality_mil.GatedAttentionMIL, "fit", lambda self, x, grams, counts, label: seen.update(counts=sorted(counts.tolist()), label=label.tolist()) or self)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    rows = [(1, "a" * 600), (1, "b" * 20), (1, "b" * 20), (2, "c" * 30000), (3, None), (6, "no label")]
+    quality_mil.fit_quality(docs(spark, rows), labels)
+    assert seen["counts"] == [0, 1, 2, 59] and sorted(seen["label"]) == [0, 1, 1, 1]
+    quality_mil.fit_quality(docs(spark, rows), labels, max_fit_bytes=8000)
+    assert seen["counts"] == [0, 1, 2]
+
+
 def test_quality_awkward_rows(spark):
     rows = awkward(random.Random(10))
     labels = spark.createDataFrame([(4, 1, 0), (9, 0, 0), (9, 1, 0), (6, None, 1), (99, 1, 0)], "doc_id long, quality int, toxic int")
@@ -624,6 +656,17 @@ def test_languages_on_the_held_out_fold(spark):
 # --- pipeline
 
 
+def test_languages_of_one_id_are_told_apart_by_row(spark):
+    rows = [(k, f"the house is green and number {k}", "s", "en") for k in range(100)] + [(k, f"das haus ist grün und nummer {k}", "s", "de") for k in range(100)]
+    table = docs(spark, rows)
+    model = language_id.fit_languages(table)
+    got = language_id.identify_languages(docs(spark, [(500, "the house is green"), (501, "das haus ist grün")]), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {500: "en", 501: "de"}
+    # The bound holds for rows, also if they share an id.
+    few = language_id.fit_languages(table.withColumn("doc_id", F.lit(3).cast("long")), max_fit_rows=5)
+    assert set(few.langs) <= {"en", "de"} and few.langs
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 
