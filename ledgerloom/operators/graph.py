@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import cut
-from .matching import greedy_select, subset_sums
+from .greedy import greedy_select
+from .subset import subset_sums
 
 #: The stages of a record's life, in order; other types come last.
 STAGES = ("invoice", "payment", "processor", "settlement", "bank_transaction", "ledger_entry")

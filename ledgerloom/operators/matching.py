@@ -10,9 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..plans.storage import cut
+from .greedy import greedy_select
+from .subset import subset_sums
 
 #: Rules in the order of the cascade, with status, confidence and reason codes.
 RULES = {
@@ -117,26 +118,6 @@ def match_pair(pairs: DataFrame, window: int = 3) -> DataFrame:
     return rules.select("source_id", "target_id", F.coalesce("rule", F.lit("none")).alias("rule"), F.coalesce("status", F.lit("UNMATCHED")).alias("status"), F.coalesce("confidence", F.lit(0)).cast("decimal(4,2)").alias("confidence"))
 
 
-def greedy_select(options: DataFrame, order: list[Column], resources: str = "resources") -> DataFrame:
-    """The options that a scan in `order` would take, each option taking all of its `resources` if none is used yet.
-
-    In rounds: an option that comes first on each of its resources is taken, and options that touch a used resource
-    go. What comes first among its rivals is taken by the scan too, so the result is the scan's. Each round is written,
-    and ends when no option is left. `options` needs a unique option_id.
-    """
-    live, taken = cut(options, "greedy-live"), None
-    first = Window.partitionBy("resource").orderBy(*order)
-    while live.limit(1).count():
-        uses = live.withColumn("resource", F.explode(resources)).withColumn("place", F.row_number().over(first))
-        best = uses.groupBy("option_id").agg(F.max("place").alias("worst")).where("worst = 1").select("option_id")
-        got = cut(live.join(best, "option_id", "left_semi"), "greedy-taken")
-        taken = got if taken is None else taken.union(got)
-        used = got.select(F.explode(resources).alias("resource")).distinct()
-        gone = live.select("option_id", F.explode(resources).alias("resource")).join(used, "resource").select("option_id").distinct()
-        live = cut(live.join(gone, "option_id", "left_anti"), "greedy-live")
-    return taken if taken is not None else options.limit(0)
-
-
 def assign_one_to_one(pairs: DataFrame) -> DataFrame:
     """Sources by id take their best free target: highest confidence, then largest id. Mismatches count as pairs."""
     options = pairs.withColumn("option_id", F.concat_ws("|", "source_id", "target_id")).withColumn("resources", F.array(F.concat(F.lit("s:"), "source_id"), F.concat(F.lit("t:"), "target_id")))
@@ -144,35 +125,34 @@ def assign_one_to_one(pairs: DataFrame) -> DataFrame:
     return greedy_select(options, order).drop("option_id", "resources")
 
 
-def subset_sums(anchors: DataFrame, parts: DataFrame, block: list[str], largest: int = 4, positive: bool = True) -> DataFrame:
-    """(anchor_id, members): groups of 2 to `largest` parts of one block whose amounts add up to the anchor's.
+def _options(groups: DataFrame) -> DataFrame:
+    options = groups.withColumn("option_id", F.concat_ws("|", "anchor_id", F.array_join("members", "|")))
+    return options.withColumn("resources", F.concat(F.array(F.concat(F.lit("a:"), "anchor_id")), F.transform("members", lambda m: F.concat(F.lit("m:"), m))))
 
-    Members are in order of id. Size 2 meets the anchor by its sum, size 3 by pair and single, size 4 by two pairs,
-    each an equi-join on the block and the missing amount. With `positive`, parts that are not positive take no part.
-    """
-    a = anchors.select(*block, F.col("record_id").alias("anchor_id"), F.col("amount").alias("goal"))
-    p = (parts.where("amount > 0") if positive else parts).select(*block, "record_id", "amount")
-    one = p.select(*block, F.array("record_id").alias("m1"), F.col("record_id").alias("lo1"), F.col("amount").cast("decimal(30,4)").alias("rest"))
-    q = p.select(*block, F.col("record_id").alias("id2"), F.col("amount").alias("amount2"))
-    two = p.join(q, block).where("record_id < id2").select(*block, F.array("record_id", "id2").alias("m2"), (F.col("amount") + F.col("amount2")).cast("decimal(30,4)").alias("sum2"))
-    keys = [*block, "rest"]
-    out = [a.withColumn("rest", F.col("goal").cast("decimal(30,4)")).join(two.withColumnRenamed("sum2", "rest"), keys).select("anchor_id", F.col("m2").alias("members"))]
-    if largest > 2:
-        left = (a.join(two, block).where("sum2 < goal") if positive else a.join(two, block)).withColumn("rest", (F.col("goal") - F.col("sum2")).cast("decimal(30,4)"))
-        out.append(left.join(one, keys).where(F.col("lo1") > F.col("m2")[1]).select("anchor_id", F.concat("m2", "m1").alias("members")))
-        if largest > 3:
-            more = two.select(*block, F.col("m2").alias("m4"), F.col("sum2").alias("rest"))
-            out.append(left.join(more, keys).where(F.col("m4")[0] > F.col("m2")[1]).select("anchor_id", F.concat("m2", "m4").alias("members")))
-    return reduce(DataFrame.union, out)
 
+def allocate(anchors: DataFrame, parts: DataFrame, block: tuple[str, ...] = ("currency",), largest: int = 4, positive: bool = False) -> DataFrame:
+    """Anchors by id take the first free group of one block: smallest size, then by member ids. Confidence 0.88.
 
-def allocate(anchors: DataFrame, parts: DataFrame, block: tuple[str, ...] = ("currency", "party"), largest: int = 4) -> DataFrame:
-    """Anchors by id take the first free group: smallest size, then by member ids. Confidence 0.88."""
-    groups = subset_sums(anchors, parts, list(block), largest)
-    options = groups.withColumn("option_id", F.concat_ws("|", "anchor_id", F.array_join("members", "|")))
-    options = options.withColumn("resources", F.concat(F.array(F.concat(F.lit("a:"), "anchor_id")), F.transform("members", lambda m: F.concat(F.lit("m:"), m))))
-    got = greedy_select(options, [F.col("anchor_id"), F.size("members"), F.col("members")])
-    return got.select("anchor_id", "members", F.lit("0.88").cast("decimal(4,2)").alias("confidence"))
+    Larger groups are looked for only for anchors that the smaller ones leave without one, until none is left; as an
+    anchor prefers small groups, that gives what the scan over all sizes gives.
+    """
+    order = [F.col("anchor_id"), F.size("members"), F.col("members")]
+    depth = cut(anchors.select(F.col("record_id").alias("anchor_id"), F.lit(1).alias("depth")).distinct(), "depth")
+    groups, lacking = None, depth
+    while True:
+        for size in range(2, largest + 1):
+            own = lacking.where(F.col("depth") == size - 1)
+            if size == 2 and groups is not None or not own.limit(1).count():
+                continue
+            some = anchors.join(own.select(F.col("anchor_id").alias("record_id")), "record_id", "left_semi")
+            found = cut(subset_sums(some, parts, list(block), size, positive, smallest=size), "groups")
+            groups = found if groups is None else groups.union(found)
+        deeper = lacking.select("anchor_id", F.lit(True).alias("_more"))
+        depth = cut(depth.join(deeper, "anchor_id", "left").select("anchor_id", F.when(F.col("_more"), F.least(F.lit(largest), F.col("depth") + 1)).otherwise(F.col("depth")).alias("depth")), "depth")
+        got = cut(greedy_select(_options(groups), order), "allocated")
+        lacking = cut(depth.where(F.col("depth") < largest).join(got, "anchor_id", "left_anti"), "lacking")
+        if not lacking.limit(1).count():
+            return got.select("anchor_id", "members", F.lit("0.88").cast("decimal(4,2)").alias("confidence"))
 
 
 def allocation_flags(pairs: DataFrame) -> DataFrame:
@@ -204,7 +184,7 @@ def unmatched(records: DataFrame, used: DataFrame, source: bool = True) -> DataF
     return _without(records, used).select(*result_rows(left, right, F.lit("UNMATCHED"), F.lit(0), F.array(F.lit("NO_MATCH"))))
 
 
-def reconcile(sources: DataFrame, targets: DataFrame, window: int = 3, block: tuple[str, ...] = ("currency", "party"), largest: int = 4) -> DataFrame:
+def reconcile(sources: DataFrame, targets: DataFrame, window: int = 3, block: tuple[str, ...] = ("currency",), largest: int = 4) -> DataFrame:
     """One-to-one, then one-to-many, then many-to-one, then what is left; each stage sees only the leftovers."""
     pairs = cut(assign_one_to_one(rule_pairs(sources, targets, window)), "assigned")
     s1, t1 = _without(sources, pairs.select("source_id")), _without(targets, pairs.select("target_id"))

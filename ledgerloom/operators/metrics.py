@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ordered import running_sums
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -151,12 +152,11 @@ def conservation(lines: DataFrame, key: str) -> DataFrame:
 def threshold_select(scored: DataFrame, most_fp_rate: float, most_exposure: float) -> DataFrame:
     """Lowest (coverage) and highest (precision) probability at which the selected rows keep to both limits.
 
-    `scored` has probability, label 0 / 1, amount. The running sums go over distinct probabilities, of which there
-    are few once scores are rounded; ties are selected together.
+    `scored` has probability, label 0 / 1, amount. The running sums go over distinct probabilities, so ties are selected
+    together, and over ranges of them, so there may be as many as there are rows.
     """
-    by = scored.groupBy("probability").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("label")).alias("fp"), F.sum(F.when(F.col("label") == 0, F.col("amount")).otherwise(0)).alias("lost"))
-    run = Window.orderBy(F.col("probability").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    sums = by.select("probability", F.sum("n").over(run).alias("n"), F.sum("fp").over(run).alias("fp"), F.sum("lost").over(run).alias("lost"))
+    by = scored.groupBy("probability").agg(F.count(F.lit(1)).alias("rows"), F.sum(1 - F.col("label")).alias("wrong"), F.sum(F.when(F.col("label") == 0, F.col("amount")).otherwise(0)).alias("money"))
+    sums = running_sums(by, [F.col("probability").desc()], {"n": F.col("rows"), "fp": F.col("wrong"), "lost": F.col("money")})
     ok = sums.where((F.col("fp") / F.col("n") <= most_fp_rate) & (F.col("lost") <= most_exposure))
     return ok.agg(F.min("probability").alias("coverage_threshold"), F.max("probability").alias("precision_threshold"))
 
@@ -178,8 +178,7 @@ def generalization_gate(scored: DataFrame, auto: float, review: float, most_rate
 def model_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Accuracy, precision, recall, F1 and ROC-AUC. The area adds up over distinct scores, so ties count half."""
     by = scored.groupBy("probability").agg(count_of(F.col("label") == 1).alias("pos"), count_of(F.col("label") == 0).alias("neg"))
-    below = Window.orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)
-    area = by.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    area = running_sums(by, [F.col("probability")], {"under": F.col("neg")}, before=True)
     area = area.agg(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     auc = F.when((F.col("p") == 0) | (F.col("n") == 0), 0.0).otherwise(F.round(F.col("u") / (F.col("p") * F.col("n")), 6))
     marked = scored.select((F.col("label") == 1).alias("actual"), (F.col("probability") >= threshold).alias("predicted"))

@@ -297,20 +297,29 @@ def unmatched(spark, d):
     return left.union(M.unmatched(p, pairs.select("target_id"), False).select(F.col("target_ids")[0], F.lit("target")))
 
 
-def _alloc_sql(anchors: str, parts: str) -> str:
-    return f"""{CTE}, a AS (SELECT * FROM {anchors}), p AS (SELECT * FROM {parts} WHERE amount > 0),
-two AS (SELECT currency, party, x.record_id AS i, y.record_id AS j, x.amount + y.amount AS rest FROM p x JOIN p y USING (currency, party) WHERE x.record_id < y.record_id),
-g AS (SELECT a.record_id AS anchor_id, [i, j] AS m FROM a JOIN two ON a.currency = two.currency AND a.party = two.party AND a.amount = rest
- UNION ALL SELECT a.record_id, [i, j, z.record_id] FROM a JOIN two ON a.currency = two.currency AND a.party = two.party JOIN p z ON z.currency = a.currency AND z.party = a.party AND z.amount = a.amount - rest WHERE z.record_id > j),
-best AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY len(m), m) = 1),
-once AS (SELECT *, unnest(m) AS u FROM best), ok AS (SELECT anchor_id, min(r) AS lo, max(r) AS hi FROM (SELECT anchor_id, row_number() OVER (PARTITION BY u ORDER BY anchor_id) AS r FROM once) GROUP BY 1)
-SELECT anchor_id, array_to_string(m, ',') AS members, CAST(0.88 AS DECIMAL(4,2)) AS confidence FROM best JOIN ok USING (anchor_id) WHERE hi = 1"""
-
-
-@query(_alloc_sql("invoices", "payments"))
+def _alloc_sql(anchors: str, parts: str, block: str, largest: int, before: str = CTE) -> str:
+    """Anchors by id within a block take their first free group, by a recursion over them; a block waits for no other."""
+    on = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in block.split(", "))
+    own = ", ".join(f"a.{c}" for c in block.split(", "))
+    groups = [f"SELECT a.record_id AS anchor_id, {own}, [two.i, two.j] AS m FROM a JOIN two ON {on('a', 'two')} AND a.amount = two.total"]
+    if largest > 2:
+        groups.append(f"SELECT a.record_id, {own}, [two.i, two.j, z.record_id] FROM a JOIN p z ON {on('a', 'z')} JOIN two ON {on('a', 'two')} AND two.total = a.amount - z.amount WHERE z.record_id > two.j")
+    if largest > 3:
+        groups.append(f"SELECT a.record_id, {own}, [x.i, x.j, y.i, y.j] FROM a JOIN two x ON {on('a', 'x')} JOIN two y ON {on('a', 'y')} AND y.total = a.amount - x.total WHERE y.i > x.j")
+    return f"""{before.replace('WITH', 'WITH RECURSIVE', 1)}, a AS MATERIALIZED (SELECT * FROM {anchors}), p AS MATERIALIZED (SELECT * FROM {parts}),
+two AS MATERIALIZED (SELECT {", ".join(f"x.{c}" for c in block.split(", "))}, x.record_id AS i, y.record_id AS j, x.amount + y.amount AS total FROM p x JOIN p y ON {on('x', 'y')} AND x.record_id < y.record_id),
+g AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY {block} ORDER BY anchor_id) AS n, row_number() OVER (PARTITION BY anchor_id ORDER BY len(m), m) AS place FROM ({" UNION ALL ".join(groups)})),
+r AS (SELECT DISTINCT {block}, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS anchor_id, CAST([] AS VARCHAR[]) AS m, CAST([] AS VARCHAR[]) AS used FROM g
+ UNION ALL SELECT {block}, n, anchor_id, coalesce(pick, []), list_concat(used, coalesce(pick, [])) FROM (SELECT {", ".join(f"r.{c}" for c in block.split(", "))}, g.n, g.anchor_id, any_value(r.used) AS used, arg_min(g.m, g.place) FILTER (WHERE NOT list_has_any(g.m, r.used)) AS pick
+  FROM r JOIN g ON {on('g', 'r')} AND g.n = r.n + 1 GROUP BY ALL) s)
+SELECT anchor_id, array_to_string(m, ',') AS members, CAST(0.88 AS DECIMAL(4,2)) AS confidence FROM r WHERE len(m) > 0"""
+
+
+@query(_alloc_sql("invoices", "payments", "currency, party", 4))
 def alloc_one_to_many(spark, d):
+    """Within a party, so that chance groups stay few."""
     i, p = both(spark, d)
-    return M.allocate(i, p, largest=3).select("anchor_id", F.array_join("members", ",").alias("members"), "confidence")
+    return M.allocate(i, p, ("currency", "party")).select("anchor_id", F.array_join("members", ",").alias("members"), "confidence")
 
 
 #: One payment for two invoices of a party each: every odd one and the one after it.
@@ -318,36 +327,34 @@ JOINT = """SELECT concat('J', record_id) AS record_id, currency, party, CAST(amo
  lead(amount) OVER (PARTITION BY currency, party ORDER BY record_id) AS after, row_number() OVER (PARTITION BY currency, party ORDER BY record_id) AS n FROM invoices) x WHERE after IS NOT NULL AND n % 2 = 1"""
 
 
-@query(_alloc_sql(f"({JOINT})", "invoices"))
+@query(_alloc_sql(f"({JOINT})", "invoices", "currency, party", 4))
 def alloc_many_to_one(spark, d):
     i, _ = both(spark, d)
     joint = spark.sql(JOINT.replace("FROM invoices", "FROM {invoices}"), invoices=i)
-    return M.allocate(joint, i, largest=3).select("anchor_id", F.array_join("members", ",").alias("members"), "confidence")
-
-
-@query()
-def alloc_one_to_many_full(spark, d):
-    """Groups of up to 4, the operator's default."""
-    i, p = both(spark, d)
-    return M.allocate(i, p).select("anchor_id", F.array_join("members", ",").alias("members"), "confidence")
+    return M.allocate(joint, i, ("currency", "party")).select("anchor_id", F.array_join("members", ",").alias("members"), "confidence")
 
 
-@query()
-def alloc_many_to_one_full(spark, d):
+@query(_alloc_sql("invoices WHERE record_id NOT IN (SELECT source_id FROM assigned)", "payments WHERE record_id NOT IN (SELECT target_id FROM assigned)", "currency", 2, JOINED))
+def alloc_by_currency(spark, d):
+    """What one-to-one leaves, across parties: groups of two of one currency."""
     i, p = both(spark, d)
-    return M.allocate(p, i).select("anchor_id", F.array_join("members", ",").alias("members"), "confidence")
+    pairs = cut(M.assign_one_to_one(M.rule_pairs(i, p)), "assigned")
+    left = lambda df, c: df.join(pairs.select(F.col(c).alias("record_id")), "record_id", "left_anti")
+    got = M.allocate(left(i, "source_id"), left(p, "target_id"), largest=2)
+    return got.select("anchor_id", F.array_join("members", ",").alias("members"), "confidence")
 
 
 @query()
 def reconcile(spark, d):
-    return M.reconcile(*both(spark, d))
+    """Groups within a party: across parties the groups that chance alone gives grow with the cube of what is left."""
+    return M.reconcile(*both(spark, d), block=("currency", "party"))
 
 
 @query()
 def reconcile_vendor(spark, d):
     """Two independent stages: invoice to payment, payment to a settlement a day later."""
     i, p = both(spark, d)
-    return M.reconcile_stages([("invoice-payment", i, p), ("payment-settlement", p, settlements(p))])
+    return M.reconcile_stages([("invoice-payment", i, p), ("payment-settlement", p, settlements(p))], block=("currency", "party"))
 
 
 @query(f"{JOINED} SELECT 'RECONCILIATION_DECISION' AS event_type, 'reconciliation' AS entity_type, source_id AS entity_id, status FROM assigned")
@@ -822,7 +829,9 @@ def leakage_groups(spark, d):
     return L.leakage_groups(sql(spark, d, EXAMPLES), ["entity", "seed", "scenario"])
 
 
-@query()
+@query("""WITH g AS (SELECT o_orderkey AS example_id, min(o_orderkey) OVER (PARTITION BY o_custkey) AS "group" FROM orders), s AS (SELECT "group", count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT *, sum(n) OVER (ORDER BY sha256('7:' || "group"), "group") - n AS upto, greatest(1, round_even(0.2 * sum(n) OVER (), 0)) AS goal FROM s), f AS (SELECT min(upto + n) AS filled FROM c WHERE upto + n >= goal)
+SELECT "group", example_id, CASE WHEN upto < goal THEN 'validation' WHEN upto - filled < goal THEN 'test' ELSE 'train' END AS split FROM g JOIN c USING ("group"), f""")
 def grouped_split(spark, d):
     groups = cut(L.leakage_groups(sql(spark, d, EXAMPLES), ["entity"]), "groups")
     return groups.join(L.grouped_split(groups).drop("n"), "group")
