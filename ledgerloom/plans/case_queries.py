@@ -158,14 +158,21 @@ def load_accounting_cases(spark, d):
     return out.select("case_id", F.size("journal").cast("long").alias("n_lines"), total.alias("total"), "error")
 
 
-def _labelled(spark, d):
+def _labelled(spark, d, similarity="edit"):
     """Pairs of one party with the fourteen features; a pair of the same order is a match."""
     i, p = both(spark, d)
     record = lambda side: F.array(F.struct("amount", "currency", "record_date", "reference", "party", F.col("external_id").alias("description"))).alias(side)
     left = i.select(F.col("record_id").alias("s"), "party", record("sources"))
     right = p.select(F.col("record_id").alias("t"), "party", record("targets"), F.col("amount"))
     pairs = left.join(right, "party").select(F.concat("s", F.lit(":"), "t").alias("example_id"), "party", "amount", "sources", "targets", F.lit(None).cast("double").alias("graph_score"), (F.substring("s", 2, 9) == F.substring("t", 2, 9)).cast("double").alias("label"))
-    return L.candidate_features(pairs).drop("sources", "targets")
+    return L.candidate_features(pairs, similarity).drop("sources", "targets")
+
+
+@query()
+def block_features(spark, d):
+    """The texts of the pairs of a party compared by matching blocks."""
+    rows = _labelled(spark, d, "blocks")
+    return rows.select("example_id", "reference_similarity", "reference_missing", "description_similarity", "description_missing")
 
 
 @query()
