@@ -59,12 +59,21 @@ def record_search(records: DataFrame, term: str, fields: list[str], record_type:
     return (found.where(F.col("record_type") == record_type) if record_type else found).orderBy("record_id").limit(limit)
 
 
+def first_rows(rows: DataFrame, keys: list[str], order: list[Column], most: int, place: str = "place") -> DataFrame:
+    """The first `most` rows of each key with their `place`. Spark keeps so many of each key in every task before it shuffles them."""
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) <= most)
+
+
 def related_records(records: DataFrame, identifiers: list[Column], limit: int = 30) -> DataFrame:
-    """(record_id, related_id): records that share an identifier, the first `limit` of each by id."""
+    """(record_id, related_id): records that share an identifier, the first `limit` of each by id.
+
+    Of an identifier's records only the first `limit` + 1 can be among the first of another record, so no more of them are met
+    with each of its records.
+    """
     each = records.select("record_id", F.explode(F.array_compact(F.array(*identifiers))).alias("k")).where("k <> ''").distinct()
-    pairs = each.join(each.withColumnRenamed("record_id", "related_id"), "k").where("record_id <> related_id").select("record_id", "related_id").distinct()
-    near = Window.partitionBy("record_id").orderBy("related_id")
-    return pairs.withColumn("place", F.row_number().over(near)).where(F.col("place") <= limit).drop("place")
+    shown = first_rows(each.withColumnRenamed("record_id", "related_id"), ["k"], [F.col("related_id")], limit + 1).drop("place")
+    pairs = each.join(shown, "k").where("record_id <> related_id").select("record_id", "related_id").distinct()
+    return first_rows(pairs, ["record_id"], [F.col("related_id")], limit).drop("place")
 
 
 def ranker_coverage(candidates: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -122,14 +131,18 @@ def rival_counts(candidates: DataFrame) -> DataFrame:
 
 
 def review_mask(candidates: DataFrame, threshold: str = "0.50", margin: str = "0.05") -> DataFrame:
-    """Candidates at the threshold that beat every rival on either record by the margin, in decimal arithmetic."""
+    """Candidates at the threshold that beat every rival on either record by the margin, in decimal arithmetic.
+
+    A record's best two candidates tell the best rival of each of them, and the best that of the others.
+    """
     score = F.col("score").cast("string").cast("decimal(10,6)")
-    base = rows = cut(candidates.withColumn("d", score), "review-mask")
-    is_best = F.col("candidate_id") == F.col("_best.candidate_id")
-    for side in ("source_id", "target_id"):  # the best two of a record by aggregates, which combine before they shuffle
-        best = base.groupBy(side).agg(F.max(F.struct("d", "candidate_id")).alias("_best"))
-        second = base.join(best, side).where(~is_best).groupBy(side).agg(F.max("d").alias("_next"))
-        rows = rows.join(best, side).join(second, side, "left").withColumn(f"rival_{side}", F.when(is_best, F.col("_next")).otherwise(F.col("_best.d"))).drop("_best", "_next")
+    rows = base = cut(candidates.select("candidate_id", "source_id", "target_id", "score", score.alias("d")), "review-mask")
+    for side in ("source_id", "target_id"):
+        two = first_rows(base.select(side, "candidate_id", "d"), [side], [F.col("d").desc(), F.col("candidate_id")], 2)
+        at = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
+        two = two.groupBy(side).agg(at(1, "candidate_id").alias("_best"), at(1, "d").alias("_most"), at(2, "d").alias("_next"))
+        rival = F.when(F.col("candidate_id") == F.col("_best"), F.col("_next")).otherwise(F.col("_most"))
+        rows = rows.join(two, side).withColumn(f"rival_{side}", rival).drop("_best", "_most", "_next")
     rival = F.greatest("rival_source_id", "rival_target_id")
     keep = (F.col("d") >= F.lit(threshold).cast("decimal(10,6)")) & (rival.isNull() | (F.col("d") - rival >= F.lit(margin).cast("decimal(10,6)")))
     return rows.select("candidate_id", "source_id", "target_id", "score", keep.alias("review"))

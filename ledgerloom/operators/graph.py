@@ -35,26 +35,55 @@ def entity_nodes(records: DataFrame) -> DataFrame:
     return records.select(F.col("record_id").alias("node_id"), F.col("record_type").alias("node_type"), stage_rank(F.col("record_type")).alias("stage"), "amount", "currency", F.col("record_date").alias("node_date"), F.coalesce("reference", "external_id").alias("reference"), "party", F.coalesce("fee_amount", F.lit(0)).cast("decimal(20,4)").alias("fee"))
 
 
-def candidate_edges(records: DataFrame, window: int = 3, only_across: bool = False, by_reference: bool = False) -> DataFrame:
+#: Records of one cell that one task meets with as many of another; larger cells are split into a grid.
+CELL, MOST_CELLS = 20_000, 100_000
+
+
+def _grid(left: DataFrame, right: DataFrame, keys: list[str], cell: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `_i` and `_j`: a key of more than `cell` rows is a grid, in which each part of one side meets each of the other."""
+    n = lambda rows, name: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > cell)
+    heavy = n(left, "_na").join(n(right, "_nb"), keys, "full_outer")
+    parts = lambda name: F.ceil(F.coalesce(name, F.lit(1)) / cell).cast("int")
+    # At most as many keys as hold more than `cell` rows each, which the caller has bounded.
+    heavy = F.broadcast(heavy.select(*keys, parts("_na").alias("_ka"), parts("_nb").alias("_kb")))
+
+    def dealt(rows: DataFrame, own: str, other: str, mine: str, its: str, node: str) -> DataFrame:
+        rows = rows.join(heavy, keys, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_ka", "_kb")})
+        rows = rows.withColumn(mine, F.pmod(F.xxhash64(node), F.col(own)).cast("int"))
+        return rows.withColumn(its, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_ka", "_kb")
+
+    return dealt(left, "_ka", "_kb", "_i", "_j", "a.node_id"), dealt(right, "_kb", "_ka", "_j", "_i", "b.node_id")
+
+
+def candidate_edges(records: DataFrame, window: int = 3, only_across: bool = False, by_reference: bool = False, cell: int = CELL) -> DataFrame:
     """Unordered pairs of one currency within `window` days and two powers of ten, oriented by stage, then id.
 
-    An equi-join on currency and date cells of window + 1 days; one side is replicated to the neighbouring cells, so
-    each pair meets once. Equal amounts score 0.95 on one day and 0.90 on two, near ones 0.80, others 0.50; with
-    `by_reference` a shared reference scores 0.95 and equal amounts 0.90 on every day.
+    An equi-join on currency, date cells of window + 1 days and cells of three powers of ten. A cell meets itself and the neighbours on
+    one side of it, so each pair is looked at once. A cell that holds many records is a grid of tasks. Equal amounts
+    score 0.95 on one day and 0.90 on two, near ones 0.80, others 0.50; with `by_reference` a shared reference scores
+    0.95 and equal amounts 0.90 on every day.
     """
-    rows = entity_nodes(records).withColumn("bucket", amount_bucket(F.col("amount"))).withColumn("cell", F.floor(F.datediff("node_date", F.lit("1970-01-01").cast("date")) / (window + 1)))
-    a = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns if c not in ("currency", "cell")], "currency", "cell")
-    b = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns if c not in ("currency", "cell")], "currency", F.explode(F.array(*[F.col("cell") + i for i in (-1, 0, 1)])).alias("cell"))
-    first = F.struct("a_stage", "a_node_id") < F.struct("b_stage", "b_node_id")
-    near = (F.abs(F.datediff("a_node_date", "b_node_date")) <= window) & (F.abs(F.col("a_bucket") - F.col("b_bucket")) <= 200)
-    both = a.join(b, ["currency", "cell"]).where(first & near)
+    rows = entity_nodes(records).withColumn("bucket", amount_bucket(F.col("amount")))
+    node = F.struct(*[c for c in rows.columns if c != "currency"])
+    rows = rows.where("currency is not null").select("currency", F.floor(F.unix_date("node_date") / (window + 1)).alias("day"), F.floor(F.col("bucket") / 300).alias("decade"), node.alias("node")).where("day is not null")
+    own = [F.struct(F.lit(d).alias("d"), F.lit(k).alias("k")) for d, k in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]
+    a = rows.select("currency", "day", "decade", F.col("node").alias("a"))
+    b = rows.withColumn("o", F.explode(F.array(*own)))
+    b = b.select("currency", (F.col("day") - F.col("o.d")).alias("day"), (F.col("decade") - F.col("o.k")).alias("decade"), ((F.col("o.d") == 0) & (F.col("o.k") == 0)).alias("own"), F.col("node").alias("b"))
+    keys = ["currency", "day", "decade"]
+    # Each record is in at most six keys, so at most MOST_CELLS keys are heavy.
+    a, b = _grid(a, b, keys, max(cell, 6 * records.count() // MOST_CELLS))
+    first = F.struct("a.stage", "a.node_id") < F.struct("b.stage", "b.node_id")
+    near = (F.abs(F.datediff("a.node_date", "b.node_date")) <= window) & (F.abs(F.col("a.bucket") - F.col("b.bucket")) <= 200)
+    both = a.join(b, [*keys, "_i", "_j"]).where(near & (first | ~F.col("own")))
+    both = both.select("currency", F.when(first, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("t"))
     if only_across:
-        both = both.where("a_node_type <> b_node_type")
+        both = both.where("s.node_type <> t.node_type")
     key = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
-    gap = F.abs(F.col("a_amount") - F.col("b_amount"))
-    best = F.coalesce(key("a_reference") == key("b_reference"), F.lit(False)) if by_reference else (gap == 0) & (F.col("a_node_date") == F.col("b_node_date"))
+    gap = F.abs(F.col("s.amount") - F.col("t.amount"))
+    best = F.coalesce(key("s.reference") == key("t.reference"), F.lit(False)) if by_reference else (gap == 0) & (F.col("s.node_date") == F.col("t.node_date"))
     score = F.when(best, "0.95").when(gap == 0, "0.90").when(gap <= F.lit(CLOSE_AMOUNT).cast("decimal(20,4)"), "0.80").otherwise("0.50").cast("decimal(4,2)")
-    return both.select(F.col("a_node_id").alias("source_id"), F.col("b_node_id").alias("target_id"), F.col("a_node_type").alias("source_type"), F.col("b_node_type").alias("target_type"), "currency", score.alias("score"))
+    return both.select(F.col("s.node_id").alias("source_id"), F.col("t.node_id").alias("target_id"), F.col("s.node_type").alias("source_type"), F.col("t.node_type").alias("target_type"), "currency", score.alias("score"))
 
 
 def candidate_batch(sources: DataFrame, targets: DataFrame, window: int = 3, by_reference: bool = False) -> DataFrame:

@@ -142,7 +142,7 @@ def allocate(anchors: DataFrame, parts: DataFrame, block: tuple[str, ...] = ("cu
     while True:
         for size in range(2, largest + 1):
             own = lacking.where(F.col("depth") == size - 1)
-            if size == 2 and groups is not None or not own.limit(1).count():
+            if groups is not None and (size == 2 or not own.limit(1).count()):
                 continue
             some = anchors.join(own.select(F.col("anchor_id").alias("record_id")), "record_id", "left_semi")
             found = cut(subset_sums(some, parts, list(block), size, positive, smallest=size), "groups")
@@ -211,6 +211,23 @@ def reconcile_stages(stages: list[tuple[str, DataFrame, DataFrame]], **options)
     return reduce(DataFrame.union, [reconcile(s, t, **options).withColumn("stage", F.lit(name)) for name, s, t in stages])
 
 
+#: The stages of each template, as places of its tables.
+TEMPLATES = {
+    "bank": (("bank_to_ledger", 0, 1),),
+    "vendor": (("purchase_order_to_invoice", 0, 1), ("invoice_to_ap", 1, 2), ("ap_to_payment", 2, 3)),
+    "customer": (("invoice_to_receipt", 0, 1), ("receipt_to_ar", 1, 2)),
+}
+
+
+def reconcile_template(name: str, *tables: DataFrame, **options) -> DataFrame:
+    """The stages of a template: bank (transactions, ledger), vendor (orders, invoices, payables, payments) or customer
+    (invoices, receipts, receivables)."""
+    stages = TEMPLATES[name]
+    if len(tables) != 1 + max(t for _, _, t in stages):
+        raise ValueError(f"{name} takes {1 + max(t for _, _, t in stages)} tables, not {len(tables)}")
+    return reconcile_stages([(stage, tables[s], tables[t]) for stage, s, t in stages], **options)
+
+
 def decision_audit(results: DataFrame) -> DataFrame:
     """One audit row per result: the entity is the first source, else the first target."""
     entity = F.coalesce(F.get("source_ids", F.lit(0)), F.get("target_ids", F.lit(0)))

@@ -158,23 +158,13 @@ def extraction_check(spark, d):
     return C.extraction_check(rows.withColumn("declared", F.array(*map(F.lit, ("click", "error", "refund")))))
 
 
-CELLS = """SELECT l_orderkey AS doc_id, 1 + l_orderkey % 3 AS page, 0 AS table_index, l_linenumber AS row_index, c AS column_index, 0.9 AS confidence,
- CASE WHEN c = 0 THEN concat('Q ', cast(l_quantity AS varchar(20))) ELSE concat('S ', l_returnflag) END AS text FROM lineitem CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 AS c) k WHERE l_linenumber <= 2"""
-
-
-@query("""WITH f AS (SELECT l_orderkey, min(l_linenumber) AS f FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1 HAVING count(DISTINCT l_linenumber) = 2)
-SELECT l_orderkey AS doc_id, (1 + l_orderkey % 3) * 1000 + 2 + 1 AS row_number, 2 AS n_fields, 0.9 AS parser_confidence FROM f""")
+@query("""WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey) AS row_index FROM lineitem)
+SELECT l_orderkey AS doc_id, (1 + l_orderkey % 3) * 1000 + row_index + 1 AS row_number, 2 AS n_fields, 0.9 AS parser_confidence FROM r WHERE row_index > 1""")
 def cells_to_rows(spark, d):
-    rows = N.cells_to_rows(sql(spark, d, CELLS).dropDuplicates(["doc_id", "page", "row_index", "column_index"]).withColumn("text", F.col("text")))
-    return rows.select("doc_id", "row_number", F.size("fields").alias("n_fields"), F.col("parser_confidence").cast("double").alias("parser_confidence"))
-
-
-@query()
-def cells_to_rows_full(spark, d):
     """All lines of an order are the rows of its table; lines of one number are rows of their own."""
     lines = tab(spark, d, "lineitem")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", *[c for c in lines.columns if c not in ("l_orderkey", "l_linenumber")]))
-    cells = lines.withColumn("row_index", place).select(F.col("l_orderkey").alias("doc_id"), (1 + F.col("l_orderkey") % 3).alias("page"), F.lit(0).alias("table_index"), "row_index", F.posexplode(F.array(F.concat(F.lit("Q "), "l_quantity"), F.concat(F.lit("S "), "l_returnflag"))).alias("column_index", "text"), F.lit(0.9).alias("confidence"))
+    cells = lines.withColumn("row_index", place).select(F.col("l_orderkey").alias("doc_id"), (1 + F.col("l_orderkey") % 3).alias("page"), F.lit(0).alias("table_index"), "row_index", F.posexplode(F.array(F.concat(F.lit("Q "), "l_quantity"), F.concat(F.lit("S "), "l_linenumber", F.lit(" "), "row_index"))).alias("column_index", "text"), F.lit(0.9).alias("confidence"))
     return N.cells_to_rows(cells).select("doc_id", "row_number", F.size("fields").alias("n_fields"), F.col("parser_confidence").cast("double").alias("parser_confidence"))
 
 
@@ -297,22 +287,43 @@ def unmatched(spark, d):
     return left.union(M.unmatched(p, pairs.select("target_id"), False).select(F.col("target_ids")[0], F.lit("target")))
 
 
-def _alloc_sql(anchors: str, parts: str, block: str, largest: int, before: str = CTE) -> str:
+def _alloc_ctes(name: str, anchors: str, parts: str, block: str, largest: int) -> str:
     """Anchors by id within a block take their first free group, by a recursion over them; a block waits for no other."""
     on = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in block.split(", "))
-    own = ", ".join(f"a.{c}" for c in block.split(", "))
-    groups = [f"SELECT a.record_id AS anchor_id, {own}, [two.i, two.j] AS m FROM a JOIN two ON {on('a', 'two')} AND a.amount = two.total"]
+    of = lambda x: ", ".join(f"{x}.{c}" for c in block.split(", "))
+    a, p, two, g, r = (f"{name}_{x}" for x in ("a", "p", "two", "g", "r"))
+    groups = [f"SELECT a.record_id AS anchor_id, {of('a')}, [t.i, t.j] AS m FROM {a} a JOIN {two} t ON {on('a', 't')} AND a.amount = t.total"]
     if largest > 2:
-        groups.append(f"SELECT a.record_id, {own}, [two.i, two.j, z.record_id] FROM a JOIN p z ON {on('a', 'z')} JOIN two ON {on('a', 'two')} AND two.total = a.amount - z.amount WHERE z.record_id > two.j")
+        groups.append(f"SELECT a.record_id, {of('a')}, [t.i, t.j, z.record_id] FROM {a} a JOIN {p} z ON {on('a', 'z')} JOIN {two} t ON {on('a', 't')} AND t.total = a.amount - z.amount WHERE z.record_id > t.j")
     if largest > 3:
-        groups.append(f"SELECT a.record_id, {own}, [x.i, x.j, y.i, y.j] FROM a JOIN two x ON {on('a', 'x')} JOIN two y ON {on('a', 'y')} AND y.total = a.amount - x.total WHERE y.i > x.j")
-    return f"""{before.replace('WITH', 'WITH RECURSIVE', 1)}, a AS MATERIALIZED (SELECT * FROM {anchors}), p AS MATERIALIZED (SELECT * FROM {parts}),
-two AS MATERIALIZED (SELECT {", ".join(f"x.{c}" for c in block.split(", "))}, x.record_id AS i, y.record_id AS j, x.amount + y.amount AS total FROM p x JOIN p y ON {on('x', 'y')} AND x.record_id < y.record_id),
-g AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY {block} ORDER BY anchor_id) AS n, row_number() OVER (PARTITION BY anchor_id ORDER BY len(m), m) AS place FROM ({" UNION ALL ".join(groups)})),
-r AS (SELECT DISTINCT {block}, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS anchor_id, CAST([] AS VARCHAR[]) AS m, CAST([] AS VARCHAR[]) AS used FROM g
- UNION ALL SELECT {block}, n, anchor_id, coalesce(pick, []), list_concat(used, coalesce(pick, [])) FROM (SELECT {", ".join(f"r.{c}" for c in block.split(", "))}, g.n, g.anchor_id, any_value(r.used) AS used, arg_min(g.m, g.place) FILTER (WHERE NOT list_has_any(g.m, r.used)) AS pick
-  FROM r JOIN g ON {on('g', 'r')} AND g.n = r.n + 1 GROUP BY ALL) s)
-SELECT anchor_id, array_to_string(m, ',') AS members, CAST(0.88 AS DECIMAL(4,2)) AS confidence FROM r WHERE len(m) > 0"""
+        groups.append(f"SELECT a.record_id, {of('a')}, [x.i, x.j, y.i, y.j] FROM {a} a JOIN {two} x ON {on('a', 'x')} JOIN {two} y ON {on('a', 'y')} AND y.total = a.amount - x.total WHERE y.i > x.j")
+    return f"""{a} AS MATERIALIZED (SELECT * FROM {anchors}), {p} AS MATERIALIZED (SELECT * FROM {parts}),
+{two} AS MATERIALIZED (SELECT {of('x')}, x.record_id AS i, y.record_id AS j, x.amount + y.amount AS total FROM {p} x JOIN {p} y ON {on('x', 'y')} AND x.record_id < y.record_id),
+{g} AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY {block} ORDER BY anchor_id) AS n, row_number() OVER (PARTITION BY anchor_id ORDER BY len(m), m) AS place FROM ({" UNION ALL ".join(groups)})),
+{r} AS (SELECT DISTINCT {block}, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS anchor_id, CAST([] AS VARCHAR[]) AS m, CAST([] AS VARCHAR[]) AS used FROM {g}
+ UNION ALL SELECT {block}, n, anchor_id, coalesce(pick, []), list_concat(used, coalesce(pick, [])) FROM (SELECT {of('r')}, g.n, g.anchor_id, any_value(r.used) AS used, arg_min(g.m, g.place) FILTER (WHERE NOT list_has_any(g.m, r.used)) AS pick
+  FROM {r} r JOIN {g} g ON {on('g', 'r')} AND g.n = r.n + 1 GROUP BY ALL) s),
+{name} AS MATERIALIZED (SELECT anchor_id, m FROM {r} WHERE len(m) > 0)"""
+
+
+def _alloc_sql(anchors: str, parts: str, block: str, largest: int, before: str = CTE) -> str:
+    return f"""{before.replace('WITH', 'WITH RECURSIVE', 1)}, {_alloc_ctes('got', anchors, parts, block, largest)}
+SELECT anchor_id, array_to_string(m, ',') AS members, CAST(0.88 AS DECIMAL(4,2)) AS confidence FROM got"""
+
+
+def _reconcile_sql(sources: str | None = None, targets: str | None = None, stage: str = "") -> str:
+    """All result rows: pairs, groups of targets, groups of sources, and what is left. The tables are named `invoices` and `payments`."""
+    before = JOINED if sources is None else JOINED.replace(CTE, f"{CTE.replace('invoices AS', 'i0 AS').replace('payments AS', 'p0 AS')}, invoices AS MATERIALIZED ({sources}), payments AS MATERIALIZED ({targets})")
+    tag = f", '{stage}' AS stage" if stage else ""
+    none = "UNMATCHED', CAST(0 AS DECIMAL(4,2)), 'NO_MATCH'"
+    return f"""{before.replace('WITH', 'WITH RECURSIVE', 1)}, s1 AS MATERIALIZED (SELECT * FROM invoices WHERE record_id NOT IN (SELECT source_id FROM assigned)), t1 AS MATERIALIZED (SELECT * FROM payments WHERE record_id NOT IN (SELECT target_id FROM assigned)),
+{_alloc_ctes('split', 's1', 't1', 'currency, party', 4)},
+s2 AS MATERIALIZED (SELECT * FROM s1 WHERE record_id NOT IN (SELECT anchor_id FROM split)), t2 AS MATERIALIZED (SELECT * FROM t1 WHERE record_id NOT IN (SELECT unnest(m) FROM split)),
+{_alloc_ctes('merged', 't2', 's2', 'currency, party', 4)}
+SELECT *{tag} FROM (SELECT source_id AS source_ids, target_id AS target_ids, status, confidence, CASE rule WHEN 'currency_mismatch' THEN 'CURRENCY_MISMATCH' WHEN 'reference' THEN 'EXACT_REFERENCE,CURRENCY_MATCH' WHEN 'external_id' THEN 'EXACT_ID,CURRENCY_MATCH' WHEN 'amount_date' THEN 'EXACT_AMOUNT,CURRENCY_MATCH'
+  WHEN 'timing' THEN 'EXACT_AMOUNT,AMOUNT_DATE_WINDOW,KNOWN_TIMING,CURRENCY_MATCH' ELSE 'KNOWN_FEE,CURRENCY_MATCH' END AS reasons FROM assigned
+ UNION ALL SELECT anchor_id, array_to_string(m, ','), 'MATCHED', CAST(0.88 AS DECIMAL(4,2)), 'EXACT_AMOUNT' FROM split UNION ALL SELECT array_to_string(m, ','), anchor_id, 'MATCHED', CAST(0.88 AS DECIMAL(4,2)), 'EXACT_AMOUNT' FROM merged
+ UNION ALL SELECT record_id, '', '{none} FROM s2 WHERE record_id NOT IN (SELECT unnest(m) FROM merged) UNION ALL SELECT '', record_id, '{none} FROM t2 WHERE record_id NOT IN (SELECT anchor_id FROM merged))"""
 
 
 @query(_alloc_sql("invoices", "payments", "currency, party", 4))
@@ -344,17 +355,48 @@ def alloc_by_currency(spark, d):
     return got.select("anchor_id", F.array_join("members", ",").alias("members"), "confidence")
 
 
-@query()
+def _told(results: DataFrame) -> DataFrame:
+    """Result rows with their lists as text."""
+    return results.withColumns({c: F.array_join(c, ",") for c in ("source_ids", "target_ids", "reasons")})
+
+
+@query(_reconcile_sql())
 def reconcile(spark, d):
     """Groups within a party: across parties the groups that chance alone gives grow with the cube of what is left."""
-    return M.reconcile(*both(spark, d), block=("currency", "party"))
+    return _told(M.reconcile(*both(spark, d), block=("currency", "party")))
 
 
-@query()
+def _later(rows: str, prefix: str, kind: str, days: int) -> str:
+    return f"SELECT concat('{prefix}', record_id) AS record_id, '{kind}' AS record_type, external_id, amount, currency, CAST(record_date + {days} AS DATE) AS record_date, reference, party, fee_amount FROM {rows}"
+
+
+def _later_rows(rows: DataFrame, prefix: str, kind: str, days: int) -> DataFrame:
+    return rows.withColumns({"record_id": F.concat(F.lit(prefix), "record_id"), "record_type": F.lit(kind), "record_date": F.date_add("record_date", days)})
+
+
+@query(_reconcile_sql(_later("p0", "B", "bank_transaction", 1), _later("p0", "L", "ledger_entry", 3), "bank_to_ledger"))
+def reconcile_bank(spark, d):
+    """Bank transactions a day after the payments, ledger entries two days later."""
+    p = payments(spark, d)
+    return _told(M.reconcile_template("bank", _later_rows(p, "B", "bank_transaction", 1), _later_rows(p, "L", "ledger_entry", 3), block=("currency", "party")))
+
+
+_STAGE = lambda s, t, name: f"({_reconcile_sql(s, t, name)})"
+
+
+@query(f"""SELECT * FROM {_STAGE("SELECT * FROM i0", "SELECT * FROM p0", "invoice_to_receipt")} UNION ALL SELECT * FROM {_STAGE("SELECT * FROM p0", _later("p0", "R", "ledger_entry", 1), "receipt_to_ar")}""")
+def reconcile_customer(spark, d):
+    """Invoices, receipts and the entries of a day later."""
+    i, p = both(spark, d)
+    return _told(M.reconcile_template("customer", i, p, _later_rows(p, "R", "ledger_entry", 1), block=("currency", "party")))
+
+
+@query(f"""SELECT * FROM {_STAGE(_later("i0", "O", "purchase_order", -2), "SELECT * FROM i0", "purchase_order_to_invoice")} UNION ALL SELECT * FROM {_STAGE("SELECT * FROM i0", _later("i0", "A", "ledger_entry", 5), "invoice_to_ap")}
+UNION ALL SELECT * FROM {_STAGE(_later("i0", "A", "ledger_entry", 5), "SELECT * FROM p0", "ap_to_payment")}""")
 def reconcile_vendor(spark, d):
-    """Two independent stages: invoice to payment, payment to a settlement a day later."""
+    """Orders two days before the invoices, payables five days after them, payments."""
     i, p = both(spark, d)
-    return M.reconcile_stages([("invoice-payment", i, p), ("payment-settlement", p, settlements(p))], block=("currency", "party"))
+    return _told(M.reconcile_template("vendor", _later_rows(i, "O", "purchase_order", -2), i, _later_rows(i, "A", "ledger_entry", 5), p, block=("currency", "party")))
 
 
 @query(f"{JOINED} SELECT 'RECONCILIATION_DECISION' AS event_type, 'reconciliation' AS entity_type, source_id AS entity_id, status FROM assigned")
@@ -382,77 +424,104 @@ def ops_report(spark, d):
 
 # --- graph ------------------------------------------------------------------------------------------------------
 
-EDGES = f"""{CTE}, n AS (SELECT *, CASE record_type WHEN 'invoice' THEN 0 ELSE 1 END AS stage, CASE WHEN amount <= 0 THEN 0 ELSE greatest(1, floor(log10(CAST(amount AS DOUBLE))) * 100) END AS bucket, coalesce(reference, external_id) AS r
- FROM (SELECT * FROM invoices UNION ALL SELECT * FROM payments)),
-edges AS (SELECT a.record_id AS source_id, b.record_id AS target_id, a.record_type AS source_type, b.record_type AS target_type, a.currency,
- CAST(CASE WHEN nullif(lower(trim(a.r)), '') = nullif(lower(trim(b.r)), '') THEN 0.95 WHEN a.amount = b.amount THEN 0.90 WHEN abs(a.amount - b.amount) <= 10 THEN 0.80 ELSE 0.50 END AS DECIMAL(4,2)) AS score
- FROM n a JOIN n b ON a.currency = b.currency AND abs(a.record_date - b.record_date) <= 1 AND abs(a.bucket - b.bucket) <= 200 AND (a.stage < b.stage OR a.stage = b.stage AND a.record_id < b.record_id))"""
+_NODES = "SELECT *, CASE record_type WHEN 'invoice' THEN 0 WHEN 'payment' THEN 1 ELSE 3 END AS stage, CASE WHEN amount <= 0 THEN 0 ELSE greatest(1, floor(log10(CAST(amount AS DOUBLE))) * 100) END AS bucket, coalesce(reference, external_id) AS r, CAST(floor((record_date - DATE '1970-01-01') / 4) AS BIGINT) AS cell"
+_SCORE = "CAST(CASE WHEN a.amount = b.amount AND a.record_date = b.record_date THEN 0.95 WHEN a.amount = b.amount THEN 0.90 WHEN abs(a.amount - b.amount) <= 10 THEN 0.80 ELSE 0.50 END AS DECIMAL(4,2))"
+
+
+def _edges_sql(records: str, across: bool = False) -> str:
+    """Pairs by a join on currency and date cells of four days."""
+    return f"""{CTE}, n AS MATERIALIZED ({_NODES} FROM ({records})), nb AS MATERIALIZED (SELECT *, unnest([cell - 1, cell, cell + 1]) AS near FROM n),
+edges AS MATERIALIZED (SELECT a.record_id AS source_id, b.record_id AS target_id, a.record_type AS source_type, b.record_type AS target_type, a.currency, {_SCORE} AS score, a.amount AS s_amount, b.amount AS t_amount
+ FROM n a JOIN nb b ON a.currency = b.currency AND a.cell = b.near AND abs(a.record_date - b.record_date) <= 3 AND abs(a.bucket - b.bucket) <= 200 AND (a.stage < b.stage OR a.stage = b.stage AND a.record_id < b.record_id){" AND a.record_type <> b.record_type" if across else ""})"""
 
 
-def _edges(spark, d, only_across=False):
+TWO = "SELECT * FROM invoices UNION ALL SELECT * FROM payments"
+EDGES, ACROSS = _edges_sql(TWO), _edges_sql(TWO, True)
+
+
+def _records(spark, d):
     i, p = both(spark, d)
-    return G.candidate_edges(i.unionByName(p), 1, only_across, by_reference=True)
+    return i.unionByName(p)
 
 
-@query(f"{EDGES} SELECT * FROM edges")
+@query(f"{EDGES} SELECT source_id, target_id, source_type, target_type, currency, score FROM edges")
 def candidate_edges(spark, d):
-    return _edges(spark, d)
+    return G.candidate_edges(_records(spark, d))
 
 
-@query(f"{EDGES} SELECT *, source_id || ':' || target_id AS candidate_id FROM edges WHERE source_type <> target_type")
+@query(f"{ACROSS} SELECT source_id, target_id, source_type, target_type, currency, score, source_id || ':' || target_id AS candidate_id FROM edges")
 def candidate_batch(spark, d):
-    return G.candidate_batch(*both(spark, d), window=1, by_reference=True)
+    return G.candidate_batch(*both(spark, d))
 
 
-@query(f"{EDGES} SELECT record_id AS node_id, record_type AS node_type, stage, amount, currency, record_date AS node_date, r AS reference, party, CAST(coalesce(fee_amount, 0) AS DECIMAL(20,4)) AS fee FROM n")
+@query(f"{CTE} SELECT record_id AS node_id, record_type AS node_type, stage, amount, currency, record_date AS node_date, r AS reference, party, CAST(coalesce(fee_amount, 0) AS DECIMAL(20,4)) AS fee FROM ({_NODES} FROM ({TWO}))")
 def entity_nodes(spark, d):
-    i, p = both(spark, d)
-    return G.entity_nodes(i.unionByName(p))
+    return G.entity_nodes(_records(spark, d))
 
 
-@query(f"{EDGES}, c AS (SELECT *, source_id || ':' || target_id AS candidate_id FROM edges WHERE source_type <> target_type) SELECT candidate_id, count(*) OVER (PARTITION BY source_id) + count(*) OVER (PARTITION BY target_id) - 2 AS rivals FROM c")
+@query(f"{ACROSS} SELECT source_id || ':' || target_id AS candidate_id, count(*) OVER (PARTITION BY source_id) + count(*) OVER (PARTITION BY target_id) - 2 AS rivals FROM edges")
 def rival_counts(spark, d):
-    return C.rival_counts(G.candidate_batch(*both(spark, d), window=1, by_reference=True)).select("candidate_id", "rivals")
+    return C.rival_counts(G.candidate_batch(*both(spark, d))).select("candidate_id", "rivals")
 
 
-MASK = f"""{EDGES}, c AS (SELECT *, source_id || ':' || target_id AS candidate_id FROM edges WHERE source_type <> target_type),
-k AS (SELECT *, max(score) OVER s AS sm, max(score) OVER t AS tm, count(*) OVER (PARTITION BY source_id, score) AS sn, count(*) OVER (PARTITION BY target_id, score) AS tn,
-  count(*) OVER s + count(*) OVER t - 2 AS rivals FROM c WINDOW s AS (PARTITION BY source_id), t AS (PARTITION BY target_id)),
-s2 AS (SELECT source_id, max(score) AS s2 FROM k WHERE score < sm GROUP BY 1), t2 AS (SELECT target_id, max(score) AS t2 FROM k WHERE score < tm GROUP BY 1),
-m AS (SELECT candidate_id, source_id, target_id, score, rivals, CASE WHEN score < sm THEN sm WHEN sn > 1 THEN sm ELSE s2 END AS rs, CASE WHEN score < tm THEN tm WHEN tn > 1 THEN tm ELSE t2 END AS rt FROM k LEFT JOIN s2 USING (source_id) LEFT JOIN t2 USING (target_id)),
-r AS (SELECT *, score >= 0.50 AND (rs IS NULL OR score - rs >= 0.05) AND (rt IS NULL OR score - rt >= 0.05) AS review FROM m)"""
+#: The best rival on either record by the largest and the next largest score of each record.
+_MASK = """c AS MATERIALIZED (SELECT *, source_id || ':' || target_id AS candidate_id FROM edges),
+k AS MATERIALIZED (SELECT *, max(score) OVER s AS sm, max(score) OVER t AS tm, count(*) OVER (PARTITION BY source_id, score) AS sn, count(*) OVER (PARTITION BY target_id, score) AS tn, count(*) OVER s + count(*) OVER t - 2 AS rivals FROM c WINDOW s AS (PARTITION BY source_id), t AS (PARTITION BY target_id)),
+s2 AS MATERIALIZED (SELECT source_id, max(score) AS s2 FROM k WHERE score < sm GROUP BY 1), t2 AS MATERIALIZED (SELECT target_id, max(score) AS t2 FROM k WHERE score < tm GROUP BY 1),
+m AS (SELECT k.*, CASE WHEN score < sm OR sn > 1 THEN sm ELSE s2 END AS rs, CASE WHEN score < tm OR tn > 1 THEN tm ELSE t2 END AS rt FROM k LEFT JOIN s2 USING (source_id) LEFT JOIN t2 USING (target_id)),
+r AS MATERIALIZED (SELECT *, score >= 0.50 AND (rs IS NULL OR score - rs >= 0.05) AND (rt IS NULL OR score - rt >= 0.05) AS review FROM m)"""
 
 
-@query(f"{MASK} SELECT candidate_id, source_id, target_id, score, review FROM r")
+@query(f"{ACROSS}, {_MASK} SELECT candidate_id, source_id, target_id, score, review FROM r")
 def review_mask(spark, d):
-    return C.review_mask(G.candidate_batch(*both(spark, d), window=1, by_reference=True))
+    return C.review_mask(G.candidate_batch(*both(spark, d)))
+
+
+#: The metadata of a ranker that passed its gate.
+RANKER = {"review_threshold": "0.50", "review_gate_passed": True, "review_policy": "separated", "relationships": ["invoice->payment"]}
 
 
-@query(f"{MASK} SELECT candidate_id, rivals, CASE WHEN rivals = 0 THEN 'INSUFFICIENT_CANDIDATE_SET' WHEN score < 0.50 THEN 'BELOW_REVIEW_THRESHOLD' WHEN NOT review THEN 'AMBIGUOUS_RECORD_MATCH' ELSE 'PENDING_REVIEW' END AS outcome FROM r")
+@query(f"""{ACROSS}, c0 AS MATERIALIZED (SELECT e.*, s.party = t.party AS one_party FROM edges e JOIN invoices s ON s.record_id = source_id JOIN payments t ON t.record_id = target_id), {_MASK.replace("FROM edges)", "FROM c0 WHERE one_party)")},
+w AS MATERIALIZED (SELECT source_id, target_id, s_amount, t_amount FROM edges),
+f AS MATERIALIZED (SELECT x.source_id, unnest([x.target_id, y.target_id]) AS target_id FROM w x JOIN w y ON y.source_id = x.source_id AND y.target_id > x.target_id AND x.t_amount + y.t_amount = x.s_amount
+ UNION SELECT x.source_id, unnest([x.target_id, y.target_id, z.target_id]) FROM w x JOIN w y ON y.source_id = x.source_id AND y.target_id > x.target_id JOIN w z ON z.source_id = x.source_id AND z.target_id > y.target_id AND x.t_amount + y.t_amount + z.t_amount = x.s_amount
+ UNION SELECT unnest([x.source_id, y.source_id]), x.target_id FROM w x JOIN w y ON y.target_id = x.target_id AND y.source_id > x.source_id AND x.s_amount + y.s_amount = x.t_amount
+ UNION SELECT unnest([x.source_id, y.source_id, z.source_id]), x.target_id FROM w x JOIN w y ON y.target_id = x.target_id AND y.source_id > x.source_id JOIN w z ON z.target_id = x.target_id AND z.source_id > y.source_id AND x.s_amount + y.s_amount + z.s_amount = x.t_amount),
+o AS (SELECT c0.*, count(*) OVER (PARTITION BY source_id) + count(*) OVER (PARTITION BY target_id) - 2 AS rivals FROM c0)
+SELECT o.source_id || ':' || o.target_id AS candidate_id, o.rivals, CASE WHEN f.source_id IS NOT NULL THEN 'UNSUPPORTED_ALLOCATION' WHEN o.s_amount <> o.t_amount THEN 'UNSUPPORTED_PARTIAL_PAYMENT' WHEN o.rivals = 0 THEN 'INSUFFICIENT_CANDIDATE_SET'
+ WHEN NOT o.one_party THEN 'PARTY_CONFLICT' WHEN r.review THEN 'PENDING_REVIEW' ELSE 'AMBIGUOUS_RECORD_MATCH' END AS outcome FROM o LEFT JOIN f ON f.source_id = o.source_id AND f.target_id = o.target_id LEFT JOIN r ON r.source_id = o.source_id AND r.target_id = o.target_id
+UNION ALL SELECT record_type || ':' || record_id, 0, 'NO_CANDIDATES' FROM n WHERE record_id NOT IN (SELECT source_id FROM edges UNION ALL SELECT target_id FROM edges)""")
 def review_suggestions(spark, d):
-    return C.review_suggestions(G.candidate_batch(*both(spark, d), window=1, by_reference=True))
+    """Every reason; the ranker's scores are those of the edges."""
+    i, p = both(spark, d)
+    return C.review_outcomes(G.candidate_batch(i, p), i.unionByName(p), RANKER)
 
 
 @query()
 def graph_pairs(spark, d):
-    return G.graph_pairs(_whole(spark, d))
+    return G.graph_pairs(G.candidate_edges(_records(spark, d)))
 
 
 @query()
 def graph_allocations(spark, d):
-    i, p = both(spark, d)
-    records = i.unionByName(p)
+    records = _records(spark, d)
     # Edges within one party keep the groups of an anchor bounded.
     party = records.select("record_id", "party")
     edges = G.candidate_edges(records).join(party.withColumnsRenamed({"record_id": "source_id", "party": "a"}), "source_id").join(party.withColumnsRenamed({"record_id": "target_id", "party": "b"}), "target_id").where("a = b").drop("a", "b")
     return G.graph_allocations(records, edges)
 
 
-@query(f"{EDGES} SELECT source_id || '>' || target_id AS path, 2 AS n_nodes, round(CAST(score AS DOUBLE), 6) AS confidence FROM edges WHERE source_type <> target_type AND score >= 0.80")
+THREE = f"{TWO} UNION ALL SELECT concat('S', substr(record_id, 2, 20)), 'settlement', external_id, amount, currency, record_date + 1, reference, party, fee_amount FROM payments"
+
+
+@query(f"""{_edges_sql(THREE, True)}, e AS MATERIALIZED (SELECT source_id, target_id, CAST(score AS DOUBLE) AS score FROM edges)
+SELECT source_id || '>' || target_id AS path, 2 AS n_nodes, round(score, 6) AS confidence FROM e UNION ALL
+SELECT x.source_id || '>' || x.target_id || '>' || y.target_id, 3, round(x.score * y.score, 6) FROM e x JOIN e y ON y.source_id = x.target_id AND x.score * y.score >= 0.5 - 1e-12""")
 def lineage_paths(spark, d):
+    """Three record types, so that paths have hops."""
     i, p = both(spark, d)
-    records = i.unionByName(p)
-    return G.lineage_paths(records, G.candidate_edges(records, 1, by_reference=True), min_score=0.8)
+    records = i.unionByName(p).unionByName(settlements(p))
+    return G.lineage_paths(records, G.candidate_edges(records))
 
 
 @query()
@@ -461,53 +530,6 @@ def reconcile_graph(spark, d):
     return G.reconcile_graph(i.unionByName(p))
 
 
-# The same operators with their defaults: window 3, score 0.50. DuckDB is too slow for SQL here; tests hold them against brute force.
-
-
-def _whole(spark, d):
-    i, p = both(spark, d)
-    return G.candidate_edges(i.unionByName(p))
-
-
-#: The metadata of a ranker that passed its gate.
-RANKER = {"review_threshold": "0.50", "review_gate_passed": True, "review_policy": "separated", "relationships": ["invoice->payment"]}
-
-
-@query()
-def candidate_edges_full(spark, d):
-    return _whole(spark, d)
-
-
-@query()
-def candidate_batch_full(spark, d):
-    return G.candidate_batch(*both(spark, d))
-
-
-@query()
-def rival_counts_full(spark, d):
-    return C.rival_counts(G.candidate_batch(*both(spark, d))).select("candidate_id", "rivals")
-
-
-@query()
-def review_mask_full(spark, d):
-    return C.review_mask(G.candidate_batch(*both(spark, d)))
-
-
-@query()
-def review_suggestions_full(spark, d):
-    """Every reason of the reference; the ranker's scores are those of the edges."""
-    i, p = both(spark, d)
-    return C.review_outcomes(G.candidate_batch(i, p), i.unionByName(p), RANKER)
-
-
-@query()
-def lineage_paths_full(spark, d):
-    """Three record types, so that paths have hops."""
-    i, p = both(spark, d)
-    records = i.unionByName(p).unionByName(settlements(p))
-    return G.lineage_paths(records, G.candidate_edges(records))
-
-
 # --- metrics ----------------------------------------------------------------------------------------------------
 
 SCORED = """SELECT case_id, suite, run, label, hard_negative, auto_resolved, amount, latency_ms, llm_tokens, CASE WHEN run = 'baseline' THEN 'matched' WHEN case_id % 37 = 0 THEN NULL WHEN case_id % 41 = 0 THEN 'split' ELSE label END AS predicted_label FROM (
@@ -694,14 +716,8 @@ def journal_validation(spark, d):
     return C.journal_validation(j, sql(spark, d, JLINES), closed, done).drop("valid")
 
 
-@query(f"SELECT o_orderkey AS journal_id, coalesce(sum(debit) = sum(credit), false) AS balanced FROM orders LEFT JOIN (SELECT * FROM ({JLINES}) WHERE journal_id % 9 <> 0 AND account_code IN ('A1', 'A2')) j ON j.journal_id = o_orderkey GROUP BY 1")
+@query(f"SELECT j AS journal_id, coalesce(sum(debit) = sum(credit), false) AS balanced FROM (SELECT unnest([o_orderkey, -1 - o_orderkey]) AS j FROM orders) LEFT JOIN ({JLINES}) l ON l.journal_id = j GROUP BY 1")
 def journal_balance(spark, d):
-    lines = sql(spark, d, JLINES).where("journal_id % 9 <> 0 and account_code in ('A1', 'A2')")
-    return C.journal_balance(tab(spark, d, "orders").select(F.col("o_orderkey").alias("journal_id")), lines)
-
-
-@query()
-def journal_balance_full(spark, d):
     """All lines of all journals; journals below 0 have no lines."""
     journals = tab(spark, d, "orders").select(F.explode(F.array("o_orderkey", -1 - F.col("o_orderkey"))).alias("journal_id"))
     return C.journal_balance(journals, sql(spark, d, JLINES))
@@ -779,14 +795,10 @@ def _pairs(spark, d):
 
 
 @query(f"""{CTE} SELECT s.record_id AS s_record_id, t.record_id AS t_record_id, least(CAST(abs(s.amount - t.amount) AS DOUBLE), 1e15) AS amount_delta, round(CAST(abs(s.amount - t.amount) AS DOUBLE) / CAST(greatest(abs(s.amount), abs(t.amount), 0.01) AS DOUBLE), 6) AS amount_relative,
- CAST(least(abs(s.record_date - t.record_date), 3650) AS DOUBLE) AS days, CAST(s.currency = t.currency AS DOUBLE) AS currency_match, 1.0 AS party_match, 0.0 AS party_missing, CAST(t.reference IS NULL AS DOUBLE) AS text_missing FROM invoices s JOIN payments t ON s.party = t.party""")
+ CAST(least(abs(s.record_date - t.record_date), 3650) AS DOUBLE) AS days, CAST(s.currency = t.currency AS DOUBLE) AS currency_match, 1.0 AS party_match, 0.0 AS party_missing, CAST(t.reference IS NULL AS DOUBLE) AS text_missing,
+ CASE WHEN t.reference IS NULL THEN 0.0 ELSE round(CAST(1 - levenshtein(lower(trim(s.reference)), lower(trim(t.reference))) / greatest(length(trim(s.reference)), length(trim(t.reference))) AS DOUBLE), 6) END AS text_similarity FROM invoices s JOIN payments t ON s.party = t.party""")
 def features(spark, d):
-    return _pairs(spark, d).select("s_record_id", "t_record_id", *[c for c in L.FEATURES if c not in ("score", "text_similarity")])
-
-
-@query()
-def features_full(spark, d):
-    return _pairs(spark, d).select("s_record_id", "t_record_id", *L.FEATURES)
+    return _pairs(spark, d).select("s_record_id", "t_record_id", *[c for c in L.FEATURES if c != "score"])
 
 
 CANDIDATES = f"""{CTE} SELECT concat(s.record_id, ':', t.record_id) AS candidate_id, s.record_id AS source_id, t.record_id AS target_id, s.amount AS s_amount, t.amount AS t_amount, s.currency AS s_currency, t.currency AS t_currency,
@@ -809,10 +821,10 @@ def allocation_flags(spark, d):
     return M.allocation_flags(_candidates(spark, d))
 
 
-@query(f"""WITH c AS (SELECT *, CAST(score AS DECIMAL(10,6)) AS x FROM ({CANDIDATES})),
-k AS (SELECT candidate_id, source_id, target_id, x, max(x) OVER (PARTITION BY source_id) AS sm, max(x) OVER (PARTITION BY target_id) AS tm, count(*) OVER (PARTITION BY source_id, x) AS sn, count(*) OVER (PARTITION BY target_id, x) AS tn FROM c WHERE s_currency = t_currency),
-s2 AS (SELECT source_id, max(x) AS s2 FROM k WHERE x < sm GROUP BY 1), t2 AS (SELECT target_id, max(x) AS t2 FROM k WHERE x < tm GROUP BY 1),
-e AS (SELECT candidate_id, CASE WHEN x < sm OR sn > 1 THEN sm ELSE s2 END AS rs, CASE WHEN x < tm OR tn > 1 THEN tm ELSE t2 END AS rt FROM k LEFT JOIN s2 USING (source_id) LEFT JOIN t2 USING (target_id)),
+@query(f"""WITH c AS MATERIALIZED (SELECT *, CAST(score AS DECIMAL(10,6)) AS x FROM ({CANDIDATES})),
+k AS MATERIALIZED (SELECT candidate_id, source_id, target_id, x, max(x) OVER (PARTITION BY source_id) AS sm, max(x) OVER (PARTITION BY target_id) AS tm, count(*) OVER (PARTITION BY source_id, x) AS sn, count(*) OVER (PARTITION BY target_id, x) AS tn FROM c WHERE s_currency = t_currency),
+s2 AS MATERIALIZED (SELECT source_id, max(x) AS s2 FROM k WHERE x < sm GROUP BY 1), t2 AS MATERIALIZED (SELECT target_id, max(x) AS t2 FROM k WHERE x < tm GROUP BY 1),
+e AS MATERIALIZED (SELECT candidate_id, CASE WHEN x < sm OR sn > 1 THEN sm ELSE s2 END AS rs, CASE WHEN x < tm OR tn > 1 THEN tm ELSE t2 END AS rt FROM k LEFT JOIN s2 USING (source_id) LEFT JOIN t2 USING (target_id)),
 m AS (SELECT c.*, s_currency = t_currency AS one, x >= 0.5 AND (rs IS NULL OR x - rs >= 0.05) AND (rt IS NULL OR x - rt >= 0.05) AS review FROM c LEFT JOIN e USING (candidate_id))
 SELECT candidate_id, score, CASE WHEN one AND review THEN 'REVIEW' ELSE 'UNRESOLVED' END AS suggestion, false AS automatic_action_eligible,
  CASE WHEN NOT one THEN 'CURRENCY_MISMATCH' WHEN review THEN 'REVIEW_ONLY_MODEL' WHEN x >= 0.5 THEN 'AMBIGUOUS_RECORD_MATCH' ELSE 'BELOW_REVIEW_THRESHOLD' END AS reason FROM m""")

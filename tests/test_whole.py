@@ -35,12 +35,12 @@ def brute_edges(records, window=3):
 def test_edges_reach_three_days(spark, folder):
     i, p = core.both(spark, folder)
     want = set(brute_edges(i.collect() + p.collect()))
-    edges = core.QUERIES["candidate_edges_full"](spark, folder)
+    edges = core.QUERIES["candidate_edges"](spark, folder)
     assert {(r.source_id, r.target_id) for r in edges.collect()} == want
     across = {k for k in want if k[0][0] != k[1][0]}
-    assert {(r.source_id, r.target_id) for r in core.QUERIES["candidate_batch_full"](spark, folder).collect()} == across
+    assert {(r.source_id, r.target_id) for r in core.QUERIES["candidate_batch"](spark, folder).collect()} == across
     ends = Counter(k[0] for k in across) + Counter(k[1] for k in across)
-    assert {r.candidate_id: r.rivals for r in core.QUERIES["rival_counts_full"](spark, folder).collect()} == {f"{a}:{b}": ends[a] + ends[b] - 2 for a, b in across}
+    assert {r.candidate_id: r.rivals for r in core.QUERIES["rival_counts"](spark, folder).collect()} == {f"{a}:{b}": ends[a] + ends[b] - 2 for a, b in across}
     # Pairs by id of the source: the best score, then the smallest target.
     score, used, pairs = {(r.source_id, r.target_id): r.score for r in edges.collect()}, set(), set()
     for a in sorted({k[0] for k in want}):
@@ -58,7 +58,7 @@ def test_lineage_takes_a_second_hop(spark, folder):
     score = {(r.source_id, r.target_id): float(r.score) for r in core.G.candidate_edges(records).collect() if r.source_type != r.target_type}
     want = {">".join(k): (2, v) for k, v in score.items()}
     want |= {f"{a}>{b}>{c}": (3, round(v * w, 6)) for (a, b), v in score.items() for (x, c), w in score.items() if x == b and v * w >= 0.5 - 1e-12}
-    got = {r.path: (r.n_nodes, r.confidence) for r in core.QUERIES["lineage_paths_full"](spark, folder).collect()}
+    got = {r.path: (r.n_nodes, r.confidence) for r in core.QUERIES["lineage_paths"](spark, folder).collect()}
     assert got == want and any(n == 3 for n, _ in got.values())
 
 
@@ -73,7 +73,7 @@ def test_graph_finds_split_and_late_orders(spark, folder):
     assert {f"I{k:09}": [f"P{k:09}-0", f"P{k:09}-1"] for k in range(5, 60, 10)}.items() <= found.items()
 
 
-@pytest.mark.parametrize(("name", "whole", "parts"), [("alloc_one_to_many_full", 0, 1), ("alloc_many_to_one_full", 1, 0)])
+@pytest.mark.parametrize(("name", "whole", "parts"), [("alloc_one_to_many", 0, 1), ("alloc_many_to_one", 1, 0)])
 def test_allocations_of_up_to_four(spark, tmp_path, name, whole, parts):
     rows = [(k, 4, Decimal(a), date(2024, 1, k + 1)) for k, a in enumerate((1, 20, 300, 4000, 4321, 70000, 80001))]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice decimal(20,2), o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
@@ -167,7 +167,7 @@ def test_review_suggestions_follow_the_scan(spark, folder):
             outcome = "PENDING_REVIEW" if score(a, b) - best >= 0.05 - 1e-9 else "AMBIGUOUS_RECORD_MATCH"
         want[":".join(k)] = (len(rivals), outcome)
     want |= {f"{r.record_type}:{k}": (0, "NO_CANDIDATES") for k, r in records.items() if not any(k in e for e in edges)}
-    rows = core.QUERIES["review_suggestions_full"](spark, folder).collect()
+    rows = core.QUERIES["review_suggestions"](spark, folder).collect()
     got = {r.candidate_id: (r.rivals, r.outcome) for r in rows}
     assert got == want and len(rows) == len(want)
     assert {"UNSUPPORTED_ALLOCATION", "UNSUPPORTED_PARTIAL_PAYMENT", "NO_CANDIDATES", "PENDING_REVIEW"} <= {o for _, o in got.values()}
@@ -178,22 +178,22 @@ def test_all_lines_are_used(spark, tmp_path):
     lines += [(9, 1, 1.0, 7, "A", Decimal(3)), (9, 2, 2.0, 50, "N", Decimal(3)), (2, 1, 1.0, 7, "A", Decimal(3)), (2, 2, 2.0, 7, "N", Decimal(3)), (2, 2, 3.0, 7, "N", Decimal(1))]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_suppkey long, l_returnflag string, l_extendedprice decimal(20,2)").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(k,) for k in (1, 2, 3, 9)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    got = {r.journal_id: r.balanced for r in core.QUERIES["journal_balance_full"](spark, str(tmp_path)).collect()}
+    got = {r.journal_id: r.balanced for r in core.QUERIES["journal_balance"](spark, str(tmp_path)).collect()}
     assert got == {1: True, 2: False, 3: False, 9: True, -2: False, -3: False, -4: False, -10: False}
-    rows = Counter((r.doc_id, r.row_number, r.n_fields) for r in core.QUERIES["cells_to_rows_full"](spark, str(tmp_path)).collect())
+    rows = Counter((r.doc_id, r.row_number, r.n_fields) for r in core.QUERIES["cells_to_rows"](spark, str(tmp_path)).collect())
     assert rows == Counter([(1, 2003, 2), (1, 2004, 2), (1, 2005, 2), (2, 3003, 2), (2, 3004, 2), (9, 1003, 2)])
 
 
 def test_every_line_of_the_given_table_is_a_row(spark):
     folder = "/root/testdata/sf0.001"
     lines = core.tab(spark, folder, "lineitem")
-    assert core.QUERIES["cells_to_rows_full"](spark, folder).count() == lines.count() - lines.select("l_orderkey").distinct().count()
+    assert core.QUERIES["cells_to_rows"](spark, folder).count() == lines.count() - lines.select("l_orderkey").distinct().count()
 
 
 def test_features_have_the_text_similarity(spark, folder):
     assert list(core.L.FEATURES) == core.TRAINED
     text = {r.record_id: (r.reference or "").lower().strip() for df in core.both(spark, folder) for r in df.collect()}
-    rows = core.QUERIES["features_full"](spark, folder).collect()
+    rows = core.QUERIES["features"](spark, folder).collect()
     assert any(r.text_similarity == 1 for r in rows) and set(core.L.FEATURES) <= set(rows[0].asDict())
     for r in rows:
         a, b = text[r.s_record_id], text[r.t_record_id]
