@@ -117,6 +117,55 @@ def normalize_records(raw: DataFrame, record_type: str, source_name: str, keep:
     )
 
 
+#: Names that a record type may have, and the fields of each type: kind, aliases, and what a blank one is.
+TYPE_NAMES = {"bank": "bank_transaction", "ledger": "ledger_entry"}
+TYPED = {
+    "invoice": {"invoice_number": ("text", ["invoice_number", "invoice", "id"], ""), "vendor_id": ("text", ["vendor_id", "vendor", "supplier_id"], None), "due_date": ("date", ["due_date"], None), "tax_amount": ("money", ["tax_amount", "tax"], "0")},
+    "payment": {"payment_reference": ("text", ["payment_reference", "payment_id"], None)},
+    "settlement": {"settlement_reference": ("text", ["settlement_reference", "settlement_id", "id"], ""), "processor": ("text", ["processor"], None), "fee_amount": ("money", ["fee_amount", "fee"], "0"), "settled_date": ("date", ["settled_date"], None)},
+    "bank_transaction": {"account_id": ("text", ["account_id", "account"], "unknown"), "transaction_type": ("text", ["transaction_type", "type"], "unknown"), "bank_reference": ("text", ["bank_reference", "bank_id"], None), "value_date": ("date", ["value_date"], None)},
+    "ledger_entry": {"journal_id": ("text", ["journal_id", "journal"], "unknown"), "account_code": ("text", ["account_code", "account"], "unknown"), "debit": ("money", ["debit"], "0"), "credit": ("money", ["credit"], "0"), "posting_date": ("date", ["posting_date"], None)},
+}
+#: Where the reference and the party of a record stand, the first that is not blank.
+REFERENCE_FIELDS = ("invoice_number", "payment_reference", "settlement_reference", "bank_reference", "external_id")
+PARTY_FIELDS = ("vendor_id", "payer_id", "payee_id", "account_id")
+
+
+def normalize_typed(raw: DataFrame, record_type: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """String rows of one type to its own fields beside the common ones, with an `error` that names what does not parse.
+
+    A blank field is the type's default; only one that is filled and does not parse is an error.
+    """
+    kind = TYPE_NAMES.get(record_type.strip().lower(), record_type.strip().lower())
+    if kind not in TYPED:
+        raise ValueError(f"unsupported record type: {record_type}")
+    df = raw.toDF(*[_slug(c) if c not in keep else c for c in raw.columns])
+    value = lambda names: alias_value(df, names)
+    common = {
+        "external_id": ("text", ["external_id", "id", "transaction_id", "reference"], None), "currency": ("text", ["currency", "currency_code"], "USD"), "record_date": ("date", ["record_date", "transaction_date", "date", "posting_date"], None),
+        "description": ("text", ["description", "memo", "narrative"], None),
+    }
+    parse = {"text": lambda c: c, "date": parse_date, "money": parse_amount}
+    cast = {"text": "string", "date": "date", "money": MONEY}
+    amount = signed_amount(parse_amount(value(["amount", "total", "value"])), parse_amount(value(["debit"])), parse_amount(value(["credit"])))
+    out, faults = {"amount": amount}, [F.when(amount.isNull(), "amount is missing or not a number")]
+    for name, (how, names, blank) in (common | TYPED[kind]).items():
+        text = value(names)
+        out[name] = F.coalesce(parse[how](text), F.when(text.isNull(), F.lit(blank)).cast(cast[how])).cast(cast[how])
+        if how != "text":
+            needed = name == "record_date"
+            bad = out[name].isNull() if needed else text.isNotNull() & parse[how](text).isNull()
+            faults.append(F.when(bad, f"{name} is {'missing or ' if needed else ''}not a {'date' if how == 'date' else 'number'}"))
+    out["currency"] = F.upper(out["currency"])
+    return df.select(F.lit(kind).alias("record_type"), *[c.alias(n) for n, c in out.items()], *keep, F.nullif(F.concat_ws("; ", *faults), F.lit("")).alias("error"))
+
+
+def observable(records: DataFrame) -> DataFrame:
+    """What a ranker may see of typed rows: external_id, record_type, amount, currency, record_date, reference, party, description."""
+    first = lambda names: alias_value(records, list(names))
+    return records.select("external_id", "record_type", "amount", F.upper("currency").alias("currency"), "record_date", first(REFERENCE_FIELDS).alias("reference"), first(PARTY_FIELDS).alias("party"), "description")
+
+
 def _slug(name: str) -> str:
     import re
 
@@ -149,6 +198,20 @@ def norm_bank_feed(payload: DataFrame) -> DataFrame:
     return payload.select(
         F.col("transaction_id").alias("external_id"), amount.alias("amount"), F.upper(F.coalesce("iso_currency_code", F.lit("USD"))).alias("currency"), F.when(amount >= 0, "debit").otherwise("credit").alias("transaction_type"),
         F.coalesce("pending_transaction_id", "transaction_id").alias("bank_reference"), F.coalesce("merchant_name", "name", F.lit("")).alias("description"),
+        "account_id", F.try_to_date("date", "yyyy-MM-dd").alias("record_date"), F.try_to_date("authorized_date", "yyyy-MM-dd").alias("value_date"),
+    )
+
+
+def norm_payment(rows: DataFrame, provider: str = "processor") -> DataFrame:
+    """Payments of a processor: minor units to money, the id as reference, epoch seconds to a date, the first of the methods.
+
+    Without a currency it is USD, without a description or a method that of the provider.
+    """
+    currency = F.upper(F.coalesce("currency", F.lit("usd")))
+    unit = F.when(currency.isin(*ZERO_DECIMAL), 1).otherwise(100)
+    return rows.select(
+        F.col("id").alias("external_id"), F.col("id").alias("payment_reference"), (F.col("amount").cast(MONEY) / unit).cast(MONEY).alias("amount"), currency.alias("currency"), F.to_date(F.timestamp_seconds("created")).alias("record_date"),
+        F.coalesce(F.nullif("description", F.lit("")), F.lit("payment")).alias("description"), F.col("customer").alias("payer_id"), F.coalesce(F.get("payment_method_types", F.lit(0)), F.lit(provider)).alias("payment_method"),
     )
 
 

@@ -59,6 +59,30 @@ def record_search(records: DataFrame, term: str, fields: list[str], record_type:
     return (found.where(F.col("record_type") == record_type) if record_type else found).orderBy("record_id").limit(limit)
 
 
+def records_of(records: DataFrame, record_type: str, record_id=None) -> DataFrame:
+    """Records of one type; with an id that one, if it is of the type."""
+    own = records.where(F.lower("record_type") == record_type.lower())
+    return own if record_id is None else own.where(F.col("record_id") == record_id)
+
+
+def document_search(docs: DataFrame, term: str, fields: list[str], limit: int = 30) -> DataFrame:
+    """Documents that hold the trimmed term in a field, case-folded; the first `limit` by id."""
+    needle = F.lit(term.strip().lower())
+    test = F.exists(F.array(*[F.lower(F.coalesce(f, F.lit(""))) for f in fields]), lambda x: F.contains(x, needle))
+    return docs.where(test).orderBy("doc_id").limit(limit)
+
+
+def document_page(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Of the asked pages (doc_id, page) those that exist; a document without a page count has any."""
+    known = docs.select("doc_id", "page_count")
+    return asked.join(known, "doc_id").where("page_count is null or page_count = 0 or page <= page_count")
+
+
+def newest(rows: DataFrame, order: list[str], limit: int = 100) -> DataFrame:
+    """The newest rows, 1 to 500 of them."""
+    return rows.orderBy(*[F.desc(c) for c in order]).limit(min(500, max(1, limit)))
+
+
 def first_rows(rows: DataFrame, keys: list[str], order: list[Column], most: int, place: str = "place") -> DataFrame:
     """The first `most` rows of each key with their `place`. Spark keeps so many of each key in every task before it shuffles them."""
     return rows.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) <= most)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators import controls as C
 from ..sources import files as R
 from ..streaming.intake import Intake, file_stream
-from .queries import RAW, query, sql, tab
+from .queries import QUERIES, RAW, SQL, query, sql, tab
 from .storage import fresh_path
 
 AMOUNT = "TRY_CAST(nullif(CASE WHEN starts_with(m, '(') AND ends_with(m, ')') THEN '-' || trim(m, '()') ELSE m END, '') AS DECIMAL(20,4))"
@@ -142,3 +144,66 @@ def provenance(spark, d):
     p = F.col("provenance")
     field = lambda n: F.nullif(p["original_fields"][n], F.lit(""))
     return rows.select("reference", p["source_name"].alias("source_name"), field("amount").alias("raw_amount"), field("date").alias("raw_date"), F.size(p["transformation_history"]).cast("long").alias("n_steps"))
+
+
+_TYPES = {
+    "invoice": ("concat('INV-', k) AS `Invoice Number`, concat('$', m) AS `Total`, day AS `Date`, CASE WHEN k % 3 = 0 THEN '' ELSE concat('v', k) END AS `Vendor`, CASE k % 4 WHEN 0 THEN 'x' WHEN 1 THEN '1.5' END AS `Tax`",
+        "concat('INV-', k) AS invoice_number, CASE WHEN k % 3 <> 0 THEN concat('v', k) END AS vendor_id, CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 1.5 ELSE 0 END AS tax_amount", "CASE WHEN k % 4 = 0 THEN 'tax_amount is not a number' END", "concat('INV-', k)", "CASE WHEN k % 3 <> 0 THEN concat('v', k) END", "NULL", "m"),
+    "payment": ("concat('p', k) AS `Transaction ID`, m AS `Value`, day AS `Transaction Date`, CASE WHEN k % 2 = 0 THEN concat('PAY-', k) END AS `Payment ID`", "CASE WHEN k % 2 = 0 THEN concat('PAY-', k) END AS payment_reference", "NULL", "CASE WHEN k % 2 = 0 THEN concat('PAY-', k) ELSE concat('p', k) END", "NULL", "concat('p', k)", "m"),
+    "settlement": ("concat('s', k) AS `ID`, m AS `Amount`, day AS `Date`, CASE WHEN k % 2 = 0 THEN '2.50' END AS `Fee`, CASE WHEN k % 5 = 0 THEN 'soon' ELSE day END AS `Settled Date`", "concat('s', k) AS settlement_reference, CASE WHEN k % 2 = 0 THEN 2.5 ELSE 0 END AS fee_amount, CASE WHEN k % 5 <> 0 THEN CAST(day AS DATE) END AS settled_date",
+        "CASE WHEN k % 5 = 0 THEN 'settled_date is not a date' END", "concat('s', k)", "NULL", "concat('s', k)", "m"),
+    "bank": ("m AS `Amount`, day AS `Date`, CASE WHEN k % 2 = 0 THEN concat('acc', k) END AS `Account`, concat('b', k) AS `Bank ID`", "CASE WHEN k % 2 = 0 THEN concat('acc', k) ELSE 'unknown' END AS account_id, 'unknown' AS transaction_type, concat('b', k) AS bank_reference", "NULL", "concat('b', k)", "CASE WHEN k % 2 = 0 THEN concat('acc', k) ELSE 'unknown' END", "NULL", "m"),
+    "ledger": ("CASE WHEN k % 2 = 0 THEN m END AS `Debit`, CASE WHEN k % 2 = 1 THEN m END AS `Credit`, day AS `Posting Date`, concat('J', k) AS `Journal`", "concat('J', k) AS journal_id, 'unknown' AS account_code, CASE WHEN k % 2 = 0 THEN CAST(m AS DECIMAL(20,4)) ELSE 0 END AS debit, CASE WHEN k % 2 = 1 THEN CAST(m AS DECIMAL(20,4)) ELSE 0 END AS credit, CAST(day AS DATE) AS posting_date",
+        "NULL", "NULL", "NULL", "NULL", "CASE WHEN k % 2 = 0 THEN CAST(m AS DECIMAL(20,4)) ELSE -CAST(m AS DECIMAL(20,4)) END"),
+}
+_TYPED_ROWS = "SELECT o_orderkey AS k, CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS varchar(30)) AS m, CAST(CAST(o_orderdate AS DATE) AS varchar(10)) AS day FROM orders"
+_FULL = {"bank": "bank_transaction", "ledger": "ledger_entry"}
+
+
+def _typed(spark, d, name):
+    return N.normalize_typed(sql(spark, d, _TYPED_ROWS).selectExpr("k", *_split(_TYPES[name][0])), name, keep=("k",))
+
+
+def _split(columns):
+    """The columns of a select list, at commas outside of parentheses."""
+    out, depth = [""], 0
+    for c in columns:
+        depth += (c == "(") - (c == ")")
+        out = [*out, ""] if c == "," and not depth else [*out[:-1], out[-1] + c]
+    return out
+
+
+def _typed_sql(name):
+    _, own, error, _, _, external, amount = _TYPES[name]
+    names = [n for n in N.TYPED[_FULL.get(name, name)] if f"AS {n}" not in own]
+    blank = "".join(f", CAST(NULL AS {'DATE' if n.endswith('date') else 'VARCHAR'}) AS {n}" for n in names)
+    own = own.replace("CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 1.5 ELSE 0 END AS tax_amount", "CAST(CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 1.5 ELSE 0 END AS DECIMAL(20,4)) AS tax_amount").replace("CASE WHEN k % 2 = 0 THEN 2.5 ELSE 0 END AS fee_amount", "CAST(CASE WHEN k % 2 = 0 THEN 2.5 ELSE 0 END AS DECIMAL(20,4)) AS fee_amount")
+    return f"SELECT '{_FULL.get(name, name)}' AS record_type, CAST({amount} AS DECIMAL(20,4)) AS amount, CAST({external} AS VARCHAR) AS external_id, 'USD' AS currency, CAST(day AS DATE) AS record_date, CAST(NULL AS VARCHAR) AS description, {own}{blank}, k, CAST({error} AS VARCHAR) AS error FROM ({_TYPED_ROWS})"
+
+
+def _register(name):
+    @query(_typed_sql(name))
+    def typed(spark, d):
+        return _typed(spark, d, name)
+
+    QUERIES[f"typed_{name}"], SQL[f"typed_{name}"] = QUERIES.pop("typed"), SQL.pop("typed")
+
+
+for _name in _TYPES:
+    _register(_name)
+
+
+@query(" UNION ALL ".join(f"SELECT '{_FULL.get(n, n)}' AS record_type, CAST({amount} AS DECIMAL(20,4)) AS amount, 'USD' AS currency, CAST(day AS DATE) AS record_date, CAST({reference} AS VARCHAR) AS reference, CAST({party} AS VARCHAR) AS party FROM ({_TYPED_ROWS})" for n, (_, _, _, reference, party, _, amount) in _TYPES.items()))
+def observable_types(spark, d):
+    """What a ranker sees of the rows of all five types."""
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_typed(spark, d, n) for n in _TYPES])
+    return N.observable(every).drop("external_id", "description")
+
+
+@query("SELECT part, sha256(string_agg(line, '') ) AS sha256, sum(length(line)) AS bytes FROM (SELECT o_orderkey % 8 AS part, concat(o_orderkey, ';', o_orderstatus, chr(10)) AS line FROM orders ORDER BY o_orderkey) GROUP BY 1".replace("string_agg(line, '') ", "string_agg(line, '' ORDER BY k)").replace("SELECT o_orderkey % 8 AS part,", "SELECT CAST(o_orderkey % 8 AS INTEGER) AS part, o_orderkey AS k,").replace("sum(length(line))", "CAST(sum(length(line)) AS BIGINT)"))
+def file_checksums(spark, d):
+    """The digests and sizes of eight files."""
+    path = fresh_path(spark, "digests")
+    rows = sql(spark, d, "SELECT o_orderkey AS k, CAST(o_orderkey % 8 AS INT) AS part, concat(cast(o_orderkey AS varchar(20)), ';', o_orderstatus) AS value FROM orders")
+    rows.repartition(8, "part").sortWithinPartitions("part", "k").drop("k").write.partitionBy("part").text(path)
+    return R.file_digests(spark, path).select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("int").alias("part"), "sha256", "bytes")

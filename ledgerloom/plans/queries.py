@@ -19,6 +19,7 @@ from ..operators import graph as G
 from ..operators import learning as L
 from ..operators import matching as M
 from ..operators import metrics as X
+from ..sources.runs import RunStore
 from ..sources.fixtures import INVOICES, PAYMENTS, invoices, payments
 from ..streaming import jobs as S
 from .storage import cut, fresh_path
@@ -175,12 +176,12 @@ def page_confidence(spark, d):
     return tab(spark, d, "documents").select("doc_id", N.page_confidence(words, F.col("n_chars")).cast("double").alias("confidence"))
 
 
-FEED = """SELECT cast(event_id AS varchar(20)) AS transaction_id, cast(CASE WHEN event_id % 2 = 0 THEN -value ELSE value END AS DECIMAL(20,4)) AS amount, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'eur' END AS iso_currency_code,
+FEED = """SELECT cast(event_id AS varchar(20)) AS transaction_id, concat('acc-', cast(user_id AS varchar(20))) AS account_id, substr(cast(ts AS varchar(30)), 1, 10) AS date, CASE WHEN event_id % 2 = 0 THEN substr(cast(ts AS varchar(30)), 1, 10) END AS authorized_date, cast(CASE WHEN event_id % 2 = 0 THEN -value ELSE value END AS DECIMAL(20,4)) AS amount, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'eur' END AS iso_currency_code,
  CASE WHEN event_id % 5 = 0 THEN concat('p', cast(event_id AS varchar(20))) END AS pending_transaction_id, CASE WHEN event_id % 4 = 0 THEN 'shop' END AS merchant_name, event_type AS name FROM events WHERE value IS NOT NULL"""
 
 
 @query(f"""SELECT transaction_id AS external_id, amount, upper(coalesce(iso_currency_code, 'USD')) AS currency, CASE WHEN amount >= 0 THEN 'debit' ELSE 'credit' END AS transaction_type,
- coalesce(pending_transaction_id, transaction_id) AS bank_reference, coalesce(merchant_name, name, '') AS description FROM ({FEED})""")
+ coalesce(pending_transaction_id, transaction_id) AS bank_reference, coalesce(merchant_name, name, '') AS description, account_id, CAST(date AS DATE) AS record_date, CAST(authorized_date AS DATE) AS value_date FROM ({FEED})""")
 def norm_bank_feed(spark, d):
     return N.norm_bank_feed(sql(spark, d, FEED))
 
@@ -195,6 +196,17 @@ def norm_processor(spark, d):
     return N.norm_processor(sql(spark, d, BALANCE))
 
 
+CHARGES = """SELECT cast(o_orderkey AS varchar(20)) AS id, cast(o_orderkey * 7 AS bigint) AS amount, CASE o_orderkey % 4 WHEN 0 THEN 'jpy' WHEN 1 THEN NULL ELSE 'usd' END AS currency, cast(1700000000 + o_orderkey * 1000 AS bigint) AS created,
+ CASE WHEN o_orderkey % 3 = 0 THEN concat('c', cast(o_custkey AS varchar(20))) END AS customer, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS description FROM orders"""
+
+
+@query(f"""SELECT id AS external_id, id AS payment_reference, CAST(amount / (CASE WHEN currency = 'jpy' THEN 1 ELSE 100 END) AS DECIMAL(20,4)) AS amount, upper(coalesce(currency, 'usd')) AS currency, CAST(make_timestamp(created * 1000000) AS DATE) AS record_date,
+ coalesce(nullif(description, ''), 'payment') AS description, customer AS payer_id, CASE WHEN id % 2 = 0 THEN 'card' ELSE 'processor' END AS payment_method FROM (SELECT * REPLACE (CAST(id AS BIGINT) AS id) FROM ({CHARGES})) """.replace("SELECT id AS external_id, id AS payment_reference", "SELECT CAST(id AS VARCHAR) AS external_id, CAST(id AS VARCHAR) AS payment_reference"))
+def norm_payment(spark, d):
+    rows = sql(spark, d, CHARGES).withColumn("payment_method_types", F.when(F.col("id").cast("long") % 2 == 0, F.array(F.lit("card"), F.lit("transfer"))))
+    return N.norm_payment(rows)
+
+
 @query("SELECT sha256(coalesce(text, '')) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def doc_dedupe(spark, d):
     return C.content_dedupe(tab(spark, d, "documents"))
@@ -366,29 +378,31 @@ def reconcile(spark, d):
     return _told(M.reconcile(*both(spark, d), block=("currency", "party")))
 
 
-def _later(rows: str, prefix: str, kind: str, days: int) -> str:
-    return f"SELECT concat('{prefix}', record_id) AS record_id, '{kind}' AS record_type, external_id, amount, currency, CAST(record_date + {days} AS DATE) AS record_date, reference, party, fee_amount FROM {rows}"
+def _later(rows: str, prefix: str, kind: str, days: int, own: bool = False) -> str:
+    """The rows as another type some days later; with `own` their external id is the id that they were made of."""
+    return f"SELECT concat('{prefix}', record_id) AS record_id, '{kind}' AS record_type, {'record_id' if own else 'external_id'} AS external_id, amount, currency, CAST(record_date + {days} AS DATE) AS record_date, reference, party, fee_amount FROM {rows}"
 
 
-def _later_rows(rows: DataFrame, prefix: str, kind: str, days: int) -> DataFrame:
+def _later_rows(rows: DataFrame, prefix: str, kind: str, days: int, own: bool = False) -> DataFrame:
+    rows = rows.withColumn("external_id", F.col("record_id")) if own else rows
     return rows.withColumns({"record_id": F.concat(F.lit(prefix), "record_id"), "record_type": F.lit(kind), "record_date": F.date_add("record_date", days)})
 
 
-@query(_reconcile_sql(_later("p0", "B", "bank_transaction", 1), _later("p0", "L", "ledger_entry", 3), "bank_to_ledger"))
+_STAGE = lambda s, t, name: f"({_reconcile_sql(s, t, name)})"
+
+
+@query(_reconcile_sql(_later("p0", "B", "bank_transaction", 1, True), _later("p0", "L", "ledger_entry", 3, True), "bank_to_ledger"))
 def reconcile_bank(spark, d):
     """Bank transactions a day after the payments, ledger entries two days later."""
     p = payments(spark, d)
-    return _told(M.reconcile_template("bank", _later_rows(p, "B", "bank_transaction", 1), _later_rows(p, "L", "ledger_entry", 3), block=("currency", "party")))
-
+    return _told(M.reconcile_template("bank", _later_rows(p, "B", "bank_transaction", 1, True), _later_rows(p, "L", "ledger_entry", 3, True), block=("currency", "party")))
 
-_STAGE = lambda s, t, name: f"({_reconcile_sql(s, t, name)})"
 
-
-@query(f"""SELECT * FROM {_STAGE("SELECT * FROM i0", "SELECT * FROM p0", "invoice_to_receipt")} UNION ALL SELECT * FROM {_STAGE("SELECT * FROM p0", _later("p0", "R", "ledger_entry", 1), "receipt_to_ar")}""")
+@query(f"""SELECT * FROM {_STAGE("SELECT * FROM i0", _later("p0", "C", "payment", 0, True), "invoice_to_receipt")} UNION ALL SELECT * FROM {_STAGE(_later("p0", "C", "payment", 0, True), _later("p0", "R", "ledger_entry", 1, True), "receipt_to_ar")}""")
 def reconcile_customer(spark, d):
     """Invoices, receipts and the entries of a day later."""
     i, p = both(spark, d)
-    return _told(M.reconcile_template("customer", i, p, _later_rows(p, "R", "ledger_entry", 1), block=("currency", "party")))
+    return _told(M.reconcile_template("customer", i, _later_rows(p, "C", "payment", 0, True), _later_rows(p, "R", "ledger_entry", 1, True), block=("currency", "party")))
 
 
 @query(f"""SELECT * FROM {_STAGE(_later("i0", "O", "purchase_order", -2), "SELECT * FROM i0", "purchase_order_to_invoice")} UNION ALL SELECT * FROM {_STAGE("SELECT * FROM i0", _later("i0", "A", "ledger_entry", 5), "invoice_to_ap")}
@@ -740,7 +754,7 @@ def pending_reviews(spark, d):
 @query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
 def audit_feed(spark, d):
     """The newest 500 events: the limit is the feed's."""
-    return tab(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id", "event_type")
+    return C.newest(tab(spark, d, "events"), ["ts", "event_id"], 500).select("event_id", "event_type")
 
 
 @query("SELECT user_id AS run_id, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event FROM events GROUP BY 1")
@@ -769,10 +783,32 @@ def related_records(spark, d):
     return C.related_records(i.unionByName(p), [F.col("external_id"), F.lower(F.trim("reference"))])
 
 
-@query(f"{CTE} SELECT record_id, amount FROM payments WHERE currency = 'JPY'")
+@query(f"""{CTE} SELECT 'payment' AS record_type, record_id, amount FROM payments UNION ALL SELECT 'invoice', record_id, amount FROM invoices""")
 def typed_lookup(spark, d):
-    i, p = both(spark, d)
-    return i.unionByName(p).where("record_type = 'payment' and currency = 'JPY'").select("record_id", "amount")
+    """Every record by its typed getter; as another type it is not found."""
+    records = _records(spark, d)
+    found = [C.records_of(records, kind).select("record_type", "record_id", "amount") for kind in ("payment", "invoice", "settlement")]
+    return X.union_all(found)
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(coalesce(source, '')), 'src1') ORDER BY doc_id LIMIT 30")
+def document_search(spark, d):
+    """The first 30 hits: the limit is the search's."""
+    return C.document_search(tab(spark, d, "documents"), " SRC1 ", ["source"]).select("doc_id", "source")
+
+
+@query("SELECT doc_id, page FROM (SELECT doc_id, CAST(1 + n_chars // 3000 AS BIGINT) AS page_count, unnest([1, 2, 5]) AS page FROM documents) WHERE page <= page_count")
+def document_pages(spark, d):
+    """Pages that are asked for and that the document has."""
+    docs = tab(spark, d, "documents").withColumn("page_count", F.expr("1 + n_chars div 3000"))
+    asked = docs.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))).alias("page"))
+    return C.document_page(docs, asked).select("doc_id", "page")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 100")
+def newest_investigations(spark, d):
+    """The newest 100: the limit is the list's."""
+    return C.newest(tab(spark, d, "events").where("event_type = 'error'"), ["ts", "event_id"], 100).select("event_id", "user_id")
 
 
 @query("SELECT user_id * 10 + event_id % 10 AS doc_id, count(*) AS n_rows, count(*) FILTER (WHERE event_type = 'error') AS n_errors, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'FAILED' ELSE 'PARSED' END AS status FROM events GROUP BY 1")
@@ -917,12 +953,28 @@ def jsonl_predictions(spark, d):
     return text.select(row["case_id"].alias("case_id"), row["amount"].cast("decimal(20,4)").alias("amount"), F.when(is_float, "money must not be a JSON float").alias("error"))
 
 
-@query("SELECT run_id, status, count(*) AS n FROM (SELECT CAST(o_orderkey % 3 AS INTEGER) AS run_id, CASE WHEN o_orderkey % 10 = 6 THEN 'UNMATCHED' ELSE 'MATCHED' END AS status FROM orders) GROUP BY 1, 2")
+STORED = "SELECT o_orderkey AS result_id, CASE WHEN o_orderkey % 10 = 6 THEN 'UNMATCHED' WHEN o_orderkey % 10 = 8 THEN 'EXCEPTION' ELSE 'MATCHED' END AS status FROM orders"
+
+
+@query(f"SELECT CAST(result_id % 3 AS INTEGER) AS run_id, result_id, status, status <> 'MATCHED' AS queued FROM ({STORED})")
 def run_store(spark, d):
-    """Append results by run, read the store back; exceptions are a filter, not a copy."""
-    path = fresh_path(spark, "runs")
-    sql(spark, d, "SELECT CAST(o_orderkey % 3 AS INTEGER) AS run_id, o_orderkey, CASE WHEN o_orderkey % 10 = 6 THEN 'UNMATCHED' ELSE 'MATCHED' END AS status FROM orders").write.mode("append").partitionBy("run_id").parquet(path)
-    return spark.read.parquet(path).groupBy("run_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    """Three runs, the last of them stored twice, read back with their exceptions."""
+    store = RunStore(spark, fresh_path(spark, "runs"))
+    results = sql(spark, d, STORED)
+    for run in (0, 1, 2, 2):
+        store.save(run, results.where(F.col("result_id") % 3 == run))
+    queue = store.exceptions().select("run_id", "result_id", F.lit(True).alias("queued"))
+    rows = store.results().join(queue, ["run_id", "result_id"], "left")
+    return rows.select(F.col("run_id").cast("int").alias("run_id"), "result_id", "status", F.coalesce("queued", F.lit(False)).alias("queued"))
+
+
+@query(f"SELECT CAST(result_id % 3 AS INTEGER) AS run_id, count(*) AS results, count(*) FILTER (WHERE status <> 'MATCHED') AS exceptions FROM ({STORED}) GROUP BY 1")
+def run_counts(spark, d):
+    """The completion rows of the runs, one a run."""
+    store = RunStore(spark, fresh_path(spark, "runs"))
+    for run in (0, 1, 2, 2):
+        store.save(run, sql(spark, d, STORED).where(F.col("result_id") % 3 == run))
+    return store.runs().select(F.col("run_id").cast("int").alias("run_id"), "results", "exceptions")
 
 
 def _events(spark, d):

@@ -119,6 +119,11 @@ def raise_first_error(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def file_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, sha256, bytes) of whole files; a file is one row, so it should be below two gigabytes."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
 def cap_rows(rows: DataFrame, most: int) -> DataFrame:
     """The first `most` rows of each file; the next one stays as an empty row with an `error`, the others go."""
     data = F.col("row_number") - 1
