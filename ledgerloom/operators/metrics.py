@@ -185,12 +185,5 @@ def model_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return binary_detection(marked, []).join(F.broadcast(area.select(auc.alias("auc"))))  # one row each
 
 
-def unpivoted_report(metrics: DataFrame, keys: list[str], names: list[str]) -> str:
-    """A Markdown table of a few rows of metrics."""
-    head = "| " + " | ".join([*keys, *names]) + " |"
-    rows = [" | ".join(str(r[c]) for c in [*keys, *names]) for r in metrics.orderBy(*keys).collect()]
-    return "\n".join([head, "|" + "---|" * (len(keys) + len(names)), *[f"| {r} |" for r in rows]])
-
-
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

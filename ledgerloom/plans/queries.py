@@ -19,6 +19,7 @@ from ..operators import graph as G
 from ..operators import learning as L
 from ..operators import matching as M
 from ..operators import metrics as X
+from ..operators.reports import ReportStore
 from ..sources.runs import RunStore
 from ..sources.fixtures import INVOICES, PAYMENTS, invoices, payments
 from ..streaming import jobs as S
@@ -706,6 +707,40 @@ def bench_report(spark, d):
     return spark.read.schema("run string, suite string, precision double, recall double, f1 double").json(path)
 
 
+_REPORT = f"""WITH m AS (SELECT suite, run, count(*) AS cases, {_COUNTS} FROM ({SCORED}) GROUP BY 1, 2), p AS (SELECT suite, run, cases, {_PRF} FROM m),
+u AS (SELECT suite, run, unnest(['cases', 'precision', 'recall', 'f1']) AS metric, unnest([CAST(cases AS DOUBLE), precision, recall, f1]) AS value FROM p),
+c AS (SELECT * FROM u UNION ALL SELECT s.suite, 'delta', s.metric, round(s.value - b.value, 6) FROM u s JOIN u b ON b.suite = s.suite AND b.metric = s.metric AND s.run = 'system' AND b.run = 'baseline' WHERE s.metric <> 'cases')"""
+
+
+def _reported(spark, d, part, schema):
+    """Two versions of the report, of which the second one counts, and a third that is not committed."""
+    store = ReportStore(spark, fresh_path(spark, "report"))
+    rows = scored(spark, d)
+    metrics = X.label_match(rows, ["suite", "run"]).join(rows.groupBy("suite", "run").agg(F.count(F.lit(1)).alias("cases")), ["suite", "run"])
+    predictions = rows.select("run", "case_id", "predicted_label", "auto_resolved", "amount")
+    store.write(1, metrics.limit(3), predictions.limit(0))
+    store.write(2, metrics, predictions)
+    predictions.limit(0).write.json(f"{store.folder}/{part}/version=3")
+    return store.read(part, schema)
+
+
+@query(f"{_REPORT} SELECT * FROM c")
+def report_comparison(spark, d):
+    return _reported(spark, d, "comparison", "suite string, run string, metric string, value double")
+
+
+@query(f"""{_REPORT}, n AS (SELECT *, CASE run WHEN 'system' THEN '### System' WHEN 'baseline' THEN '### Baseline' ELSE '### Delta (system - baseline)' END AS head FROM c WHERE value IS NOT NULL)
+SELECT '# Evaluation benchmark report' AS line UNION ALL SELECT unnest(['', 'Baseline: `baseline`', 'System: `system`', '']) UNION ALL SELECT unnest(['## ' || suite, '']) FROM (SELECT DISTINCT suite FROM n)
+UNION ALL SELECT unnest([head, '']) FROM (SELECT DISTINCT suite, head FROM n) UNION ALL SELECT '- **' || metric || ':** `' || CASE WHEN metric = 'cases' THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END || '`' FROM n""")
+def report_markdown(spark, d):
+    return _reported(spark, d, "markdown", "value string").select(F.col("value").alias("line"))
+
+
+@query(f"SELECT run, case_id, predicted_label, auto_resolved, amount FROM ({SCORED})")
+def report_predictions(spark, d):
+    return _reported(spark, d, "predictions", "run string, case_id long, predicted_label string, auto_resolved boolean, amount decimal(20,4)")
+
+
 # --- controls ---------------------------------------------------------------------------------------------------
 
 ACTIONS = """SELECT o_orderkey AS action_id, CAST(CASE WHEN o_orderkey % 11 = 0 THEN 5000 ELSE o_totalprice / 20 END AS DECIMAL(20,4)) AS amount, o_orderkey % 2 = 0 AS exact_match, o_orderkey % 3 = 0 AS known_variance, o_orderkey % 5 <> 0 AS evidence_complete, o_orderkey % 7 = 0 AS unresolved,
