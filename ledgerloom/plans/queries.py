@@ -866,10 +866,10 @@ def _pairs(spark, d):
 
 
 @query(f"""{CTE} SELECT s.record_id AS s_record_id, t.record_id AS t_record_id, least(CAST(abs(s.amount - t.amount) AS DOUBLE), 1e15) AS amount_delta, round(CAST(abs(s.amount - t.amount) AS DOUBLE) / CAST(greatest(abs(s.amount), abs(t.amount), 0.01) AS DOUBLE), 6) AS amount_relative,
- CAST(least(abs(s.record_date - t.record_date), 3650) AS DOUBLE) AS days, CAST(s.currency = t.currency AS DOUBLE) AS currency_match, 1.0 AS party_match, 0.0 AS party_missing, CAST(t.reference IS NULL AS DOUBLE) AS text_missing,
+ CAST(least(abs(s.record_date - t.record_date), 3650) AS DOUBLE) AS days, CAST(s.currency = t.currency AS DOUBLE) AS currency_match, 1.0 AS party_match, 0.0 AS party_missing, CAST(t.reference IS NULL AS DOUBLE) AS text_missing, CAST(0.5 AS DOUBLE) AS score,
  CASE WHEN t.reference IS NULL THEN 0.0 ELSE round(CAST(1 - levenshtein(lower(trim(s.reference)), lower(trim(t.reference))) / greatest(length(trim(s.reference)), length(trim(t.reference))) AS DOUBLE), 6) END AS text_similarity FROM invoices s JOIN payments t ON s.party = t.party""")
 def features(spark, d):
-    return _pairs(spark, d).select("s_record_id", "t_record_id", *[c for c in L.FEATURES if c != "score"])
+    return _pairs(spark, d).select("s_record_id", "t_record_id", *L.FEATURES)
 
 
 CANDIDATES = f"""{CTE} SELECT concat(s.record_id, ':', t.record_id) AS candidate_id, s.record_id AS source_id, t.record_id AS target_id, s.amount AS s_amount, t.amount AS t_amount, s.currency AS s_currency, t.currency AS t_currency,

