@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import cut
 from .greedy import greedy_select
-from .subset import subset_sums
+from .subset import SMALL, subset_sums
 
 #: Rules in the order of the cascade, with status, confidence and reason codes.
 RULES = {
@@ -133,20 +133,22 @@ def _options(groups: DataFrame) -> DataFrame:
 def allocate(anchors: DataFrame, parts: DataFrame, block: tuple[str, ...] = ("currency",), largest: int = 4, positive: bool = False) -> DataFrame:
     """Anchors by id take the first free group of one block: smallest size, then by member ids. Confidence 0.88.
 
-    Larger groups are looked for only for anchors that the smaller ones leave without one, until none is left; as an
-    anchor prefers small groups, that gives what the scan over all sizes gives.
+    In a large block larger groups are looked for only for anchors that the smaller ones leave without one, until none
+    is left; as an anchor prefers small groups, that gives what the scan over all sizes gives.
     """
     order = [F.col("anchor_id"), F.size("members"), F.col("members")]
-    depth = cut(anchors.select(F.col("record_id").alias("anchor_id"), F.lit(1).alias("depth")).distinct(), "depth")
-    groups, lacking = None, depth
+    keys = list(block)
+    large = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL[0]).select(*keys)
+    many = anchors.join(large, keys, "left_semi")
+    # Anchors of small blocks have their groups of all sizes at once.
+    groups = cut(subset_sums(anchors.join(large, keys, "left_anti"), parts, keys, largest, positive), "groups")
+    depth = lacking = cut(many.select(F.col("record_id").alias("anchor_id"), F.lit(1).alias("depth")).distinct(), "depth")
     while True:
         for size in range(2, largest + 1):
             own = lacking.where(F.col("depth") == size - 1)
-            if groups is not None and (size == 2 or not own.limit(1).count()):
-                continue
-            some = anchors.join(own.select(F.col("anchor_id").alias("record_id")), "record_id", "left_semi")
-            found = cut(subset_sums(some, parts, list(block), size, positive, smallest=size), "groups")
-            groups = found if groups is None else groups.union(found)
+            if own.limit(1).count():
+                some = many.join(own.select(F.col("anchor_id").alias("record_id")), "record_id", "left_semi")
+                groups = groups.union(cut(subset_sums(some, parts, keys, size, positive, smallest=size), "groups"))
         deeper = lacking.select("anchor_id", F.lit(True).alias("_more"))
         depth = cut(depth.join(deeper, "anchor_id", "left").select("anchor_id", F.when(F.col("_more"), F.least(F.lit(largest), F.col("depth") + 1)).otherwise(F.col("depth")).alias("depth")), "depth")
         got = cut(greedy_select(_options(groups), order), "allocated")
