@@ -1,10 +1,10 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 The words of each source form one stream, packed into blocks of a fixed length. The output is a number of shards of
-equal length in slots. Each shard draws how many slots each source gets from a multinomial (what the target weights
-give in whole slots is certain, the rest is drawn by its residual weights, so sources stay near their targets). A
-source's slots are numbered shard after shard and map to block numbers by a keyed pseudorandom permutation of the
-source's blocks, a new one for each pass through them; blocks join by number.
+equal length in slots. How many slots each source gets in a shard is a multinomial draw, conditional on what it gets in
+the whole mix, so that sources come near their targets. A source's slots are numbered shard after shard and map to
+block numbers by a keyed pseudorandom permutation of the source's blocks, a new one for each pass through them; blocks
+join by number.
 """
 
 from __future__ import annotations
@@ -66,40 +66,34 @@ def permuted(at: Column, n: Column, key: list[Column]) -> Column:
 def shard_counts(goals: DataFrame, seed: int, shards: int, block_words: int) -> DataFrame:
     """(source, blocks, shard, count, first): slots of each source in each shard, and the number of the first of them.
 
-    `goals` has source, source_size, target. A source's slots end at `target / source_size` rounded up to whole passes,
-    so that none is taken more often than the targets allow.
+    `goals` has source, source_size, target. The slots of the whole mix are given to the sources end to end, as many as
+    their targets say, and a keyed permutation of all slots deals each to a place in a shard. So a shard's counts are a
+    multinomial draw by the target weights, conditional on the counts of the whole mix: shards vary as draws do, totals
+    do not. Slots are counted where they are made; what is shuffled is one row per task, shard and source. A source has
+    no more slots than `target / source_size` rounded up to whole passes.
     """
     blocks = F.ceil(F.col("source_size") / block_words)
     plan = goals.where("source_size > 0 and target > 0").withColumn("blocks", blocks)
     # A block counts as source_size / blocks words, so that the last, shorter one does not bias the total.
     plan = plan.withColumn("want", F.col("target") / F.col("source_size") * F.col("blocks"))
-    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum("want").over(everything)
-    plan = plan.withColumn("share", F.col("want") / total).withColumn("slots", F.round(total).cast("long"))
-    grid = plan.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition("shard")
-    ends = lambda k: F.floor(F.col("slots") * k / shards)
-    grid = grid.withColumn("length", ends(F.col("shard") + 1) - ends(F.col("shard")))
-    grid = grid.withColumn("sure", F.floor(F.col("length") * F.col("share") + 1e-9)).withColumn("odd", F.greatest(F.lit(0.0), F.col("length") * F.col("share") - F.col("sure")))
-    # The residual weights of a shard lie end to end; each draw takes the source that it falls on. A draw comes after
-    # the start of its source's stretch, so the last start before it is found in one pass over the shard.
-    line = Window.partitionBy("shard").orderBy(F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.withColumn("at", F.coalesce(F.sum("odd").over(line), F.lit(0.0)))
-    rest = grid.groupBy("shard").agg((F.first("length") - F.sum("sure")).cast("int").alias("draws"), F.sum("odd").alias("width")).where("draws > 0")
-    draws = rest.select("shard", "width", F.explode(F.sequence(F.lit(1), F.col("draws"))).alias("k"))
-    # The draws of a shard are independent and even; from shard to shard each moves on by the golden ratio, so that what
-    # a source gets over all shards stays within few slots of its expectation.
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), F.col("k")), F.lit(1 << 30)) / F.lit(float(1 << 30)) + F.col("shard") * F.lit(0.6180339887498949)
-    unit = unit - F.floor(unit)
-    marks = grid.where("odd > 0").select("shard", "at", F.lit(0).alias("k"), F.struct("source").alias("own"))
-    marks = marks.unionByName(draws.select("shard", (unit * F.col("width")).alias("at"), "k", F.lit(None).cast(marks.schema["own"].dataType).alias("own")))
-    so_far = Window.partitionBy("shard").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = marks.withColumn("own", F.last("own", ignorenulls=True).over(so_far)).where("k > 0").groupBy("shard", F.col("own.source").alias("source")).agg(F.count(F.lit(1)).alias("more"))
-    counted = null_safe_join(grid, drawn, ["shard", "source"], "left").withColumn("count", (F.col("sure") + F.coalesce("more", F.lit(0))).cast("long"))
-    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)).cast("long"))
+    everything = Window.orderBy(F.col("source").isNull(), F.col("source"))
+    plan = plan.withColumn("end", F.round(F.sum("want").over(everything.rowsBetween(Window.unboundedPreceding, 0))).cast("long"))
+    plan = plan.withColumn("begin", F.coalesce(F.lag("end").over(everything), F.lit(0)).cast("long"))
+    plan = plan.withColumn("slots", F.max("end").over(Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     most = (F.ceil(F.col("target") / F.col("source_size") - 1e-9) * F.col("blocks")).cast("long")
-    kept = F.greatest(F.lit(0), F.least(F.col("count"), most - F.col("first"))).cast("long")
-    return counted.select("source", F.col("blocks").cast("long").alias("blocks"), "shard", kept.alias("count"), "first").where("count > 0")
+    plan = plan.withColumn("own", F.least(F.col("end") - F.col("begin"), most)).where("own > 0")
+    rows = _chunks(plan, F.col("own"), "source").withColumn("place", permuted(F.col("begin") + F.col("at"), F.col("slots"), [F.lit(seed), F.lit(shards), F.lit("shard")]))
+    shard = F.floor(F.col("place") * shards / F.col("slots")).cast("int")
+    counts = rows.groupBy("source", F.col("blocks").cast("long").alias("blocks"), shard.alias("shard")).agg(F.count(F.lit(1)).alias("count"))
+    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)).cast("long"))
+
+
+def _chunks(rows: DataFrame, count: Column, *keys: str) -> DataFrame:
+    """Each row `count` times, with `at` from 0, dealt to the tasks in pieces of bounded length."""
+    parts = rows.withColumn("_n", count).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / SLOTS_PER_ROW))))
+    begin = F.col("_chunk") * SLOTS_PER_ROW
+    return parts.repartition(*keys, "_chunk").withColumn("at", F.explode(F.sequence(begin, F.least(begin + SLOTS_PER_ROW, F.col("_n")) - 1))).drop("_n", "_chunk")
 
 
 def draw_blocks(goals: DataFrame, seed: int, shards: int, block_words: int) -> DataFrame:
@@ -108,11 +102,9 @@ def draw_blocks(goals: DataFrame, seed: int, shards: int, block_words: int) -> D
     Slot j of a source takes block permutation_k(j mod n) of pass k = j div n, so each pass takes every block once.
     """
     counts = save(shard_counts(goals, seed, shards, block_words), "mix-counts")
-    rows = counts.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / SLOTS_PER_ROW))))
-    begin = F.col("chunk") * SLOTS_PER_ROW
-    slots = rows.repartition("source", "shard", "chunk").withColumn("slot", F.explode(F.sequence(begin, F.least(begin + SLOTS_PER_ROW, F.col("count")) - 1)))
+    slots = _chunks(counts, F.col("count"), "source", "shard").withColumnRenamed("at", "slot")
     number = F.col("first") + F.col("slot")
-    block = permuted(number % F.col("blocks"), F.col("blocks"), [F.lit(seed), F.isnull("source"), F.col("source"), F.floor(number / F.col("blocks"))])
+    block = permuted(number % F.col("blocks"), F.col("blocks"), [F.lit(seed), F.lit(shards), F.isnull("source"), F.col("source"), F.floor(number / F.col("blocks"))])
     return slots.select("source", "shard", "slot", block.alias("block"))
 
 

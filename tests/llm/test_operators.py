@@ -302,6 +302,29 @@ def test_shards_draw_their_source_counts(spark):
     assert len({str(v) for v in drawn.values()}) == 3
 
 
+def test_shards_vary_as_multinomial_draws_do(spark):
+    sources = spark.createDataFrame([("a", 640000, 640000.0), ("b", 320000, 320000.0), (None, 320000, 320000.0)], "source string, source_size long, target double")
+    counts, shards, seeds = Counter(), 64, range(6)
+    for seed in seeds:
+        for r in mixing.shard_counts(sources, seed, shards, 64).collect():
+            counts[seed, r.shard, r.source] = r["count"]
+    assert all(sum(counts[seed, s, "a"] for s in range(shards)) == 10000 for seed in seeds)
+    length, share = 20000 / 64, {"a": 0.5, "b": 0.25, None: 0.25}
+    for source, p in share.items():
+        got = [counts[seed, s, source] for seed in seeds for s in range(shards)]
+        variance = sum((x - length * p) ** 2 for x in got) / len(got)
+        # Of a multinomial, over shards that share out fixed totals.
+        assert 0.75 < variance / (length * p * (1 - p) * (1 - 1 / shards)) < 1.3
+    assert len({tuple(counts[seed, s, "a"] for s in range(shards)) for seed in seeds}) == len(seeds)
+
+
+def test_mix_takes_very_long_and_repeated_texts_whole(spark):
+    rng = random.Random(23)
+    out = mixing.mix_sources(docs(spark, awkward(rng)), block_words=64).collect()
+    assert len(out) == 13 and all(0 <= r.taken <= 2 * r["size"] for r in out) and {r["size"] for r in out if r.doc_id == 4} == {20000}
+    assert abs(sum(r.taken for r in out) - out[0].target) <= 64
+
+
 def test_mixed_blocks_are_the_taken_words(spark):
     rows = docs(spark, [(k, words(random.Random(k), 1 + k % 50), "aab"[k % 3]) for k in range(60)] + [(90, None, "a"), (91, "", None)])
     blocks = mixing.mixed_blocks(rows, block_words=8, shards=4).collect()
