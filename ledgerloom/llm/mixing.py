@@ -93,7 +93,9 @@ def _chunks(rows: DataFrame, count: Column, *keys: str) -> DataFrame:
     """Each row `count` times, with `at` from 0, dealt to the tasks in pieces of bounded length."""
     parts = rows.withColumn("_n", count).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / SLOTS_PER_ROW))))
     begin = F.col("_chunk") * SLOTS_PER_ROW
-    return parts.repartition(*keys, "_chunk").withColumn("at", F.explode(F.sequence(begin, F.least(begin + SLOTS_PER_ROW, F.col("_n")) - 1))).drop("_n", "_chunk")
+    # By number, since Spark would join the small pieces into few tasks, which then make all the slots.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(tasks, *keys, "_chunk").withColumn("at", F.explode(F.sequence(begin, F.least(begin + SLOTS_PER_ROW, F.col("_n")) - 1))).drop("_n", "_chunk")
 
 
 def draw_blocks(goals: DataFrame, seed: int, shards: int, block_words: int) -> DataFrame:
