@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..operators import controls as C
 from ..sources import files as R
+from ..sources.feed import latest_changes, page_feed, write_pages
 from ..streaming.intake import Intake, file_stream
+from ..streaming.jobs import run_to_table
 from .queries import QUERIES, RAW, SQL, query, sql, tab
 from .storage import fresh_path
 
@@ -100,6 +102,22 @@ def page_merge(spark, d):
     return R.merge_pages(pages, ["amount"])
 
 
+@query(f"""WITH r AS (SELECT event_id AS id, event_id * 2 AS amount, cursor, event_id * 2 AS position FROM ({FED}) UNION ALL SELECT event_id - 100, event_id, cursor, event_id * 2 + 1 FROM ({FED}) WHERE event_id % 3 = 0)
+SELECT id, amount, cursor FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY cursor DESC, position DESC) = 1""")
+def feed_resume(spark, d):
+    """The same pages as files of a feed: the even ones and page 1 come first, so the feed waits at page 3 and goes on when the rest has come."""
+    e = F.col("event_id")
+    added = F.struct((e * 2).alias("position"), F.struct(e.alias("id"), (e * 2).alias("amount")).alias("r"))
+    changed = F.struct((e * 2 + 1).alias("position"), F.struct((e - 100).alias("id"), e.alias("amount")).alias("r"))
+    lines = sql(spark, d, FED).select("cursor", F.explode(F.when(e % 3 == 0, F.array(added, changed)).otherwise(F.array(added))).alias("c"))
+    lines = lines.select("cursor", "c.position", F.to_json("c.r").alias("change"))
+    early, pages, out = (F.col("cursor") % 2 == 0) | (F.col("cursor") == 1), fresh_path(spark, "feed-pages"), fresh_path(spark, "feed")
+    for part in (early, ~early):
+        write_pages(lines.where(part), pages)
+        changes = run_to_table(page_feed(spark, pages), "feed", out)
+    return latest_changes(changes, "id long, amount long")
+
+
 @query("""WITH t AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS token FROM documents),
 o AS (SELECT doc_id, avg((length(token) * 13 + doc_id) % 101) / 100 AS c FROM t WHERE trim(token) <> '' AND length(token) > 1 GROUP BY 1),
 p AS (SELECT DISTINCT doc_id, CAST(doc_id % 10 AS DOUBLE) / 10 AS confidence FROM documents)
