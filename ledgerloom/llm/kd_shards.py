@@ -113,7 +113,12 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """Write the documents as Parquet, one folder per shard. Equal (doc_id, text) rows share a shard."""
-    placed = shard_documents(docs, shards).select("doc_id", "text_crc32", "shard").dropDuplicates(["doc_id", "text_crc32"])
-    full = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit(""))).cast("long"))
-    null_safe_join(full, placed, ["doc_id", "text_crc32"]).drop("text_crc32").write.partitionBy("shard").parquet(path)
+    """Write the documents as Parquet, all columns, one folder `shard=N` each. Equal (doc_id, text) rows share a shard.
+
+    A table with a column `shard` of its own is refused, since the folders' name would hide it.
+    """
+    if any(c.lower() == "shard" for c in docs.columns):
+        raise ValueError("the documents have a column shard already")
+    placed = shard_documents(docs, shards).groupBy("doc_id", F.col("text_crc32").alias("_crc")).agg(F.min("shard").alias("_shard"))
+    full = docs.select("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("_crc"), F.struct(*docs.columns).alias("_row"))
+    null_safe_join(full, placed, ["doc_id", "_crc"]).select("_row.*", F.col("_shard").alias("shard")).write.partitionBy("shard").parquet(path)

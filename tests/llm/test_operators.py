@@ -377,6 +377,46 @@ def test_shards_balance_and_slots_are_gapless(spark):
     assert kd_shards.shard_documents(docs(spark, [])).count() == 0
 
 
+def plain_tree(points, shards, first=0):
+    """The shard of each point (bytes, coordinates, tie, key): split at the weighted median of the widest dimension."""
+    if shards == 1 or not points:
+        return {p[-1]: first for p in points}
+    spread = [max(p[1][d] for p in points) - min(p[1][d] for p in points) for d in range(4)]
+    d, half = spread.index(max(spread)), shards // 2
+    goal, weights = max(1, sum(p[0] for p in points) * half // shards), Counter()
+    for p in points:
+        weights[p[1][d], p[2]] += p[0]
+    under = 0
+    for cut in sorted(weights):
+        over = under + weights[cut]
+        if over >= goal:
+            break
+        under = over
+    left = lambda p: (p[1][d], p[2]) <= cut if over - goal <= goal - under else (p[1][d], p[2]) < cut
+    return plain_tree([p for p in points if left(p)], half, first) | plain_tree([p for p in points if not left(p)], shards - half, first + half)
+
+
+@pytest.mark.parametrize(("seed", "shards"), [(1, 7), (2, 4)])
+def test_the_tree_is_that_of_a_plain_recursion(spark, seed, shards):
+    rng = random.Random(seed)
+    # Few places and ties, so that medians fall into the middle of a place; one point outweighs a shard.
+    points = [(rng.choice([1, 7, 300, 9000 if k == 3 else 40]), tuple(rng.choice([0, 5, 5, rng.randrange(1 << 16)]) for _ in range(4)), rng.randrange(50), k) for k in range(400)]
+    frame = spark.createDataFrame([(k, 0, 0, w, *at, tie) for w, at, tie, k in points], "text_hash long, text_crc32 long, piece long, bytes long, d_size long, d_source long, d_lang long, d_id long, tie long")
+    got = {r.text_hash: r.shard for r in kd_shards._split(frame, shards).collect()}
+    assert got == plain_tree(points, shards) and set(got.values()) == set(range(shards))
+
+
+def test_written_shards_hold_all_rows_and_columns(spark, tmp_path):
+    rows = docs(spark, awkward(random.Random(6))).withColumns({"text_crc32": F.lit("x"), "_crc": F.lit(1), "slot": F.lit(2)})
+    kd_shards.write_shards(rows, f"file://{tmp_path}/out", 4)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert back.columns == [*rows.columns, "shard"]
+    assert sorted(map(str, back.select(rows.columns).collect())) == sorted(map(str, rows.collect()))
+    assert back.groupBy("doc_id", "text").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+    with pytest.raises(ValueError, match="shard"):
+        kd_shards.write_shards(rows.withColumn("Shard", F.lit(1)), f"file://{tmp_path}/no", 4)
+
+
 # --- op3
 
 
@@ -708,3 +748,25 @@ def test_pipeline_against_brute_force(spark):
     assert {r.doc_id for r in kept[3].collect()} <= {r.doc_id for r in kept[2].collect()} and kept[3].columns == d.columns
     out = corpus_pipeline.shards(spark, kept[3], FOLDER).collect()
     assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in kept[3].collect())
+
+
+def test_pipeline_runs_on_null_ids_and_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    given = d.withColumn("doc_id", F.when(F.col("doc_id") < 140, F.col("doc_id"))).withColumns({"shard": F.lit("x"), "source_size": F.lit(1)})
+    given = given.unionByName(given.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string")}))
+    for name, rows in (("full", given), ("empty", given.limit(0))):
+        rows.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{FOLDER}/{other}.parquet").write.parquet(f"file://{tmp_path}/{name}/{other}.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}/full").collect()
+    sums = {(r.doc_id, zlib.crc32((r.text or "").encode())) for r in given.collect()}
+    assert {(r.doc_id, r.text_crc32) for r in out} <= sums and {r["shard"] for r in out} == set(range(16))
+    assert len({r.text_crc32 for r in out if r.doc_id is None}) > 20 and len({r.doc_id for r in out}) > 60
+    slots = {}
+    for r in out:
+        slots.setdefault(r["shard"], []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    empty = corpus_pipeline.run(spark, f"file://{tmp_path}/empty")
+    assert empty.count() == 0 and [f.name for f in empty.schema] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
