@@ -512,12 +512,29 @@ def review_suggestions(spark, d):
     return C.review_outcomes(G.candidate_batch(i, p), i.unionByName(p), RANKER)
 
 
-@query()
+# The scan as rounds: options that come first on all of their records are taken together, until a round takes none.
+_ROUNDS = """used(record_id, place) USING KEY (record_id) AS (SELECT '', CAST(0 AS BIGINT) UNION (WITH live AS (SELECT * FROM uses WHERE place NOT IN (SELECT u.place FROM uses u JOIN recurring.used t ON t.record_id = u.record_id)),
+ firsts AS (SELECT record_id, place, min(place) OVER (PARTITION BY record_id) = place AS first FROM live) SELECT record_id, place FROM firsts QUALIFY bool_and(first) OVER (PARTITION BY place)))"""
+
+
+@query(f"""{EDGES.replace("WITH", "WITH RECURSIVE", 1)}, options AS MATERIALIZED (SELECT source_id, target_id, score, row_number() OVER (ORDER BY source_id, score DESC, target_id) AS place FROM edges),
+uses AS MATERIALIZED (SELECT place, source_id AS record_id FROM options UNION ALL SELECT place, target_id FROM options), {_ROUNDS}
+SELECT source_id, target_id, score AS confidence FROM options WHERE place IN (SELECT place FROM used)""")
 def graph_pairs(spark, d):
     return G.graph_pairs(G.candidate_edges(_records(spark, d)))
 
 
-@query()
+@query(f"""{EDGES.replace("WITH", "WITH RECURSIVE", 1)}, own AS MATERIALIZED (SELECT e.source_id, e.target_id FROM edges e JOIN n a ON a.record_id = e.source_id JOIN n b ON b.record_id = e.target_id WHERE a.party = b.party),
+ends AS (SELECT source_id AS anchor, target_id AS other, 0 AS way, 1 AS turn FROM own UNION ALL SELECT target_id, source_id, 1, -1 FROM own),
+parts AS MATERIALIZED (SELECT anchor, way, o.record_type AS kind, other AS id, o.amount, turn * abs(o.fee_amount) AS fee FROM ends JOIN n o ON o.record_id = other),
+two AS MATERIALIZED (SELECT x.anchor, x.way, x.kind, [x.id, y.id] AS m, y.id AS last, x.amount + y.amount AS amount, x.fee + y.fee AS fee FROM parts x JOIN parts y ON y.anchor = x.anchor AND y.way = x.way AND y.kind = x.kind AND y.id > x.id),
+three AS MATERIALIZED (SELECT x.anchor, x.way, x.kind, list_append(m, y.id) AS m, y.id AS last, x.amount + y.amount AS amount, x.fee + y.fee AS fee FROM two x JOIN parts y ON y.anchor = x.anchor AND y.way = x.way AND y.kind = x.kind AND y.id > x.last),
+four AS (SELECT x.anchor, x.way, x.kind, list_append(m, y.id) AS m, y.id AS last, x.amount + y.amount AS amount, x.fee + y.fee AS fee FROM three x JOIN parts y ON y.anchor = x.anchor AND y.way = x.way AND y.kind = x.kind AND y.id > x.last),
+sums AS (SELECT g.*, a.stage, a.amount AS goal, (CASE g.way WHEN 0 THEN 1 ELSE -1 END) * abs(a.fee_amount) AS own_fee FROM (SELECT * FROM two UNION ALL SELECT * FROM three UNION ALL SELECT * FROM four) g JOIN n a ON a.record_id = g.anchor),
+options AS MATERIALIZED (SELECT anchor, m, confidence, row_number() OVER (ORDER BY way, stage, anchor, len(m), m, confidence DESC, kind) AS place
+ FROM (SELECT *, CAST(CASE WHEN amount = goal THEN 0.88 WHEN amount + fee = goal - own_fee THEN 0.82 END AS DECIMAL(4,2)) AS confidence FROM sums) WHERE confidence IS NOT NULL),
+uses AS MATERIALIZED (SELECT place, unnest(list_prepend(anchor, m)) AS record_id FROM options), {_ROUNDS}
+SELECT anchor AS anchor_id, m AS members, confidence FROM options WHERE place IN (SELECT place FROM used)""")
 def graph_allocations(spark, d):
     records = _records(spark, d)
     # Edges within one party keep the groups of an anchor bounded.
@@ -907,7 +924,10 @@ def rank_candidates(spark, d):
 EXAMPLES = "SELECT o_orderkey AS example_id, o_custkey AS entity, cast(o_totalprice * 100 AS bigint) AS seed, CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey / 100 ELSE -o_orderkey END AS scenario FROM orders"
 
 
-@query()
+@query(f"""WITH RECURSIVE x AS MATERIALIZED ({EXAMPLES}), ends AS MATERIALIZED (SELECT example_id, unnest(['entity=' || entity, 'seed=' || seed, 'scenario=' || scenario]) AS k FROM x),
+least_of(example_id, g) USING KEY (example_id) AS (SELECT example_id, example_id FROM x UNION (WITH by_key AS (SELECT k, min(g) AS g FROM ends JOIN recurring.least_of USING (example_id) GROUP BY 1),
+ near AS (SELECT example_id, min(by_key.g) AS g FROM ends JOIN by_key USING (k) GROUP BY 1) SELECT near.example_id, near.g FROM near JOIN recurring.least_of r ON r.example_id = near.example_id WHERE near.g < r.g))
+SELECT example_id, g AS "group" FROM least_of""")
 def leakage_groups(spark, d):
     return L.leakage_groups(sql(spark, d, EXAMPLES), ["entity", "seed", "scenario"])
 
