@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..plans.storage import cut, fresh_path
 from .ordered import running_sums
 
-#: Resource uses that one task scans at most, and rounds between two looks at the components.
-WHOLE, ROUNDS = 200_000, 2
+#: Resource uses that one task scans at most, rounds between two looks at the components, and the share of the uses that
+#: a round must free for further rounds to be worth more than a look.
+WHOLE, ROUNDS, PROGRESS = 200_000, 2, 0.1
 
 
 def connected(ends: DataFrame, name: str, key: str = "k") -> DataFrame:
@@ -54,9 +55,10 @@ def greedy_select(options: DataFrame, order: list[Column], resources: str = "res
     """The options that a scan in `order` would take, each option taking all of its `resources` if none is used yet.
 
     An option that comes first on each of its resources is taken by the scan, whatever the others do; those that touch
-    its resources are not. Some such rounds take most options. What is left falls into components that share no
-    resource: those of up to `whole` uses are dealt whole to tasks, which scan them, so a long chain of options that wait
-    for each other costs no round a link. Only larger components go on in rounds. `options` needs a unique option_id,
+    its resources are not. Rounds of such options go on as long as they free a tenth of the uses. Where they do not, what
+    is left falls into components that share no resource: those of up to `whole` uses are dealt whole to tasks, which scan
+    them, so a long chain of options that wait for each other costs no round a link. Only larger components go on in
+    rounds. The last `whole` uses are one task's. `options` needs a unique option_id,
     which also breaks ties of the order; options without a resource are not taken.
     """
     spark = options.sparkSession
@@ -65,28 +67,33 @@ def greedy_select(options: DataFrame, order: list[Column], resources: str = "res
     live = cut(needs.select("place", F.size("all").alias("n"), F.explode("all").alias("resource")), "greedy-live")
     path, part = fresh_path(spark, "greedy-taken"), 0
 
-    def take(places: DataFrame) -> DataFrame:
-        """Note the places as taken; what they leave free."""
+    def note(places: DataFrame) -> DataFrame:
         nonlocal part
         places.select("place").write.parquet(f"{path}/part={part}")
-        got, part = spark.read.schema("place long").parquet(f"{path}/part={part}"), part + 1
-        used = live.join(got, "place", "left_semi").select("resource").distinct()
+        part += 1
+        return spark.read.schema("place long").parquet(f"{path}/part={part - 1}")
+
+    def take(places: DataFrame) -> DataFrame:
+        """Note the places as taken; what they leave free."""
+        used = live.join(note(places), "place", "left_semi").select("resource").distinct()
         gone = live.join(used, "resource", "left_semi").select("place").distinct()
         return cut(live.join(gone, "place", "left_anti"), "greedy-live")
 
-    while True:
-        for _ in range(ROUNDS):
-            firsts = live.groupBy("resource").agg(F.min(F.struct("place", "n")).alias("x")).select("x.*")
-            live = take(firsts.groupBy("place", "n").agg(F.count(F.lit(1)).alias("c")).where("c = n"))
-            if not live.limit(1).count():
-                break
-        else:
+    left, since_look = live.count(), 0
+    while left:
+        if left <= whole:
+            note(live.select("place", "resource", F.lit(0).alias("task")).groupBy("task").applyInArrow(_scan, "place long"))
+            break
+        firsts = live.groupBy("resource").agg(F.min(F.struct("place", "n")).alias("x")).select("x.*")
+        live = take(firsts.groupBy("place", "n").agg(F.count(F.lit(1)).alias("c")).where("c = n"))
+        before, left, since_look = left, live.count(), since_look + 1
+        if left > whole and since_look >= ROUNDS and before - left < PROGRESS * before:
             labels = connected(live, "place", "resource")
             sizes = live.join(labels, "place").groupBy("group").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= whole)
-            small = live.join(labels.join(sizes, "group"), "place").withColumn("task", F.pmod(F.xxhash64("group"), F.lit(1 + 2 * live.count() // whole)))
+            small = live.join(labels.join(sizes, "group"), "place").withColumn("task", F.pmod(F.xxhash64("group"), F.lit(1 + 2 * left // whole)))
             live = take(small.select("place", "resource", "task").groupBy("task").applyInArrow(_scan, "place long"))
-            if live.limit(1).count():
-                continue
-        break
+            left, since_look = live.count(), 0
+    if not part:
+        return placed.limit(0).drop("_place")
     taken = spark.read.schema("place long").parquet(path)
     return placed.join(taken.withColumnRenamed("place", "_place"), "_place", "left_semi").drop("_place")

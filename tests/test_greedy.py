@@ -34,13 +34,14 @@ def test_random_options(spark, seed, whole):
     assert len(got) == len(set(got)) and set(got) == scan(rows)
 
 
-def test_a_chain_of_ten_thousand_links_takes_few_rounds(spark, monkeypatch):
+@pytest.mark.parametrize("chains,whole", [(1, 200_000), (2, 25_000)])
+def test_chains_of_ten_thousand_links_take_few_rounds(spark, monkeypatch, chains, whole):
     written = []
     cut = greedy.cut
     monkeypatch.setattr(greedy, "cut", lambda df, name: written.append(name) or cut(df, name))
-    rows = [(f"o{k}", k, 0, [f"r{k}", f"r{k + 1}"]) for k in range(10_000)]
-    got = select(spark, rows)
-    assert set(got) == {f"o{k}" for k in range(0, 10_000, 2)}
+    rows = [(f"o{c}-{k}", k, 0, [f"r{c}-{k}", f"r{c}-{k + 1}"]) for c in range(chains) for k in range(10_000)]
+    got = select(spark, rows, whole=whole)
+    assert set(got) == {f"o{c}-{k}" for c in range(chains) for k in range(0, 10_000, 2)}
     assert written.count("greedy-live") + written.count("component-labels") <= 20
 
 
