@@ -188,7 +188,7 @@ def test_a_bad_host_takes_its_documents_and_few_documents_do_not(spark):
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
-@pytest.mark.parametrize("name", ["op11_filter_audit", "op13_host_rules"])
+@pytest.mark.parametrize("name", ["op11_filter_audit", "op13_host_rules", "host_reputation_tolerated"])
 def test_queries_match_their_sql(spark, name):
     c = duckdb.connect()
     for t in ("documents", "labels"):
