@@ -191,7 +191,7 @@ def test_a_bad_host_takes_its_documents_and_few_documents_do_not(spark):
 @pytest.mark.parametrize("name", ["op11_filter_audit", "op13_host_rules", "host_reputation_tolerated"])
 def test_queries_match_their_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "pages"):
         c.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     df = queries.QUERIES[name](spark, FOLDER)
     want = c.sql(queries.SQL[name])
