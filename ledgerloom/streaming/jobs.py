@@ -9,9 +9,10 @@ from ..plans.storage import fresh_path
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder as a stream; the schema is the table's."""
+    """A table of the folder, a file or a folder of files, as a stream; the schema is the table's."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # Spark takes a plain path of a stream for a folder; what a pattern finds may be either.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet")
 
 
 def run_to_table(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -77,3 +77,12 @@ def test_an_intake_takes_each_content_and_each_batch_once(spark, tmp_path):
 def test_times_of_events_are_counted_by_day(spark):
     events = spark.createDataFrame([(at(0, 1), "a"), (at(0, 23), "a"), (at(1), "b")], "ts timestamp, event_type string")
     assert sorted((r.event_type, r.n) for r in S.windowed_counts(events).select("event_type", F.col("n")).collect()) == [("a", 2), ("b", 1)]
+
+
+def test_a_table_that_is_a_folder_of_files_is_streamed_whole(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(f"file://{tmp_path}/parts.parquet")
+    spark.range(4).coalesce(1).write.parquet(f"file://{tmp_path}/one")
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "file.parquet")
+    for name, n in (("parts", 10), ("file", 4)):
+        table = S.run_to_table(S.read_stream(spark, f"file://{tmp_path}", name), name, f"file://{tmp_path}/out-{name}")
+        assert sorted(r.id for r in table.collect()) == list(range(n))
