@@ -36,3 +36,9 @@ def test_matches_sql(spark, duck, name):
     columns = sorted(df.columns)
     assert sorted(want.columns) == columns
     assert rows(df.select(*columns).collect(), range(len(columns))) == rows(want.fetchall(), [list(want.columns).index(c) for c in columns])
+
+
+def test_seeds_of_examples_round_as_in_sql(spark, duck, tmp_path):
+    spark.createDataFrame([(k, k, v) for k, v in enumerate([1.15, 1.16, 4.35, 2.675, 0.285, 1.005])], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    want = duck.sql(core.EXAMPLES.replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'") + " ORDER BY 1").fetchall()
+    assert [tuple(r) for r in core._examples(spark, str(tmp_path)).orderBy("example_id").collect()] == [tuple(map(float, r)) for r in want]
