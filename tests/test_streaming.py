@@ -86,3 +86,13 @@ def test_a_table_that_is_a_folder_of_files_is_streamed_whole(spark, tmp_path):
     for name, n in (("parts", 10), ("file", 4)):
         table = S.run_to_table(S.read_stream(spark, f"file://{tmp_path}", name), name, f"file://{tmp_path}/out-{name}")
         assert sorted(r.id for r in table.collect()) == list(range(n))
+
+
+def test_pairs_meet_across_cells_once(spark, tmp_path):
+    hours = [0, 1, 23, 24, 25, 47, 48, 49, 71, 96]
+    put(spark, tmp_path / "left", [(k, "EUR", 10, at(0, h)) for k, h in enumerate(hours)])
+    put(spark, tmp_path / "right", [(k, "EUR", 10, at(0, h)) for k, h in enumerate(hours)])
+    matched = S.stream_timing_match(stream(spark, tmp_path / "left"), stream(spark, tmp_path / "right"), 1)
+    assert "s_cell" in matched._jdf.queryExecution().analyzed().toString()
+    got = sorted(map(tuple, S.run_to_table(matched, "match", f"file://{tmp_path}/out").collect()))
+    assert got == sorted((i, j) for i, a in enumerate(hours) for j, b in enumerate(hours) if abs(a - b) <= 24)
