@@ -8,6 +8,7 @@ from ledgerloom.functions import normalize as N
 from ledgerloom.operators import graph as G
 from ledgerloom.operators import learning as L
 from ledgerloom.operators import matching as M
+from ledgerloom.plans import queries as core
 
 SCHEMA = "record_id string, record_type string, external_id string, amount decimal(20,4), currency string, record_date date, reference string, party string, fee_amount decimal(20,4)"
 
@@ -96,3 +97,11 @@ def test_no_leakage_between_splits(spark):
         for y in data:
             if x.a == y.a or x.b == y.b:
                 assert groups[x.example_id] == groups[y.example_id]
+
+
+def test_edges_of_one_party_are_those_of_all_edges(spark):
+    records = core.both(spark, "/root/testdata/sf0.001")
+    records = records[0].unionByName(records[1])
+    party = {r.record_id: r.party for r in records.select("record_id", "party").collect()}
+    want = sorted(tuple(r) for r in G.candidate_edges(records).collect() if party[r.source_id] == party[r.target_id])
+    assert want and sorted(map(tuple, G.candidate_edges(records, one_party=True).collect())) == want
