@@ -9,7 +9,10 @@ same pages. A page is never passed over: where a cursor is missing the stream wa
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs
@@ -22,15 +25,21 @@ CHANGES = "cursor long, position long, change string"
 _PAGE = re.compile(r"cursor=(0|[1-9][0-9]*)")
 
 
+#: Bytes and files that one task reads, about; a larger file is one task's.
+PIECE_BYTES, PIECE_FILES = 1 << 26, 200
+#: Pages that one task writes, about.
+PAGES = 500
+
+
 class Piece(InputPartition):
-    """A file of a page; `number` is its place among the page's files by name."""
+    """Files of pages as (cursor, number, path); `number` is the place among the page's files by name."""
 
-    def __init__(self, cursor: int, number: int, path: str):
-        self.cursor, self.number, self.path = cursor, number, path
+    def __init__(self, files: list[tuple[int, int, str]]):
+        self.files = files
 
 
 class PageReader(DataSourceStreamReader):
-    """Lists pages on the driver, by name alone; tasks read the lines, a file each."""
+    """Lists pages on the driver, by name and size alone; tasks read the lines, a file or many small ones each."""
 
     def __init__(self, uri: str):
         self.uri = uri
@@ -49,21 +58,27 @@ class PageReader(DataSourceStreamReader):
         return {"cursor": next(k for k in range(len(there) + 1) if k not in there)}
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
-        pieces = []
+        pieces, size = [], 0
         for cursor in range(start["cursor"], end["cursor"]):
-            files = sorted(f.path for f in self._children(f"cursor={cursor}") if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
-            pieces += [Piece(cursor, k, path) for k, path in enumerate(files)]
+            files = sorted((f.path, f.size or 0) for f in self._children(f"cursor={cursor}") if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
+            for k, (path, n) in enumerate(files):
+                if not pieces or len(pieces[-1].files) == PIECE_FILES or size + n > PIECE_BYTES:
+                    pieces.append(Piece([]))
+                    size = 0
+                pieces[-1].files.append((cursor, k, path))
+                size += n
         return pieces
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(self.uri)
-        at, rest = partition.number << 40, b""
-        with store.open_input_stream(partition.path, compression="detect") as stream:
-            while block := stream.read(1 << 22):
-                *lines, rest = (rest + block).split(b"\n")
-                yield from self._batch(partition.cursor, at, lines)
-                at += len(lines)
-        yield from self._batch(partition.cursor, at, [rest])
+        for cursor, number, path in partition.files:
+            at, rest = number << 40, b""
+            with store.open_input_stream(path, compression="detect") as stream:
+                while block := stream.read(1 << 22):
+                    *lines, rest = (rest + block).split(b"\n")
+                    yield from self._batch(cursor, at, lines)
+                    at += len(lines)
+            yield from self._batch(cursor, at, [rest])
 
     @staticmethod
     def _batch(cursor: int, at: int, lines: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +121,27 @@ def latest_changes(changes: DataFrame, schema: str) -> DataFrame:
 
 
 def write_pages(changes: DataFrame, uri: str) -> None:
-    """Rows (cursor, position, change) as pages, one file each; for tests, and for feeds that are tables already."""
-    ordered = changes.repartition("cursor").sortWithinPartitions("cursor", "position")
-    ordered.select("cursor", "change").write.mode("append").partitionBy("cursor").text(uri)
+    """Rows (cursor, position, change) as pages, one file each; for tests, and for feeds that are tables already.
+
+    Tasks are dealt by the number of pages, as a page costs more than its bytes, and write each file under a hidden name
+    before it is renamed into place, so a task that is run again replaces its own files.
+    """
+    name = f"part-{uuid.uuid4().hex}.txt"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(uri)
+        pages = 0
+        for cursor, group in groupby(((c, t) for b in batches for c, t in zip(b["cursor"].to_pylist(), b["change"].to_pylist(), strict=True)), key=itemgetter(0)):
+            folder = f"{root.rstrip('/')}/cursor={cursor}"
+            store.create_dir(folder, recursive=True)
+            with store.open_output_stream(f"{folder}/_{name}", compression=None, buffer_size=1 << 20) as stream:
+                for _, text in group:
+                    stream.write(((text or "") + "\n").encode())
+            store.move(f"{folder}/_{name}", f"{folder}/{name}")
+            pages += 1
+        yield pa.RecordBatch.from_arrays([pa.array([pages], pa.int64())], names=["pages"])
+
+    rows = changes.select("cursor", "position", "change").where("cursor is not null")
+    tasks = 1 + rows.agg(F.approx_count_distinct("cursor")).first()[0] // PAGES
+    ordered = rows.repartition(tasks, "cursor").sortWithinPartitions("cursor", "position")
+    ordered.mapInArrow(write, "pages long").agg(F.sum("pages")).first()

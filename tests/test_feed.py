@@ -52,3 +52,29 @@ def test_written_pages_keep_their_order(spark, tmp_path):
     feed.write_pages(spark.createDataFrame(rows[::-1], feed.CHANGES).repartition(5), uri)
     got = run_to_table(feed.page_feed(spark, uri), "feed", f"file://{tmp_path}/out").orderBy("cursor", "position").collect()
     assert [(r.cursor, r.change) for r in got] == [(c, t) for c, _, t in rows]
+
+
+def test_small_pages_share_a_task_and_large_files_do_not(spark, tmp_path, monkeypatch):
+    for k in range(50):
+        put(tmp_path / "p", k, {"id": k})
+    monkeypatch.setattr(feed, "PIECE_FILES", 20)
+    reader = feed.PageReader(f"file://{tmp_path}/p")
+    read = lambda: [p.files for p in reader.partitions({"cursor": 0}, reader.latestOffset())]
+    assert [len(p) for p in read()] == [20, 20, 10]
+    assert [c for p in read() for c, _, _ in p] == list(range(50))
+    monkeypatch.setattr(feed, "PIECE_BYTES", 5)
+    assert len(read()) == 50
+
+
+def test_pages_of_several_batches_are_one_file_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feed, "PAGES", 2)
+    rows = [(c, k, None if k == 3 else f'{{"id": {k}}}') for c in range(9) for k in range(50)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        feed.write_pages(spark.createDataFrame([*rows[::-1], (None, 0, "x")], feed.CHANGES), f"file://{tmp_path}/p")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(f.name for f in (tmp_path / "p").iterdir()) == [f"cursor={c}" for c in range(9)]
+    for c in range(9):
+        (page,) = (tmp_path / "p" / f"cursor={c}").iterdir()
+        assert page.read_text().split("\n") == [*(t or "" for d, _, t in rows if d == c), ""]
