@@ -3,8 +3,10 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import controls as C
+from ledgerloom.operators import learning as L
 from ledgerloom.operators import matching as M
 from ledgerloom.operators import metrics as X
 from ledgerloom.plans import queries as core
@@ -68,3 +70,20 @@ def test_models_rank_and_calibrate(spark):
     assert len(best) == 2 and best[0]["f1"] >= best[1]["f1"] > 0
     done = {r["scores"]: r for r in core.QUERIES["calibrate"](spark, "/root/testdata/sf0.001").collect()}
     assert done["calibrated"]["log_loss"] <= done["probability"]["log_loss"] * 1.2
+
+
+def test_texts_that_are_cleaned_before_the_join_are_as_alike(spark):
+    texts = ["INV-1", "inv-1 ", " inv \t 1", "", "  ", None, "x", "invoice 12"]
+    rows = spark.createDataFrame([(k, t, "cust", 1.0) for k, t in enumerate(texts)], "record_id int, reference string, party string, amount double")
+    rows = rows.withColumns({"amount": F.col("amount").cast("decimal(20,4)"), "currency": F.lit("USD"), "record_date": F.to_date(F.lit("2024-01-01"))})
+    side = lambda r, p: r.select(*[F.col(c).alias(f"{p}_{c}") for c in r.columns])
+    got = [L.features(side(r, "s").crossJoin(side(r, "t"))) for r in (rows, L.with_text(rows))]
+    assert got[0].columns == got[1].columns
+    assert sorted(map(str, got[0].collect())) == sorted(map(str, got[1].collect()))
+
+
+def test_examples_hold_what_is_trained_on_and_calibration_fits_no_trees(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    assert sorted(core._folds(spark, folder).columns) == sorted([*L.FEATURES, "fold", "label"])
+    monkeypatch.setattr(L.GBTClassifier, "fit", lambda *a: 1 / 0)
+    assert core.QUERIES["calibrate"](spark, folder).count() == 2
