@@ -8,6 +8,7 @@ from ledgerloom.functions import normalize as N
 from ledgerloom.operators import graph as G
 from ledgerloom.operators import learning as L
 from ledgerloom.operators import matching as M
+from ledgerloom.operators.greedy import connected
 from ledgerloom.plans import queries as core
 
 SCHEMA = "record_id string, record_type string, external_id string, amount decimal(20,4), currency string, record_date date, reference string, party string, fee_amount decimal(20,4)"
@@ -105,3 +106,13 @@ def test_edges_of_one_party_are_those_of_all_edges(spark):
     party = {r.record_id: r.party for r in records.select("record_id", "party").collect()}
     want = sorted(tuple(r) for r in G.candidate_edges(records).collect() if party[r.source_id] == party[r.target_id])
     assert want and sorted(map(tuple, G.candidate_edges(records, one_party=True).collect())) == want
+
+
+def test_examples_of_the_same_keys_go_through_the_rounds_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "connected", lambda ends, name: seen.append(ends.count()) or connected(ends, name))
+    rows = [(k, f"p{k % 5}", None) for k in range(5, 500)] + [(1, "p1", "x"), (2, None, "x"), (3, None, None), (4, "p4", None), (4, None, "y"), (600, None, "y"), (None, "p0", "x")]
+    got = {r.id: r.group for r in L.leakage_groups(spark.createDataFrame(rows, "id int, a string, b string"), ["a", "b"], "id").collect()}
+    want = {k: {0: 5, 1: 1, 2: 7, 3: 8, 4: 4}[k % 5] for k in range(5, 500)} | {1: 1, 2: 1, 3: 3, 4: 4, 600: 4}
+    assert got == want
+    assert seen[0] <= 20
