@@ -66,3 +66,12 @@ def test_components_of_ids_and_keys(spark):
         groups.setdefault(root(k), set()).add(k)
     got = {r.id: r.group for r in greedy.connected(spark.createDataFrame(rows, "id long, k string"), "id").collect()}
     assert got == {k: min(g) for g in groups.values() for k in g}
+
+
+def test_only_options_that_share_a_resource_are_put_into_order(spark, monkeypatch):
+    ordered, found = [], greedy.running_sums
+    monkeypatch.setattr(greedy, "running_sums", lambda rows, *rest: (ordered.append(rows.count()), found(rows, *rest))[1])
+    rows = [(f"o{k:02}", [f"a{k}", f"b{k}"]) for k in range(20)] + [("x", ["c", "a3"]), ("y", ["c", "c"]), ("z", ["d", "d"]), ("none", [])]
+    options = spark.createDataFrame(rows, "option_id string, resources array<string>")
+    got = {r.option_id for r in greedy.greedy_select(options, [F.col("option_id")]).collect()}
+    assert got == {f"o{k:02}" for k in range(20)} | {"y", "z"} and ordered == [4]

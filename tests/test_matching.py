@@ -116,3 +116,11 @@ def test_examples_of_the_same_keys_go_through_the_rounds_once(spark, monkeypatch
     want = {k: {0: 5, 1: 1, 2: 7, 3: 8, 4: 4}[k % 5] for k in range(5, 500)} | {1: 1, 2: 1, 3: 3, 4: 4, 600: 4}
     assert got == want
     assert seen[0] <= 20
+
+
+def test_rules_of_one_key_share_a_join(spark):
+    rows = spark.createDataFrame([], "record_id string, external_id string, amount decimal(20,4), currency string, record_date date, reference string, fee_amount decimal(20,4)")
+    rows = rows.union(rows)
+    plan = M.rule_pairs(rows, rows)._jdf.queryExecution().analyzed().toString()
+    # Reference, external id, amount, and the fee of either side.
+    assert plan.count("Join Inner") + plan.count("Join UsingJoin") == 5
