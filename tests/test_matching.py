@@ -5,11 +5,13 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalize as N
+from ledgerloom.operators import controls as C
 from ledgerloom.operators import graph as G
 from ledgerloom.operators import learning as L
 from ledgerloom.operators import matching as M
 from ledgerloom.operators.greedy import connected
 from ledgerloom.plans import queries as core
+from ledgerloom.plans.storage import cut
 
 SCHEMA = "record_id string, record_type string, external_id string, amount decimal(20,4), currency string, record_date date, reference string, party string, fee_amount decimal(20,4)"
 
@@ -124,3 +126,24 @@ def test_rules_of_one_key_share_a_join(spark):
     plan = M.rule_pairs(rows, rows)._jdf.queryExecution().analyzed().toString()
     # Reference, external id, amount, and the fee of either side.
     assert plan.count("Join Inner") + plan.count("Join UsingJoin") == 5
+
+
+def test_rivals_counted_by_record_are_those_of_the_candidates(spark, monkeypatch):
+    rng, written = random.Random(11), []
+    monkeypatch.setattr(C, "cut", lambda df, name: (written.append(df.count()), cut(df, name))[1])
+
+    def some(kind, n):
+        return spark.createDataFrame([(f"{kind[0]}{k:02}", kind, None, Decimal(rng.choice([20, 25, 25, 40, 90])), rng.choice(["EUR", "EUR", "USD", None]), dt.date(2026, 1, rng.randrange(1, 9)), f"r{k % 3}", None, None) for k in range(n)], SCHEMA)
+
+    sources, targets = some("invoice", 18), some("payment", 18)
+    plain = G.candidate_batch(sources, targets)
+    want = {r.candidate_id: r.rivals for r in C.rival_counts(plain).collect()}
+    got = C.candidates_with_rivalry(sources, targets)
+    assert {r.candidate_id: r.rivals for r in got.collect()} == want and len(want) > 50
+    # Before the mask itself one row a record is written at most, not one a candidate.
+    for margin in ("0.05", "0.15"):
+        mine = {tuple(r) for r in C.batch_review_mask(sources, targets, margin=margin).collect()}
+        assert max(written) <= 36
+        assert mine == {tuple(r) for r in C.review_mask(plain, margin=margin).collect()} and any(r[-1] for r in mine)
+        written.clear()
+    assert {f.name for f in got.schema} >= {f.name for f in plain.schema}
