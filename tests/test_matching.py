@@ -147,3 +147,21 @@ def test_rivals_counted_by_record_are_those_of_the_candidates(spark, monkeypatch
         assert mine == {tuple(r) for r in C.review_mask(plain, margin=margin).collect()} and any(r[-1] for r in mine)
         written.clear()
     assert {f.name for f in got.schema} >= {f.name for f in plain.schema}
+
+
+def test_candidates_are_joined_back_once(spark):
+    rng = random.Random(12)
+    rows = [(f"s{a}:t{b}", f"s{a}", f"t{b}", rng.choice([0.3, 0.5, 0.55, 0.6, 0.9, None])) for a in range(9) for b in range(9) if rng.random() < 0.4]
+    candidates = spark.createDataFrame(rows, "candidate_id string, source_id string, target_id string, score double")
+    for margin in ("0.00", "0.05", "0.10"):
+        want = {}
+        for c, s, t, d in rows:
+            rivals = [Decimal(str(x)) for k, a, b, x in rows if k != c and (a == s or b == t) and x is not None]
+            want[c] = None if d is None else Decimal(str(d)) >= Decimal("0.5") and all(Decimal(str(d)) - x >= Decimal(margin) for x in rivals)
+        assert {r.candidate_id: r.review for r in C.review_mask(candidates, margin=margin).collect()} == want and True in want.values()
+    meta = {"review_threshold": "0.50", "review_gate_passed": True, "review_policy": "separated", "relationships": ["a->b"]}
+    sides = {f"{side}_{c}": F.lit(v) for side, kind in (("source", "a"), ("target", "b")) for c, v in (("type", kind), ("currency", "EUR"), ("party", "p"))}
+    ranked = C.rank_candidates(candidates.withColumns(sides), meta)
+    assert {r.candidate_id for r in ranked.collect() if r.suggestion == "REVIEW"} == {r.candidate_id for r in C.review_mask(candidates).collect() if r.review}
+    # The best of one side with those of the other, and the candidates with what is left of them.
+    assert ranked._jdf.queryExecution().analyzed().toString().count("Join ") == 2
