@@ -165,3 +165,24 @@ def test_candidates_are_joined_back_once(spark):
     assert {r.candidate_id for r in ranked.collect() if r.suggestion == "REVIEW"} == {r.candidate_id for r in C.review_mask(candidates).collect() if r.review}
     # The best of one side with those of the other, and the candidates with what is left of them.
     assert ranked._jdf.queryExecution().analyzed().toString().count("Join ") == 2
+
+
+def test_close_edges_are_the_edges_of_near_amounts(spark):
+    rng = random.Random(5)
+    # Cents around the cells of ten, also below zero, and two types that come after all stages.
+    rows = [record(f"{k:02}", rng.choice([-1, 1]) * rng.randrange(0, 5000) / 100, None, rng.choice(["invoice", "payment", "x", "y"]), "USD", rng.randint(1, 28)) for k in range(60)]
+    records = frame(spark, *rows).withColumn("amount", F.round("amount", 2).cast("decimal(20,4)"))
+    amount = {r.record_id: r.amount for r in records.collect()}
+    every = G.candidate_edges(records, only_across=True).collect()
+    assert sorted(map(tuple, every)) == sorted(tuple(r) for r in G.candidate_edges(records).collect() if r.source_type != r.target_type)
+    want = sorted(tuple(r) for r in every if abs(amount[r.source_id] - amount[r.target_id]) <= 10)
+    assert want and len(want) < len(every) and sorted(map(tuple, G.candidate_edges(records, only_across=True, close=True).collect())) == want
+
+
+def test_long_paths_need_the_inner_edges_only(spark):
+    kinds = ["invoice", "payment", "processor", "settlement", "bank_transaction"]
+    edges = [(f"{a}{i}", f"{b}{i}", kinds[a], kinds[b], Decimal("0.95") if b == a + 1 else Decimal("0.50")) for a in range(5) for b in range(5) if a != b for i in "pq"]
+    df = spark.createDataFrame(edges, "source_id string, target_id string, source_type string, target_type string, score decimal(4,2)")
+    paths = lambda **inner: sorted(map(tuple, G.lineage_paths(df, **inner).collect()))
+    got = paths(inner=df.where("score > 0.50"))
+    assert got == paths() and ("0p>1p>2p>3p>4p", 5, round(0.95**4, 6)) in got and ("0p>4p", 2, 0.5) in got and len(got) == 2 * (4 + 6 + 3 + 2 + 1)
