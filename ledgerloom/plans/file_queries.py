@@ -25,8 +25,11 @@ def _csv_folder(spark, d, path=None, parts=range(8)):
     """CSV files with a byte order mark, in the order of the ids; one note in three is of two quoted lines."""
     path = path or fresh_path(spark, "csv")
     note = F.when(F.col("id") % 3 == 0, F.concat(F.lit('the "first" line,\nthe '), "id", F.lit("th"))).otherwise("one line")
-    raw = sql(spark, d, RAW).select(F.concat(F.lit("INV-"), "id").alias("\ufeffInvoice Number"), F.col("money").alias("Amount"), F.col("day").alias("Date"), note.alias("Memo"), (F.col("id") % 8).cast("int").alias("part"), "id")
-    raw.where(F.col("part").isin(*parts)).repartition(8, "part").sortWithinPartitions("part", "id").drop("id").write.option("header", True).option("escape", '"').partitionBy("part").csv(path)
+    # A file is one task's, which puts the keys into order, not the rows made of them.
+    keys = tab(spark, d, "orders").withColumn("part", (F.col("o_orderkey") % 8).cast("int")).where(F.col("part").isin(*parts))
+    keys = keys.repartition(8, "part").sortWithinPartitions("part", "o_orderkey")
+    raw = spark.sql(RAW.replace("FROM orders", ", part FROM {orders}"), orders=keys)
+    raw.select(F.concat(F.lit("INV-"), "id").alias("\ufeffInvoice Number"), F.col("money").alias("Amount"), F.col("day").alias("Date"), note.alias("Memo"), "part").write.option("header", True).option("escape", '"').partitionBy("part").csv(path)
     return path
 
 

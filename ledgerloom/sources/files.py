@@ -16,6 +16,8 @@ from ..plans.storage import cut
 PREVIEW_ROWS = 25
 #: Characters of a record of several lines, and different headers of the files that are read at once.
 MAX_RECORD, MAX_HEADERS = 1 << 24, 200
+#: Lines in a row, as a power of two, whose quotes are added up in one go, and lines that one task takes for it.
+PIECE, LINES = 16, 200_000
 #: Fixed value: a page below this confidence may take the recognised text.
 OCR_BELOW = 0.80
 
@@ -45,7 +47,7 @@ def csv_records(spark: SparkSession, path: str | list[str], only_first_block: bo
     """Records of CSV files, whole: (the columns of the folders, file, row_number, record, error), the header being row 1.
 
     Files are split anywhere, and a line knows whether it lies within quotes by the parity of all quotes before it in its file: running
-    sums within a split, and one sum for each split before it. Lines within quotes go on with the record before; only the
+    sums within a piece of a split, and one sum for each piece before it, so a task takes a bounded number of lines. Lines within quotes go on with the record before; only the
     lines of such records are brought together. Blank lines outside of quotes do not count. A record of more than
     MAX_RECORD characters over several lines, such as one whose quotes never close, is null with an `error`. Quotes inside of fields must be
     doubled; lines end in \\n or \\r\\n. With `only_first_block` the later splits of a file are left out.
@@ -56,19 +58,21 @@ def csv_records(spark: SparkSession, path: str | list[str], only_first_block: bo
     read = read.where(block == 0) if only_first_block else read
     quotes = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("_quotes")
     lines = cut(read.select("value", *keys, F.col("_metadata.file_path").alias("file"), block.alias("_start"), F.monotonically_increasing_id().alias("_at"), quotes), "csv-lines")
-    split, run = Window.partitionBy("file", "_start").orderBy("_at"), (Window.unboundedPreceding, -1)
+    piece = ["file", "_start", "_piece"]
+    lines = lines.withColumn("_piece", F.shiftright("_at", PIECE)).repartition(1 + lines.count() // LINES, *piece)
+    split, run = Window.partitionBy(*piece).orderBy("_at"), (Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("_quotes").over(split.rowsBetween(*run)), F.lit(0)) % 2
     filled = ~F.col("value").isin("", "\r", "\ufeff")
     local = lines.withColumn("_inside", inside).withColumn("_filled", filled)
-    # A split does not know whether it begins within quotes, so it counts the records that start in it for both cases.
+    # A piece does not know whether it begins within quotes, so it counts the records that start in it for both cases.
     starts = {k: F.when(F.col("_filled") & (F.col("_inside") == k), 1).otherwise(0) for k in (0, 1)}
     local = local.withColumns({f"_run{k}": F.sum(c).over(split.rowsBetween(Window.unboundedPreceding, 0)) for k, c in starts.items()})
-    splits = local.groupBy("file", "_start").agg(F.sum("_quotes").alias("_all"), *[F.sum(c).alias(f"_n{k}") for k, c in starts.items()])
-    earlier = Window.partitionBy("file").orderBy("_start").rowsBetween(*run)
+    splits = local.groupBy(*piece).agg(F.sum("_quotes").alias("_all"), *[F.sum(c).alias(f"_n{k}") for k, c in starts.items()])
+    earlier = Window.partitionBy("file").orderBy("_start", "_piece").rowsBetween(*run)
     splits = splits.withColumn("_within", F.coalesce(F.sum("_all").over(earlier), F.lit(0)) % 2)
     own = F.when(F.col("_within") == 0, F.col("_n0")).otherwise(F.col("_n1"))
-    splits = splits.withColumn("_before", F.coalesce(F.sum(own).over(earlier), F.lit(0))).select("file", "_start", "_within", "_before")
-    placed = local.join(splits, ["file", "_start"])
+    splits = splits.withColumn("_before", F.coalesce(F.sum(own).over(earlier), F.lit(0))).select(*piece, "_within", "_before")
+    placed = local.join(splits, piece)
     outside = F.col("_inside") == F.col("_within")
     number = F.col("_before") + F.when(F.col("_within") == 0, F.col("_run0")).otherwise(F.col("_run1"))
     placed = placed.withColumns({"row_number": number.cast("long"), "_opens": outside, "_closes": (F.col("_inside") + F.col("_quotes")) % 2 == F.col("_within")}).where("not _opens or _filled")

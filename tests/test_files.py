@@ -1,5 +1,7 @@
 """Scans that keep the place of every row."""
 
+import csv
+
 import pytest
 
 from ledgerloom.sources import files as R
@@ -122,3 +124,15 @@ def test_files_of_other_headers_and_the_strict_form(spark, folder):
     assert R.raise_first_error(rows.withColumn("error", F.lit(None).cast("string"))).count() == 2
     with pytest.raises(ValueError, match="a.csv: row 2: bad 1"):
         R.raise_first_error(rows.withColumn("error", F.concat(F.lit("bad "), "k"))).count()
+
+
+def test_quotes_are_added_up_over_pieces_of_a_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "PIECE", 2)
+    monkeypatch.setattr(R, "LINES", 5)
+    rows = [(str(k), "a\n\n\"b\"\n,c\nd\ne" if k % 3 == 0 else "", "x" * (k % 4)) for k in range(40)]
+    with open(tmp_path / "a.csv", "w", newline="") as f:
+        out = csv.writer(f)
+        out.writerow(["id", "note", "rest"])
+        out.writerows(rows)
+    got = R.read_csv_rows(spark, str(tmp_path / "a.csv")).collect()
+    assert sorted((r.row_number, r.id, r.note or "", r.rest or "") for r in got) == [(k + 2, *r) for k, r in enumerate(rows)]
