@@ -162,6 +162,19 @@ def test_benchmarks_are_taken_in_blocks(spark, monkeypatch):
     assert sorted(decontaminate.contaminated(rows, bench).collect()) == want and len(want) == 13
 
 
+def test_what_is_broadcast_does_not_grow_with_the_benchmark(spark, monkeypatch):
+    rng = random.Random(26)
+    items = [words(rng, 40, 5000) for _ in range(12)]
+    bench, rows = spark.createDataFrame([*enumerate(items)], "item_id long, text string"), docs(spark, [(k, f"a b {t} c") for k, t in enumerate(items)])
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 700)
+    held = lambda b: decontaminate.contaminated(rows, b)._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")
+    assert held(bench) == 0  # each block has been written
+    one = bench.where("item_id = 3")
+    copies = one.union(one.withColumn("item_id", F.explode(F.sequence(F.lit(100), F.lit(140)))))
+    assert held(copies) == held(one) == 2  # of one block
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(rows, copies).collect()} == {(3, k) for k in (3, *range(100, 141))}
+
+
 def test_an_item_s_word_counts_once(spark):
     rng = random.Random(16)
     item = words(rng, 50, 5000).split()
