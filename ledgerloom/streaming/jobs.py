@@ -44,19 +44,26 @@ def stream_timing_match(left: DataFrame, right: DataFrame, days: int = 3, delay:
     With `how` = `left_outer` or `full_outer` a row without a partner comes out too, its other id null, once the watermark
     (the least of both streams' latest times, minus `delay`) has passed the last time at which a partner could come;
     then its state goes. Rows that are later than the watermark are dropped by Spark. Null currencies, amounts and times
-    have no partner; a row of null time never comes out alone. Inner pairs meet in cells of `days`, so that a row looks
-    through the state of its own time only, not through that of its whole amount.
+    have no partner; a row of null time never comes out alone. Rows meet in cells of `days`, so that one looks through the
+    state of its own time only, not through that of its whole amount. A row that may come out alone is in its own cell, and
+    those of the other side are in the neighbours too; so the full outer join is a left one and the right rows left alone.
     """
+    if how in ("full_outer", "full", "fullouter", "outer"):
+        alone = _timing_join(left, right, days, delay, "right_outer").where("s_cell IS NULL")
+        return _timing_join(left, right, days, delay, "left_outer").union(alone).select("source_id", "target_id")
+    return _timing_join(left, right, days, delay, how).select("source_id", "target_id")
+
+
+def _timing_join(left: DataFrame, right: DataFrame, days: int, delay: str, how: str) -> DataFrame:
+    """The join of `stream_timing_match`, inner or outer on one side: (source_id, target_id, s_cell), s_cell null without a source."""
     a = left.select(F.col("id").alias("source_id"), "currency", "amount", F.col("ts").alias("s_ts")).withWatermark("s_ts", delay)
     b = right.select(F.col("id").alias("target_id"), F.col("currency").alias("c"), F.col("amount").alias("v"), F.col("ts").alias("t_ts")).withWatermark("t_ts", delay)
-    same = "currency = c AND amount = v"
-    if how == "inner":
-        # In an outer join a row of several cells would come out alone once for each cell without a partner.
-        cell = lambda t: F.floor(F.unix_seconds(t) / (86400 * max(days, 1)))
-        a = a.withColumn("s_cell", F.explode(F.array(*[cell("s_ts") + k for k in (-1, 0, 1)])))
-        b, same = b.withColumn("t_cell", cell("t_ts")), f"{same} AND s_cell = t_cell"
-    near = F.expr(f"{same} AND t_ts >= s_ts - INTERVAL {days} DAYS AND t_ts <= s_ts + INTERVAL {days} DAYS")
-    return a.join(b, near, how).select("source_id", "target_id")
+    cell = lambda t: F.floor(F.unix_seconds(t) / (86400 * max(days, 1)))
+    near = lambda t: F.explode(F.array(*[cell(t) + k for k in (-1, 0, 1)]))
+    own = how in ("left_outer", "leftouter", "left")
+    a, b = a.withColumn("s_cell", cell("s_ts") if own else near("s_ts")), b.withColumn("t_cell", near("t_ts") if own else cell("t_ts"))
+    test = F.expr(f"currency = c AND amount = v AND s_cell = t_cell AND t_ts >= s_ts - INTERVAL {days} DAYS AND t_ts <= s_ts + INTERVAL {days} DAYS")
+    return a.join(b, test, how).select("source_id", "target_id", "s_cell")
 
 
 def windowed_counts(events: DataFrame, length: str = "1 day") -> DataFrame:

@@ -96,3 +96,16 @@ def test_pairs_meet_across_cells_once(spark, tmp_path):
     assert "s_cell" in matched._jdf.queryExecution().analyzed().toString()
     got = sorted(map(tuple, S.run_to_table(matched, "match", f"file://{tmp_path}/out").collect()))
     assert got == sorted((i, j) for i, a in enumerate(hours) for j, b in enumerate(hours) if abs(a - b) <= 24)
+
+
+def test_outer_pairs_meet_across_cells_and_rows_come_out_alone_once(spark, tmp_path):
+    hours = [0, 1, 23, 24, 25, 47, 48, 49, 71, 96]
+    alone, late = [(k, "EUR", 20 + k, at(k - 40)) for k in range(50, 54)], (90, "EUR", 1, at(30))
+    put(spark, tmp_path / "left", [*[(k, "EUR", 10, at(0, h)) for k, h in enumerate(hours)], *alone, (60, "EUR", 10, at(9)), late])
+    put(spark, tmp_path / "right", [*[(k, "EUR", 10, at(0, h)) for k, h in enumerate(hours)], (70, "EUR", 10, at(7)), (None, "EUR", 10, at(0)), (91, "EUR", 2, at(30))])
+    pairs = [(i, j) for i, a in enumerate(hours) for j, b in enumerate(hours) if abs(a - b) <= 24] + [(i, None) for i, a in enumerate(hours) if a <= 24]
+    left = [(k, None) for k in (50, 51, 52, 53, 60)]
+    for how, want in (("left_outer", pairs + left), ("full_outer", [*pairs, *left, (None, 70)])):
+        matched = S.stream_timing_match(stream(spark, tmp_path / "left"), stream(spark, tmp_path / "right"), 1, "2 days", how)
+        assert "s_cell" in matched._jdf.queryExecution().analyzed().toString()
+        assert sorted(map(tuple, S.run_to_table(matched, "match", f"file://{tmp_path}/{how}").collect()), key=str) == sorted(want, key=str)
