@@ -75,3 +75,14 @@ def test_only_options_that_share_a_resource_are_put_into_order(spark, monkeypatc
     options = spark.createDataFrame(rows, "option_id string, resources array<string>")
     got = {r.option_id for r in greedy.greedy_select(options, [F.col("option_id")]).collect()}
     assert got == {f"o{k:02}" for k in range(20)} | {"y", "z"} and ordered == [4]
+
+
+def test_keys_of_one_id_and_ids_of_one_key_are_gone_before_the_rounds(spark, monkeypatch):
+    written, cut = [], greedy.cut
+    monkeypatch.setattr(greedy, "cut", lambda df, name: written.append((name, df.count())) or cut(df, name))
+    rows = [(k, f"own{k}") for k in range(500)] + [(k, f"ten{k // 10}") for k in range(500)] + [(7, "x"), (13, "x"), (7, "x"), (490, "y"), (25, "y"), (12, "z"), (21, "z")]
+    got = {r.id: r.group for r in greedy.connected(spark.createDataFrame(rows, "id long, k string"), "id").collect()}
+    join = {1: 0, 2: 0, 49: 0}
+    assert got == {k: join.get(k // 10, k // 10) * 10 for k in range(500)}
+    assert sum(n for name, n in written if name == "component-ends") < 600
+    assert sum(n for name, n in written if name == "component-labels") < 600
